@@ -22,6 +22,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.suffix_dedup import removed_passages
+
+    return removed_passages(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.packing import pack
 
@@ -42,6 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op6_packing": op6_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_simhash": op10_simhash,
