@@ -16,6 +16,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.bpe import round_trip
 
@@ -28,6 +34,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_passages(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.quality import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "text_odds", "site_odds")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.warc import through_archives
 
@@ -65,8 +77,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_quality": op4_quality,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_url_filter": op7_url_filter,
