@@ -90,7 +90,7 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, chars.
 
     Of equal texts the row with the most code points stays, then that with the
     smallest id; a null id comes after all others. Null text is empty. Of rows that
@@ -102,6 +102,18 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     groups = settle(rows.groupBy("level", "name").agg(F.min(best).alias("best"), F.sum("copies").alias("group_size")), "groups")
     joined = rows.join(groups, ["level", "name"])
     first = (F.col("best.chars") == -F.col("chars")) & F.col("best.doc_id").eqNullSafe(F.col("doc_id"))
-    return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", first.alias("first"), "text_sha256", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(
-        "doc_id", "keep_id", "group_size", (F.col("first") & (F.col("copy") == 1)).alias("kept"), "text_sha256"
+    return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", first.alias("first"), "text_sha256", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"), "chars").select(
+        "doc_id", "keep_id", "group_size", (F.col("first") & (F.col("copy") == 1)).alias("kept"), "text_sha256", "chars"
     )
+
+
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of docs that stay, whole."""
+    found = settle(exact_duplicates(docs, doc_id, text, **how), "copies")
+    stay = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("chars").alias("_chars"))
+    rows = docs.withColumns({"_own_sha": F.sha2(normalised(F.col(text)), 256), "_own_chars": F.length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long")})
+    same = rows[doc_id].eqNullSafe(stay["_id"]) & (rows["_own_sha"] == stay["_sha"]) & (rows["_own_chars"] == stay["_chars"])
+    kept = rows.join(stay, same, "left_semi")
+    if found.groupBy("doc_id", "text_sha256", "chars").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates([doc_id, "_own_sha", "_own_chars"])
+    return kept.select(*docs.columns)

@@ -31,7 +31,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.suffix_dedup import removed_passages
 
-    return removed_passages(table(spark, sf_dir, "documents")).drop("kept")
+    return removed_passages(table(spark, sf_dir, "documents"), left="").drop("kept")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ SQL: dict[str, str] = {
           FROM documents
         )
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
-               doc_id = first_value(doc_id) OVER w AS kept, sha256(body) AS text_sha256
+               doc_id = first_value(doc_id) OVER w AS kept, sha256(body) AS text_sha256, chars
         FROM d WINDOW w AS (PARTITION BY body ORDER BY chars DESC, doc_id)
     """,
 }

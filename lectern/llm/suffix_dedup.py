@@ -47,19 +47,20 @@ MARK = 128
 RECORD = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("run", "u1"), ("at", "u1")])
 
 
-def numbered_documents(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """((doc, text), back): doc is the place of a row in the order of ids. Unique ids of
-    an integer type stand for themselves (back is None). Else rows are numbered in the
-    order of their ids, nulls last; back(doc, doc_id) leads back."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+def numbered_documents(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """((doc, text), (doc, doc_id, ...)): doc is the place of a row in the order of ids.
+    Unique ids of an integer type stand for themselves. Else rows are numbered in the
+    order of their ids, nulls last."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(*(F.col(c) for c in carry)).alias("carry") if carry else F.lit(None).alias("carry"))
     plain = rows.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     if plain and not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count():
-        return rows.select(F.col("doc_id").cast("long").alias("doc"), "text"), None
-    rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        doc = F.col("doc_id").cast("long").alias("doc")
+        return rows.select(doc, "text"), rows.select(doc, "doc_id", "carry")
+    rows = settle(rows.withColumn("carry", F.col("carry") if carry else F.lit(0)).withColumn("row", F.monotonically_increasing_id()), "rows")
     order = rows.select("row", "doc_id").orderBy(F.col("doc_id").asc_nulls_last(), "row").rdd.zipWithIndex().map(lambda x: (x[0]["row"], x[1]))
     numbers = settle(docs.sparkSession.createDataFrame(order, "row long, doc long"), "numbers")
     rows = rows.join(numbers, "row")
-    return settle(rows.select("doc", "text"), "texts"), settle(rows.select("doc", "doc_id"), "ids")
+    return settle(rows.select("doc", "text"), "texts"), settle(rows.select("doc", "doc_id", "carry"), "ids")
 
 
 def _reduced(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,15 +291,16 @@ def cut(text: bytes, lo: np.ndarray, run: np.ndarray, width: int) -> tuple[bytes
     return left, int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
 
 
-def removed_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, buckets: int | None = None, batch: int = BATCH, **how) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the
-    bytes that are left).
+def removed_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, buckets: int | None = None, batch: int = BATCH, carry: tuple[str, ...] = (), left: str = "bytes", **how) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, carry (a struct of
+    the columns named so), and kept: the bytes that are left, or with left="text" what
+    of them is whole characters, or nothing with left="".
 
     Null text is empty. Rows that repeat an id count as different documents, in the
     order in which they are read, as do null ids, which come after all others; other
     columns are left out; an empty table gives no rows."""
     spark = docs.sparkSession
-    rows, back = numbered_documents(docs, doc_id, text)
+    rows, names = numbered_documents(docs, doc_id, text, carry)
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = settle(settled_anchors(anchor_records(rows, buckets, width, batch), buckets), "anchors")
     texts = rows.select("doc", F.col("text").cast("binary").alias("bytes"))
@@ -307,19 +309,24 @@ def removed_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     bodies = opened.select(F.col("s.key").alias("key"), "doc", F.col("s.lo").alias("lo"), F.col("s.at").alias("at"), F.substring("bytes", F.col("s.lo") + 1, F.col("s.run") + width).alias("body"))
     runs = sorted_buckets(bodies, width, **how)
     gone = anchors.where("key IS NULL").select("doc", "lo", "run").unionByName(runs).groupBy("doc").agg(F.collect_list(F.struct("lo", "run")).alias("gone"))
+    # all but the text meets first, so that texts are joined once more and not moved again
+    side = names.join(gone, "doc", "left").select("doc", "doc_id", *(["carry"] if carry else []), "gone")
+    joined = texts.join(side, "doc").drop("doc")
+    extra = ["carry"] if carry else []
+    schema = joined.select("doc_id", *extra).select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit("").alias("kept_sha256"), F.lit("" if left == "text" else b"").alias("kept")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            flat, edges = b.column(2).flatten(), np.r_[0, np.cumsum(pc.list_value_length(b.column(2)).fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+            of = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+            flat, edges = of["gone"].flatten(), np.r_[0, np.cumsum(pc.list_value_length(of["gone"]).fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
             lo, length = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            for i, body in enumerate(b.column(1).to_pylist()):
-                left, n, spans = cut(body, lo[edges[i] : edges[i + 1]], length[edges[i] : edges[i + 1]], width)
-                for to, x in zip(out, (len(body), n, spans, hashlib.sha256(left).hexdigest(), left), strict=True):
+            for i, body in enumerate(of["bytes"].to_pylist()):
+                rest, n, spans = cut(body, lo[edges[i] : edges[i + 1]], length[edges[i] : edges[i + 1]], width)
+                shown = rest.decode("utf-8", "ignore") if left == "text" else rest if left else b""
+                for to, x in zip(out, (len(body), n, spans, hashlib.sha256(rest).hexdigest(), shown), strict=True):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            made = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if left == "text" else pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([of["doc_id"], *(of[x] for x in extra), *made], names=["doc_id", *extra, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    result = texts.join(gone, "doc", "left").select("doc", "bytes", "gone").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    if back is not None:
-        return result.join(back, "doc").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    return result.select(F.col("doc").cast(docs.schema[doc_id].dataType).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    return joined.mapInArrow(run, schema)
