@@ -56,7 +56,7 @@ def retry_delay(attempt: Column, retry_after: Column | None = None) -> Column:
     if retry_after is None:
         return step
     told = retry_after.try_cast("int")
-    return F.coalesce(F.greatest(F.lit(1), F.least(told, F.lit(3600))), step)
+    return F.when(told.isNotNull(), F.greatest(F.lit(1), F.least(told, F.lit(3600)))).otherwise(step)
 
 
 def review_schedule(reviews: DataFrame) -> DataFrame:
