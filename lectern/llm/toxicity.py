@@ -20,6 +20,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from math import fsum
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -30,51 +32,63 @@ from lectern.llm.bpe import texts_of
 
 #: Labelled rows in the sample; hashed terms; lexicon voters; accuracy that a label
 #: itself is given as a vote.
-SAMPLE, SPACE, LEXICONS, ANNOTATOR = 12_000, 1 << 20, 32, 0.98
+SAMPLE, SPACE, LEXICONS, ANNOTATOR = 8_000, 1 << 20, 32, 0.98
 #: A term's least number of toxic rows, and least log odds, to enter a lexicon.
 LEAST_ROWS, LEAST_ODDS = 4, 2.5
-CACHE = 600_000
+CACHE = 400_000
 WORD = re.compile(r"\w+")
-PATTERNS = (
-    re.compile(r"!!|\?\?"),
-    re.compile(r"[A-Z]{4,} [A-Z]{4,}"),
-    re.compile(r"[#$%&*]{3}"),
-    re.compile(r" \| "),
-    re.compile(r"https?://|www\."),
-    re.compile(r"\b(\w+)(?: \1){3}\b"),
-    re.compile(r"\b[Yy]ou\b"),
-    re.compile(r"[\w.]+@\w+\."),
-)
-VOTERS = LEXICONS + len(PATTERNS)
+#: Bytes of a word's beginnings that are terms.
+STARTS = (3, 4, 5, 6, 7)
+JUNK = ("###", "$$$", "%%%", "&&&", "***")
+PATTERNS = 8
+VOTERS = LEXICONS + PATTERNS
 
 
-def terms(word: str) -> list[int]:
-    """Hashed terms of a word in lower case: itself and its beginnings."""
-    raw = [word, *(f"{word[:n]}-" for n in (3, 4, 5, 6, 7) if len(word) > n)]
-    return [zlib.crc32(x.encode()) & (SPACE - 1) for x in raw]
+def terms(word: bytes) -> list[int]:
+    """Hashed terms of a word in lower case: itself and its beginnings, whose checksums
+    are made one from the other."""
+    out, size, last, crc = [zlib.crc32(word) & (SPACE - 1)], len(word), 0, 0x5BD1E995
+    for n in STARTS:
+        if n >= size:
+            break
+        crc, last = zlib.crc32(word[last:n], crc), n
+        out.append(crc & (SPACE - 1))
+    return out
 
 
-def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+def token_terms(token: str) -> list[int]:
+    """Terms of the words of one token, that is of what stands between blanks."""
+    return [x for w in ([token] if token.isalnum() else WORD.findall(token)) for x in terms(w.encode())]
 
 
-class Sums(dict):
-    """word -> what its terms add up to; grows as words are met, up to a bound."""
+def tokens_of(text: str) -> tuple[set[str], int]:
+    """(distinct tokens in lower case, number of tokens)."""
+    found = text.lower().split()
+    return set(found), len(found)
 
-    def __init__(self, of: np.ndarray, add):
+
+class Known(dict):
+    """token -> what a table says of its terms; grows as tokens are met, up to a bound."""
+
+    def __init__(self, table: dict[int, float], fold, start):
         super().__init__()
-        self.of, self.add = of, add
+        self.table, self.fold, self.start = table, fold, start
 
-    def __missing__(self, word: str):
+    def __missing__(self, token: str):
         if len(self) > CACHE:
             self.clear()
-        found = self.add(self.of[terms(word)])
-        self[word] = found
+        found, get = self.start, self.table.get
+        for x in token_terms(token):
+            if (v := get(x)) is not None:
+                found = self.fold(found, v)
+        self[token] = found
         return found
 
 
-def fired_patterns(text: str) -> int:
-    return sum(1 << i for i, p in enumerate(PATTERNS) if p.search(text)) << LEXICONS
+def fired_patterns(text: str, distinct: int, count: int) -> int:
+    """Votes of the pattern voters, as bits above the lexicons'."""
+    fired = ("!!" in text, any(x in text for x in JUNK), " | " in text, "@" in text, "http" in text or "www." in text, count > 20 and 2 * distinct < count, text.isupper(), " you " in text)
+    return sum(1 << i for i, x in enumerate(fired) if x) << LEXICONS
 
 
 def bits_of(masks: np.ndarray) -> np.ndarray:
@@ -82,30 +96,31 @@ def bits_of(masks: np.ndarray) -> np.ndarray:
     return np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :VOTERS].astype(np.float64)
 
 
-def lexicon_masks(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Of each hashed term the voters (as bits) that hold it: none for most. Terms are
-    dealt in the order of their odds, so that voters are alike in strength."""
-    toxic, clean = (np.bincount(np.concatenate([f for f, t in zip(found, y, strict=True) if t == side] or [np.zeros(0, np.int64)]), minlength=SPACE) for side in (1, 0))
+def lexicon_masks(found: list[np.ndarray], y: np.ndarray) -> dict[int, int]:
+    """Of the hashed terms that voters hold, the voter as a bit. Terms are dealt in the
+    order of their odds, so that voters are alike in strength."""
+    toxic, clean = np.zeros(SPACE), np.zeros(SPACE)
+    for f, t in zip(found, y, strict=True):
+        (toxic if t else clean)[np.unique(f)] += 1
     n_toxic, n_clean = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
     held = np.flatnonzero((toxic >= LEAST_ROWS) & (odds >= LEAST_ODDS))
     held = held[np.argsort(-(odds[held] * toxic[held]), kind="stable")]
-    masks = np.zeros(SPACE, np.uint64)
-    masks[held] = np.uint64(1) << (np.arange(len(held)) % LEXICONS).astype(np.uint64)
-    return masks
+    return {t: 1 << i % LEXICONS for i, t in enumerate(held.tolist())}
 
 
-def vote_counts(docs: DataFrame, masks: np.ndarray, text: str) -> tuple[np.ndarray, int]:
+def vote_counts(docs: DataFrame, masks: dict[int, int], text: str) -> tuple[np.ndarray, int]:
     """(counts, rows): counts[i, j] of documents on which voters i and j both fire."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Sums(masks, lambda x: int(np.bitwise_or.reduce(x)))
+        known = Known(masks, or_, 0)
         total, n = np.zeros((VOTERS, VOTERS)), 0
         for b in batches:
             votes = []
             for t in texts_of(b.column(0)):
-                mask = fired_patterns(t)
-                for m in set(map(known.__getitem__, words_of(t))):
+                own, count = tokens_of(t)
+                mask = fired_patterns(t, len(own), count)
+                for m in set(map(known.__getitem__, own)):
                     mask |= m
                 votes.append(mask)
             x = bits_of(np.array(votes, np.uint64))
@@ -163,20 +178,22 @@ class LabelModel:
 
 def fit_sparse(found: list[np.ndarray], target: np.ndarray, steps: int = 300, lasso: float = 0.15) -> tuple[np.ndarray, float]:
     """Weights over the term space and a constant: logistic regression on how many of a
-    text's distinct words have a term, with an L1 penalty, by accelerated proximal
+    text's distinct tokens have a term, with an L1 penalty, by accelerated proximal
     steps whose size follows each term's own curvature. Terms in fewer than LEAST_ROWS
     rows, and those that go with neither side, have weight 0."""
-    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    cols = np.concatenate(found)
-    total = np.bincount(cols, minlength=SPACE)
-    high = np.bincount(cols, weights=target[rows], minlength=SPACE)
+    total, high = np.zeros(SPACE), np.zeros(SPACE)
+    for at in range(0, len(found), 500):  # a part at a time, as terms are many before the choice
+        part = found[at : at + 500]
+        cols = np.concatenate(part)
+        total += np.bincount(cols, minlength=SPACE)
+        high += np.bincount(cols, np.repeat(target[at : at + 500], [len(f) for f in part]), SPACE)
     share = target.mean()
     deviation = (high - share * total) / np.sqrt(share * (1 - share) * total + 1e-9)
     chosen = np.flatnonzero((total >= LEAST_ROWS) & (np.abs(deviation) > 3.0))
     place = np.full(SPACE, -1)
     place[chosen] = np.arange(len(chosen))
-    keep = place[cols] >= 0
-    rows, cols = rows[keep], place[cols[keep]]
+    kept = [x[x >= 0] for x in (place[f] for f in found)]
+    rows, cols = np.repeat(np.arange(len(found)), [len(f) for f in kept]), np.concatenate(kept)
     n, m = len(found), len(chosen)
     per_row = np.bincount(rows, minlength=n) + 1.0
     step = 1 / (0.25 * np.bincount(cols, per_row[rows], m) + 1e-6)
@@ -217,11 +234,13 @@ def sample_terms(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = texts_of(b.column(0))
-            found = [np.array([x for w in words_of(t) for x in terms(w)], "<i4") for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in found], pa.binary()), b.column(1), pa.array([fired_patterns(t) for t in texts], pa.int64())], names=["terms", "y", "patterns"])
+            split = [tokens_of(t) for t in texts]
+            found = [np.array([x for w in own for x in token_terms(w)], "<i4").tobytes() for own, _ in split]
+            fired = [fired_patterns(t, len(own), n) for t, (own, n) in zip(texts, split, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1), pa.array(fired, pa.int64())], names=["terms", "y", "patterns"])
 
     got = rows.mapInArrow(run, "terms binary, y int, patterns long").toPandas()
-    return [np.frombuffer(x, "<i4").astype(np.int64) for x in got["terms"]], got["y"].to_numpy(np.float64), got["patterns"].to_numpy(np.uint64)
+    return [np.frombuffer(x, "<i4") for x in got["terms"]], got["y"].to_numpy(np.float64), got["patterns"].to_numpy(np.uint64)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
@@ -238,9 +257,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         share = float(np.clip(y.mean(), 0.001, 0.999))
         constant = float(np.log(share / (1 - share)))
     if len(y) and 0 < y.mean() < 1:
-        distinct = [np.unique(f) for f in found]
-        masks = lexicon_masks(distinct, y)
-        votes = bits_of(np.array([int(np.bitwise_or.reduce(masks[f], initial=np.uint64(0))) | int(p) for f, p in zip(distinct, patterns, strict=True)], np.uint64))
+        masks = lexicon_masks(found, y)
+        voters = np.zeros(SPACE, np.uint64)
+        voters[list(masks)] = np.array(list(masks.values()), np.uint64)
+        votes = bits_of(np.array([int(np.bitwise_or.reduce(voters[f], initial=np.uint64(0))) | int(p) for f, p in zip(found, patterns, strict=True)], np.uint64))
         counts, n = vote_counts(docs, masks, text)
         off, about = votes - votes.mean(axis=0), y - y.mean()
         direction = (off * about[:, None]).mean(axis=0) / (off.std(axis=0) * about.std() + 1e-9)
@@ -252,15 +272,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.select("doc_id", (F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0).alias("held_out"), "text")
-    used = np.flatnonzero(weights)
-    values = weights[used]
+    weight_of = {t: float(weights[t]) for t in np.flatnonzero(weights).tolist()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(SPACE, np.float64)
-        own[used] = values
-        known = Sums(own, lambda x: float(x.sum()))
+        known = Known(weight_of, add, 0.0)
         for b in batches:
-            odds = np.array([sum(map(known.__getitem__, words_of(t))) + constant for t in texts_of(b.column(2))])
+            odds = np.array([fsum(map(known.__getitem__, tokens_of(t)[0])) + constant for t in texts_of(b.column(2))])
             score = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
