@@ -83,10 +83,10 @@ def content_organization(lib: Library) -> DataFrame:
     return organize.content_organization(lib.content, lib.content_tags, lib.content_folders)
 
 
-@query("tenant_visible", "SELECT owner_id, count(*) AS rows FROM (SELECT CASE WHEN owner_id % 3 = 0 THEN NULL ELSE owner_id END AS owner_id FROM reading_states) WHERE owner_id IS NULL OR owner_id = 7 GROUP BY owner_id", ("reading_states",))
+@query("tenant_visible", "SELECT coalesce(CAST(owner_id AS VARCHAR), 'public') AS owner, count(*) AS rows FROM (SELECT CASE WHEN owner_id % 3 = 0 THEN NULL ELSE owner_id END AS owner_id FROM reading_states) WHERE owner_id IS NULL OR owner_id = 7 GROUP BY owner_id", ("reading_states",))
 def tenant_visible(lib: Library) -> DataFrame:
     rows = lib.reading_states.withColumn("owner_id", F.when(F.col("owner_id") % 3 != 0, F.col("owner_id")))
-    return organize.tenant_visible(rows, 7).groupBy("owner_id").agg(F.count("*").alias("rows"))
+    return organize.tenant_visible(rows, 7).groupBy(F.coalesce(F.col("owner_id").cast("string"), F.lit("public")).alias("owner")).agg(F.count("*").alias("rows"))
 
 
 @query(

@@ -25,7 +25,9 @@ def shown(df, columns):
     def cell(x):
         if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return "null"
-        return repr(float(x)) if isinstance(x, float) else str(x)
+        if isinstance(x, float):  # a whole number where a column holds nulls
+            return str(int(x)) if x.is_integer() else repr(x)
+        return str(x)
 
     return sorted(tuple(map(cell, r)) for r in df[columns].itertuples(index=False))
 
