@@ -95,6 +95,7 @@ def daily_rotation(items: DataFrame, first_day: str, days: int, order: str) -> D
     """Which item of a catalogue each day shows: the day's offset modulo its size."""
     size = items.agg(F.count("*").alias("size"))
     calendar = items.sparkSession.range(days).select(F.col("id").alias("offset"), F.date_add(F.lit(first_day).cast("date"), F.col("id").cast("int")).alias("day"))
-    catalogue = items.withColumn("place", F.row_number().over(Window.orderBy(order)) - 1)
+    # no more items are shown than there are days
+    catalogue = items.orderBy(order).limit(days).withColumn("place", F.row_number().over(Window.orderBy(order)) - 1)
     wanted = calendar.join(F.broadcast(size)).select("day", F.pmod("offset", "size").alias("place"))
     return catalogue.join(F.broadcast(wanted), "place").drop("place")

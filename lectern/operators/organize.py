@@ -72,14 +72,20 @@ def newest(items: DataFrame, k: int, category: str | None = None) -> DataFrame:
     return rows.orderBy(F.col("updated_at").desc(), *KEYS).limit(min(1000, max(1, k)))
 
 
-def page_clamped(rows: DataFrame, order: list, size: int, number: int) -> DataFrame:
-    """Page `number` from 1, or the last page if there are fewer."""
+def page_clamped(rows: DataFrame, order: list[tuple[str, bool]], size: int, number: int) -> DataFrame:
+    """Page `number` from 1, or the last page if there are fewer; order: columns, and
+    whether each ascends. The page is reached from the end that is nearer, so first and
+    last pages gather few rows; for pages deep inside use after_key."""
     total = rows.count()
     last = max(1, -(-total // size))
     use = min(max(1, number), last)
-    head = rows.orderBy(*order).limit(use * size)
-    place = F.row_number().over(Window.orderBy(*order))
-    return head.withColumn("place", place.cast("long")).where(F.col("place") > (use - 1) * size).withColumn("page", F.lit(use)).withColumn("pages", F.lit(last))
+    begin, end = (use - 1) * size, min(use * size, total)
+    back = total - begin < end
+    by = [F.col(c).asc() if up != back else F.col(c).desc() for c, up in order]
+    head = rows.orderBy(*by).limit(total - begin if back else end)
+    n = F.row_number().over(Window.orderBy(*by)).cast("long")
+    placed = head.withColumn("place", F.lit(total + 1) - n if back else n).where(F.col("place").between(begin + 1, end))
+    return placed.withColumn("page", F.lit(use)).withColumn("pages", F.lit(last))
 
 
 def after_key(rows: DataFrame, order: list[str], last: tuple, k: int) -> DataFrame:

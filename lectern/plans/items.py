@@ -96,7 +96,7 @@ def tenant_visible(lib: Library) -> DataFrame:
     ("content",),
 )
 def page_clamped(lib: Library) -> DataFrame:
-    return organize.page_clamped(lib.content, [F.col("updated_at").desc(), *KEYS], 24, 10_000_000).select("place", *KEYS, "page", "pages")
+    return organize.page_clamped(lib.content, [("updated_at", False), ("target_type", True), ("target_id", True)], 24, 10_000_000).select("place", *KEYS, "page", "pages")
 
 
 @query("page_after_key", "SELECT target_type, target_id, category FROM content WHERE (category, target_type, target_id) > ('src3', 'document', '5') ORDER BY category, target_type, target_id LIMIT 40", ("content",))
