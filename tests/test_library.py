@@ -50,3 +50,19 @@ def test_gates(spark):
     assert [r[0] for r in rows.select(library.needs_ocr(F.col("e"), F.col("t"))).collect()] == [True, False, True, False]
     rows = spark.createDataFrame([("一" * 50,), ("一" * 50 + " word" * 90,), ("words",)], "t string")
     assert [r[0] for r in rows.select(library.prose_language_gate(F.col("t"))).collect()] == [True, False, False]
+
+
+def test_dense_text_in_blocks(spark):
+    from lectern.operators import records
+
+    text = " ".join(f"Sentence number {i} is here." for i in range(30)) + " " + "x" * 300
+    got = [r.block for r in records.split_dense_text(spark.createDataFrame([("a", text), ("b", "")], "id string, text string")).where("id = 'a'").orderBy("pos").collect()]
+    assert " ".join(got) == text and all(len(b) <= 190 for b in got[:-1])
+
+
+def test_a_week_chooses_one_new_paper(spark):
+    from lectern.operators import records
+
+    candidates = spark.createDataFrame([("w1", "p1", True), ("w1", "p2", True), ("w2", "p3", True), ("w3", "p4", False), ("w4", "p9", True)], "week string, id string, chosen boolean")
+    status, papers = spark.createDataFrame([("w2", "done")], "week string, status string"), spark.createDataFrame([("p9",)], "id string")
+    assert [(r.week, r.id) for r in records.select_candidate(candidates, status, papers).collect()] == [("w1", "p1")]
