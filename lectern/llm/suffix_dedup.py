@@ -17,8 +17,8 @@ same document and earlier start); the bytes that they cover are removed.
    that begin long before the anchor share bytes before it, the others behind it. In
    the end a bucket holds a single window's copies, whose first an aggregate finds.
 
-Documents' texts cross the network once, to meet the decisions; the two joins share
-that exchange.
+Documents' texts cross the network twice: once to count the contexts of each bucket, once
+to cut them and to meet the decisions, which share an exchange.
 """
 
 from __future__ import annotations
@@ -40,9 +40,9 @@ WIDTH = 100
 #: places, and from any place the next one is at most 7 bytes away.
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 REACH = 7
-#: Contexts of a bucket before it is dealt anew, bytes of contexts sorted at once, and
-#: bytes of documents whose anchors are reduced at once.
-BUCKET, BLOCK, BATCH = 50_000, 4_000_000, 24_000_000
+#: Contexts of a bucket before it is dealt anew, bytes of contexts sorted at once, bytes
+#: of documents whose anchors are reduced at once, and bytes of a document at once.
+BUCKET, BLOCK, BATCH, SEGMENT = 50_000, 4_000_000, 24_000_000, 4_000_000
 MARK = 128
 RECORD = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("run", "u1"), ("at", "u1")])
 
@@ -71,20 +71,20 @@ def _reduced(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return records[first], records[~first]
 
 
-def _dealt(texts: list[tuple[int, bytes]], buckets: int, width: int) -> Iterator[tuple[int, np.ndarray]]:
+def _dealt(texts: list[tuple[int, bytes]], buckets: int, width: int, segment: int = SEGMENT) -> Iterator[tuple[int, np.ndarray]]:
     """Records of a batch's anchors by bucket. -1: runs that the batch itself decides.
     From `buckets` on: keys with several contexts in this batch, dealt by context, as
     many tasks may hold them; their own bucket is told by one marked record."""
     found = []
     for doc, text in texts:
-        if len(text) < width:
-            continue
-        data = np.frombuffer(text, np.uint8)
-        anchor, lo, hi, gram = windows_by_anchor(data, width)
-        rows = np.empty(len(lo), RECORD)
-        rows["key"], rows["ctx"] = gram, span_sums(prefix_sums(data), lo, hi + width)
-        rows["doc"], rows["lo"], rows["run"], rows["at"] = doc, lo, hi - lo, anchor - lo
-        found.append(rows)
+        whole = np.frombuffer(text, np.uint8)
+        for begin in range(0, len(text) - width + 1, segment):  # a window's anchor doesn't depend on where a segment begins
+            data = whole[begin : begin + segment + width - 1]
+            anchor, lo, hi, gram = windows_by_anchor(data, width)
+            rows = np.empty(len(lo), RECORD)
+            rows["key"], rows["ctx"] = gram, span_sums(prefix_sums(data), lo, hi + width)
+            rows["doc"], rows["lo"], rows["run"], rows["at"] = doc, begin + lo, hi - lo, anchor - lo
+            found.append(rows)
     if not found:
         return
     first, others = _reduced(np.concatenate(found))

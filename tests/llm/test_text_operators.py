@@ -283,3 +283,11 @@ def test_sparse_sites_stay_near_the_global_rate(spark):
     rows = [("big", "big/a", 1, 0.0)] * 400 + [("bad", "bad/a", 0, 0.0)] * 300 + [("small", "small/a", 0, 0.0)]
     odds = {r.host: r.site_odds for r in quality.site_rates(spark.createDataFrame(rows, "host string, path string, quality int, evidence double")).collect()}
     assert odds["big"] > 1 and odds["bad"] < -1 and odds["bad"] < odds["small"] < 0.5
+
+
+def test_long_documents_in_segments():
+    rng = random.Random(9)
+    texts = [(i, words(rng, 400).encode()) for i in range(3)]
+    texts.append((3, texts[0][1][300:1500] + texts[1][1][:900]))
+    windows = lambda s: sorted((int(r["doc"]), int(r["lo"]) + k) for _, rows in suffix_dedup._dealt(texts, 4, 100, s) for r in rows if r["run"] < suffix_dedup.MARK for k in range(int(r["run"]) + 1))
+    assert windows(137) == windows(1 << 20) == sorted((i, p) for i, t in texts for p in range(len(t) - 99))
