@@ -14,6 +14,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ WORDS_OF_USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+
 LONGEST_GUESS = 48
 #: Distinct words kept by a worker, characters handled at once, and the longest
 #: text whose words are listed at once.
-CACHE_WORDS, CHUNK_CHARS, WHOLE_CHARS = 400_000, 4_000_000, 8_000_000
+CACHE_WORDS, CHUNK_CHARS, WHOLE_CHARS = 1_000_000, 4_000_000, 8_000_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -43,6 +44,39 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else next(rest) for b in range(256)]
 
 
+class Lookup:
+    """A fixed map of integers for whole arrays of keys: open addressing, a quarter full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, default: int):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask, self.default = np.uint64(64 - bits), (1 << bits) - 1, default
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, default, np.int64)
+        at = self._slot(keys)
+        for k, v, i in zip(keys.tolist(), values.tolist(), at.tolist(), strict=True):
+            while self.keys[i] >= 0:
+                i = (i + 1) & self.mask
+            self.keys[i], self.values[i] = k, v
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys (0 and more); the default where there is none."""
+        at = self._slot(keys)
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.values[at], self.default)
+        open_ = np.flatnonzero((seen != keys) & (seen >= 0))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & self.mask
+            seen, wanted = self.keys[at], keys[open_]
+            hit = seen == wanted
+            out[open_[hit]] = self.values[at[hit]]
+            go = ~hit & (seen >= 0)
+            open_, at = open_[go], at[go]
+        return out
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -75,9 +109,7 @@ class Codec:
             self.order[k], self.left[k], self.right[k] = 256 + n, i, j
             keys.append(i << 32 | j)
             made.append(256 + n)
-        keys, made = np.array([*keys, NONE]), np.array([*made, NONE])
-        at = np.argsort(keys)
-        self.pair_keys, self.pair_order = keys[at], made[at]
+        self.pair_order = Lookup(np.array(keys, np.int64), np.array(made, np.int64), NONE)
         self.byte_ids = np.array(self.byte_id)
         self.token_of_order = np.zeros(256 + len(merges), np.int64)
         self.token_of_order[self.order[list(vocab.values())]] = list(vocab.values())
@@ -106,9 +138,7 @@ class Codec:
                     node = edges[key] = len(accepts)
                     accepts.append(-1)
             accepts[node] = token
-        keys, nodes = np.array([*edges, NONE]), np.array([*edges.values(), -1])
-        at = np.argsort(keys)
-        self.edge_keys, self.edge_nodes, self.accepts = keys[at], nodes[at], np.array(accepts)
+        self.edge, self.accepts = Lookup(np.array([*edges], np.int64), np.array([*edges.values()], np.int64), -1), np.array(accepts)
 
     def compatible(self, one: np.ndarray, two: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         """For each pair of tokens: would no merge across their seam have come
@@ -120,9 +150,7 @@ class Codec:
         bound = np.full(len(one), NONE) if before is None else before.astype(np.int64)
         strict = np.zeros(len(one), bool)  # whether an equal order on the right counts as earlier
         while len(live):
-            key = one << 32 | two
-            at = np.searchsorted(self.pair_keys, key)
-            order = np.where(self.pair_keys[at] == key, self.pair_order[at], NONE)
+            order = self.pair_order(one << 32 | two)
             broken = (order < bound) | (strict & (order == bound) & (order != NONE))
             answer[live[broken]] = False
             undo_left = self.order[one] > self.order[two]
@@ -140,17 +168,17 @@ class Codec:
     def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest matches of all words: (word number, token), in order."""
         text = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([len(w) for w in words])
-        word = np.arange(len(words))
-        at = ends - [len(w) for w in words]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        word, at = np.arange(len(words)), ends - size
         node, good, good_end = np.zeros(len(words), np.int64), np.full(len(words), -1), at.copy()
         out_word, out_token = [], []
         while len(word):
             inside = at < ends[word]
             key = node << 8 | text[np.minimum(at, len(text) - 1)]
-            found = np.searchsorted(self.edge_keys, key)
-            step = inside & (self.edge_keys[found] == key)
-            node = np.where(step, self.edge_nodes[found], 0)
+            found = self.edge(key)
+            step = inside & (found >= 0)
+            node = np.where(step, found, 0)
             at = at + step
             token = self.accepts[node]
             hit = step & (token >= 0)
@@ -168,16 +196,14 @@ class Codec:
     def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Exact merging of many short words, one merge a word and round: (word
         number, token), in order."""
-        size = np.array([len(w) for w in words])
+        size = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), size)
         token = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         out_word, out_token = [], []
 
         def orders(at: np.ndarray) -> np.ndarray:
             to = np.minimum(at + 1, len(token) - 1)
-            key = token[at] << 32 | token[to]
-            found = np.searchsorted(self.pair_keys, key)
-            return np.where((self.pair_keys[found] == key) & (to > at) & (word[at] == word[to]), self.pair_order[found], NONE)
+            return np.where((to > at) & (word[at] == word[to]), self.pair_order(token[at] << 32 | token[to]), NONE)
 
         order = orders(np.arange(len(token)))
         while len(token):
@@ -265,11 +291,12 @@ class Codec:
     def _plain(self, texts: list[str]) -> list[bytes]:
         listed = [(self.plain_re if self.usual_re.fullmatch(t) else self.words_re).findall(t) for t in texts]
         known = self.cache
-        new = {w for words in listed for w in words if w not in known}
+        kinds = set(chain.from_iterable(listed))
+        new = kinds.difference(known)
         if new:
             self.learn(new)
-            if len(known) < len(new) or any(w not in known for words in listed for w in words):  # the cache was cleared
-                self.learn({w for words in listed for w in words})
+            if kinds.difference(known):  # the cache was cleared
+                self.learn(kinds)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in listed]
 
