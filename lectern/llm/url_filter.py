@@ -18,7 +18,7 @@ from lectern.llm.common import settle
 
 #: Rules of the query: verdict, then host/path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-SUPPORT, CONFIDENCE, DEFAULT = 0.002, 0.6, "allow"
+SUPPORT, CONFIDENCE, DEFAULT = 0.01, 0.6, "allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VERDICT = "verdict="
 
