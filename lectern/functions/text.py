@@ -80,7 +80,7 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(t, "<[^>]+>", " ")
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), " ?\n[ \n]*", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def title_key(title: Column) -> Column:
