@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import settle, table
 from lectern.llm.exact_dedup import without_copies
+from lectern.llm.overlap import without_overlap
 from lectern.llm.packing import pack
 from lectern.llm.quality import scored
 from lectern.llm.queries import vocabulary
-from lectern.llm.simhash import near_duplicates
 from lectern.llm.suffix_dedup import removed_passages
 
 
@@ -29,11 +29,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one of the least id. Rows that
-    share an id stay or go together."""
-    stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    stay = settle(stay, "stay")
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    """Of documents that share 0.8 or more of their five-word shingles, the one of the
+    least id. Rows that share an id stay or go together."""
+    return without_overlap(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
