@@ -258,12 +258,15 @@ class Codec:
         return [i for i in ids if i >= 0]
 
     def learn(self, words: Iterable[str]) -> None:
-        """Puts the encodings of unknown words into the cache."""
+        """Puts the encodings of unknown words into the cache, which then has all of words,
+        however many they are."""
+        words = list(words)
         new = [w for w in words if w not in self.cache]
         if not new:
             return
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
+            new = words
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         short = [i for i, w in enumerate(raw) if len(w) <= LONGEST_GUESS]
         exact = [i for i, w in enumerate(raw) if len(w) > LONGEST_GUESS]
@@ -292,11 +295,8 @@ class Codec:
         listed = [(self.plain_re if self.usual_re.fullmatch(t) else self.words_re).findall(t) for t in texts]
         known = self.cache
         kinds = set(chain.from_iterable(listed))
-        new = kinds.difference(known)
-        if new:
-            self.learn(new)
-            if kinds.difference(known):  # the cache was cleared
-                self.learn(kinds)
+        if kinds.difference(known):
+            self.learn(kinds)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in listed]
 
