@@ -4,21 +4,26 @@ Wanted are all windows of `width` bytes that start earlier somewhere (smaller id
 same document and earlier start); the bytes that they cover are removed.
 
 1. Suffix buckets. Windows are dealt to the bucket of their anchor (see anchors):
-   equal windows are in one bucket, at one distance from the anchor. A task keeps one
-   row for each anchor and its context (the bytes that its windows cover together),
-   so that exact copies are settled without sorting: all but the first are removed.
-2. Buckets in which contexts differ are sorted, some at a time. Contexts are laid out
+   equal windows are in one bucket, at one distance from the anchor. A row stands for
+   an anchor and its context, the bytes that its windows cover together. Buckets of
+   one row hold nothing that repeats and go no further.
+2. Contexts whose sums of bytes are equal are candidates for whole copies. Those that
+   follow each other in both documents are taken together, and a copy's SHA-256 must
+   be that of the bytes it repeats; within a task's batch the bytes themselves are
+   compared. Where that fails, the bucket is sorted whole.
+3. Buckets in which contexts differ are sorted, some at a time. Contexts are laid out
    with their anchors at multiples of PERIOD. The suffixes at the places of a
-   difference cover are ranked first. Then a bucket's windows are sorted by what
-   stands before the next place of the cover, by the rank there, and by what the
-   rank doesn't reach: no comparison looks at more than a few bytes, however long
-   the tie, and memory is that of the buckets at hand.
-3. A bucket with too many contexts is dealt anew by more bytes: those of its windows
-   that begin long before the anchor share bytes before it, the others behind it. In
-   the end a bucket holds a single window's copies, whose first an aggregate finds.
-
-Documents' texts cross the network twice: once to count the contexts of each bucket, once
-to cut them and to meet the decisions, which share an exchange.
+   difference cover are ranked first, by doubling. Then a bucket's windows are sorted
+   by what stands before the next place of the cover, by the rank there, and by what
+   the rank doesn't reach: no comparison looks at more than a few bytes, however
+   long the tie, and memory is that of the buckets at hand.
+4. A bucket with too many contexts is dealt anew by more bytes: those of its windows
+   that begin long before the anchor share bytes before it, the others behind it.
+   Equal contexts of the new buckets are reduced to the first by an aggregate.
+
+No group is ever in one task as a whole: buckets are counted by partial aggregates, met
+by joins that adaptive execution can split, and sorted in streams of bounded blocks.
+Texts cross the network twice: to cut what is asked of them, and to meet the decisions.
 """
 
 from __future__ import annotations
@@ -29,11 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.anchors import GRAM, prefix_sums, span_sums, windows_by_anchor
-from lectern.llm.common import mixed, settle, utf8_values
+from lectern.llm.common import settle, utf8_values
 
 WIDTH = 100
 #: A difference cover modulo 16. Any distance is that of two of its
@@ -42,124 +47,127 @@ PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 REACH = 7
 #: Contexts of a bucket before it is dealt anew, bytes of contexts sorted at once, bytes
 #: of documents whose anchors are reduced at once, and bytes of a document at once.
-BUCKET, BLOCK, BATCH, SEGMENT = 50_000, 4_000_000, 24_000_000, 4_000_000
-MARK = 128
-RECORD = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("run", "u1"), ("at", "u1")])
+BUCKET, BLOCK, BATCH, SEGMENT = 1_000, 1_000_000, 12_000_000, 1_000_000
+RECORD = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("n", "<i4"), ("run", "<i4"), ("at", "<i4")])
+ANCHORS = "doc long, lo int, run int, at int, key long, ctx long"
 
 
 def numbered_documents(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """((doc, text), (doc, doc_id, ...)): doc is the place of a row in the order of ids.
-    Unique ids of an integer type stand for themselves. Else rows are numbered in the
-    order of their ids, nulls last."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(*(F.col(c) for c in carry)).alias("carry") if carry else F.lit(None).alias("carry"))
+    """((doc, text), (doc, doc_id, ...)): doc grows in the order of ids. Unique ids of an
+    integer type stand for themselves. Else rows are sorted by id, nulls last, and
+    numbered partition by partition."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(*(F.col(c) for c in carry)).alias("carry") if carry else F.lit(0).alias("carry"))
     plain = rows.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     if plain and not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count():
         doc = F.col("doc_id").cast("long").alias("doc")
         return rows.select(doc, "text"), rows.select(doc, "doc_id", "carry")
-    rows = settle(rows.withColumn("carry", F.col("carry") if carry else F.lit(0)).withColumn("row", F.monotonically_increasing_id()), "rows")
-    order = rows.select("row", "doc_id").orderBy(F.col("doc_id").asc_nulls_last(), "row").rdd.zipWithIndex().map(lambda x: (x[0]["row"], x[1]))
-    numbers = settle(docs.sparkSession.createDataFrame(order, "row long, doc long"), "numbers")
-    rows = rows.join(numbers, "row")
-    return settle(rows.select("doc", "text"), "texts"), settle(rows.select("doc", "doc_id", "carry"), "ids")
+    ordered = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("doc", F.monotonically_increasing_id())
+    ordered = settle(ordered, "numbered")
+    return ordered.select("doc", "text"), ordered.select("doc", "doc_id", "carry")
 
 
-def _reduced(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first of each (key, ctx), the others), in the order of key, ctx, doc, lo."""
-    records = records[np.lexsort((records["lo"], records["doc"], records["ctx"], records["key"]))]
-    first = np.ones(len(records), bool)
-    first[1:] = (records["key"][1:] != records["key"][:-1]) | (records["ctx"][1:] != records["ctx"][:-1])
-    return records[first], records[~first]
-
-
-def _dealt(texts: list[tuple[int, bytes]], buckets: int, width: int, segment: int = SEGMENT) -> Iterator[tuple[int, np.ndarray]]:
-    """Records of a batch's anchors by bucket. -1: runs that the batch itself decides.
-    From `buckets` on: keys with several contexts in this batch, dealt by context, as
-    many tasks may hold them; their own bucket is told by one marked record."""
+def _contexts(texts: list[tuple[int, bytes]], width: int, segment: int) -> pa.RecordBatch:
+    """Rows of ANCHORS for a batch of documents. Of contexts that the batch repeats, the
+    first keeps its key; the others, equal to it byte for byte, have none."""
     found = []
-    for doc, text in texts:
+    for n, (doc, text) in enumerate(texts):
         whole = np.frombuffer(text, np.uint8)
         for begin in range(0, len(text) - width + 1, segment):  # a window's anchor doesn't depend on where a segment begins
             data = whole[begin : begin + segment + width - 1]
             anchor, lo, hi, gram = windows_by_anchor(data, width)
             rows = np.empty(len(lo), RECORD)
             rows["key"], rows["ctx"] = gram, span_sums(prefix_sums(data), lo, hi + width)
-            rows["doc"], rows["lo"], rows["run"], rows["at"] = doc, begin + lo, hi - lo, anchor - lo
+            rows["doc"], rows["lo"], rows["n"], rows["run"], rows["at"] = doc, begin + lo, n, hi - lo, anchor - lo
             found.append(rows)
-    if not found:
-        return
-    first, others = _reduced(np.concatenate(found))
-    yield -1, others
-    begins = np.flatnonzero(np.r_[True, first["key"][1:] != first["key"][:-1]])
-    size = np.diff(np.r_[begins, len(first)])
-    several = np.repeat(size > 1, size)
-    marks = first[begins[size > 1]]
-    marks["run"] |= MARK
-    shown = np.concatenate([first[~several], marks])
-    spread = first[several]
-    for base, rows, hashed in ((0, shown, mixed(shown["key"])), (buckets, spread, mixed(spread["key"] ^ mixed(spread["ctx"])))):
-        bucket = (hashed >> np.uint64(33)).astype(np.int64) % buckets
-        order = np.argsort(bucket, kind="stable")
-        rows, bucket = rows[order], bucket[order]
-        for s, e in zip(at := np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rows) else [], [*at[1:], len(rows)] if len(rows) else [], strict=True):
-            yield base + int(bucket[s]), rows[s:e]
-
-
-def anchor_records(docs: DataFrame, buckets: int, width: int, batch: int = BATCH) -> DataFrame:
-    """(bucket, rows): records as bytes. Runs that are decided have bucket -1 - n."""
+    rows = np.concatenate(found) if found else np.zeros(0, RECORD)
+    rows = rows[np.lexsort((rows["lo"], rows["doc"], rows["run"], rows["ctx"], rows["key"]))]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["ctx"][1:] != rows["ctx"][:-1]) | (rows["run"][1:] != rows["run"][:-1])
+    other = np.flatnonzero(~first)
+    head = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))[other]
+    sides = (rows["n"][other], rows["lo"][other], rows["n"][head], rows["lo"][head], rows["run"][other] + width)
+    equal = [texts[a][1][i : i + k] == texts[b][1][j : j + k] for a, i, b, j, k in zip(*(x.tolist() for x in sides), strict=True)]
+    again = np.zeros(len(rows), bool)
+    again[other] = equal
+    columns = [pa.array(np.ascontiguousarray(rows[c])) for c in ("doc", "lo", "run", "at")]
+    keys = [pa.array(np.ascontiguousarray(rows[c]).view(np.int64), mask=again) for c in ("key", "ctx")]
+    return pa.RecordBatch.from_arrays([*columns, *keys], names=["doc", "lo", "run", "at", "key", "ctx"])
+
+
+def anchors_of(docs: DataFrame, width: int, batch: int = BATCH, segment: int = SEGMENT) -> DataFrame:
+    """docs(doc, text) -> ANCHORS: the context from lo on stands for the windows that
+    begin at lo to lo + run; their anchor is at lo + at. Without key: to be removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
-        size = turn = 0
-
-        def flush() -> pa.RecordBatch:
-            out = [(b if b >= 0 else -1 - held[0][0] % buckets, rows.tobytes()) for b, rows in _dealt(held, buckets, width) if len(rows)]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "rows"])
-
+        size = 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), utf8_values(b.column(1)), strict=True):
                 held.append((doc, text))
                 size += len(text)
                 if size >= batch:
-                    yield flush()
-                    held, size, turn = [], 0, turn + 1
+                    yield _contexts(held, width, segment)
+                    held, size = [], 0
         if held:
-            yield flush()
+            yield _contexts(held, width, segment)
 
-    return docs.mapInArrow(run, "bucket long, rows binary")
+    return docs.mapInArrow(run, ANCHORS)
 
 
-def _decided(bucket: int, blobs: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(removed, open) records of one bucket."""
-    records = np.frombuffer(b"".join(blobs), RECORD)
-    if bucket < 0:
-        return records, records[:0]
-    marked = records["run"] >= MARK
-    marks = np.unique(records["key"][marked])
-    first, others = _reduced(records[~marked])
-    if bucket >= buckets:
-        return others, first
-    begins = np.flatnonzero(np.r_[True, first["key"][1:] != first["key"][:-1]]) if len(first) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[begins, len(first)])
-    open_ = np.repeat(size > 1, size) | np.isin(first["key"], marks)
-    return others, first[open_]
+def copied_spans(met: DataFrame, width: int) -> DataFrame:
+    """met(doc, lo, run, key, ctx) -> (doc, start, size, of_doc, of_start): bytes that seem
+    to be those of an earlier place. Contexts that follow each other there and here are
+    one span."""
+    place = F.struct("doc", "lo")
+    firsts = met.groupBy("key", "ctx").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = met.join(firsts, ["key", "ctx"]).where(place != F.col("first")).select("doc", "lo", "run", F.col("first.doc").alias("of_doc"), (F.col("first.lo") - F.col("lo")).alias("shift"))
+    along = Window.partitionBy("doc", "of_doc", "shift").orderBy("lo")
+    begins = (F.col("lo") != F.coalesce(F.lag(F.col("lo") + F.col("run") + 1).over(along), F.lit(-1))).cast("long")
+    spans = copies.withColumn("begins", begins).withColumn("span", F.sum("begins").over(along)).groupBy("doc", "of_doc", "shift", "span").agg(F.min("lo").alias("start"), (F.max(F.col("lo") + F.col("run")) + width).alias("end"))
+    return spans.select("doc", "start", (F.col("end") - F.col("start")).alias("size"), "of_doc", (F.col("start") + F.col("shift")).alias("of_start"))
 
 
-def settled_anchors(records: DataFrame, buckets: int) -> DataFrame:
-    """(doc, lo, run, at, key): windows lo to lo + run of doc, their anchor at lo + at; key
-    is null if they are to be removed, else they need sorting."""
+def _cut_out(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(doc, lo, size, key, at) -> the same with what stands there: the bytes where
+    there is a key, else their SHA-256."""
+    rows = asked.groupBy("doc").agg(F.collect_list(F.struct("lo", "size", "key", "at")).alias("asked")).join(texts, "doc")
 
-    def run(group: pa.Table) -> pa.Table:
-        removed, open_ = _decided(group.column("bucket")[0].as_py(), group.column("rows").to_pylist(), buckets)
-        both = np.concatenate([removed, open_])
-        key = pa.array(np.ascontiguousarray(both["key"]).view(np.int64), mask=np.arange(len(both)) < len(removed))
-        return pa.table([pa.array(np.ascontiguousarray(both["doc"])), pa.array(np.ascontiguousarray(both["lo"])), pa.array(both["run"].astype(np.int32)), pa.array(both["at"].astype(np.int32)), key], names=["doc", "lo", "run", "at", "key"])
+    def piece(a):
+        body = F.substring(F.col("bytes"), a["lo"] + 1, a["size"])
+        return F.struct(a["lo"].alias("lo"), a["size"].alias("size"), a["key"].alias("key"), a["at"].alias("at"), F.when(a["key"].isNull(), F.unhex(F.sha2(body, 256))).otherwise(body).alias("body"))
 
-    return records.groupBy("bucket").applyInArrow(run, "doc long, lo int, run int, at int, key long")
+    return rows.select("doc", F.explode(F.transform("asked", piece)).alias("p")).select("doc", "p.*")
 
 
 def _words(table: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The `size` bytes (at most 8) from each place, as integers in byte order."""
-    return table[at] >> (np.uint64(64) - np.uint64(8) * size.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
+    return np.where(size > 0, table[at] >> (np.uint64(64) - np.uint64(8) * np.maximum(size, 1).astype(np.uint64)), 0)
+
+
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """The rank of each row in the order of the keys; equal rows have one rank."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
+def cover_ranks(table: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes at all places of the cover, by their first `depth` bytes (32
+    at least). table: the eight bytes from each place. Two words give 16 bytes; a place
+    of the cover and the one PERIOD times 1, 2, 4... further on give twice as many."""
+    rank, reached, per = _ranks(table[places], table[places + 8]), PERIOD, len(COVER)
+    while 2 * reached <= depth:
+        further = np.zeros_like(rank)
+        step = per * reached // PERIOD
+        further[:-step] = rank[step:]
+        rank, reached = _ranks(rank, further), 2 * reached
+    rest = [*range(reached, depth - 8, 8), depth - 8] if reached < depth else []
+    return _ranks(rank, *(table[places + o] for o in rest)) if rest else rank
 
 
 def repeated_windows(contexts: list[bytes], anchor: np.ndarray, bucket: np.ndarray, doc: np.ndarray, lo: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -168,14 +176,16 @@ def repeated_windows(contexts: list[bytes], anchor: np.ndarray, bucket: np.ndarr
     anchor; earlier: by (doc, lo + start). anchor: the anchor's place in the context."""
     size = np.array([len(c) for c in contexts])
     lead = -anchor % PERIOD
-    room = -(-(lead + size + 8) // PERIOD) * PERIOD
+    room = -(-(lead + size) // PERIOD) * PERIOD
     base = np.cumsum(room) - room + lead
-    data = np.zeros(int(room.sum()) + 8, np.uint8)
+    total = int(room.sum())
+    data = np.zeros(total + -(-width // PERIOD) * PERIOD + 16, np.uint8)
     flat = np.frombuffer(b"".join(contexts), np.uint8)
-    inside = np.repeat(base - (np.cumsum(size) - size), size) + np.arange(len(flat))
-    data[inside] = flat
-    eight = np.lib.stride_tricks.sliding_window_view(data, 8)[: len(data) - 8]
-    table = np.ascontiguousarray(eight).view(">u8").ravel().astype(np.uint64)
+    data[np.repeat(base - (np.cumsum(size) - size), size) + np.arange(len(flat))] = flat
+    table = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(">u8").ravel().astype(np.uint64)
+
+    places = (np.arange(0, total, PERIOD)[:, None] + np.array(COVER)).ravel()
+    rank = cover_ranks(table, places, width - REACH)
 
     windows = size - width + 1
     ctx = np.repeat(np.arange(len(size)), windows)
@@ -183,32 +193,24 @@ def repeated_windows(contexts: list[bytes], anchor: np.ndarray, bucket: np.ndarr
     place = base[ctx] + start
     ahead = np.array([min(c - r if c >= r else c - r + PERIOD for c in COVER) for r in range(PERIOD)])
     head = ahead[place % PERIOD]
+    sample = place + head
+    slot = np.zeros(PERIOD, np.int64)
+    slot[list(COVER)] = np.arange(len(COVER))
 
-    # ranks of the cover's suffixes, to the depth that every window reaches
-    depth = width - REACH
-    samples, back = np.unique(place + head, return_inverse=True)
-    suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, depth)[samples]).view(f"S{depth}").ravel()
-    order = np.argsort(suffix, kind="stable")
-    new = np.r_[True, suffix[order][1:] != suffix[order][:-1]]
-    rank = np.empty(len(samples), np.int64)
-    rank[order] = np.cumsum(new)
-
-    before, behind = _words(table, place, head), _words(table, place + head + depth, REACH - head)
-    before, behind = np.where(head > 0, before, 0), np.where(head < REACH, behind, 0)
-    key = (bucket[ctx], start - anchor[ctx], before, rank[back], behind)
+    before, behind = _words(table, place, head), _words(table, sample + width - REACH, REACH - head)
+    key = (bucket[ctx] * 1024 + start - anchor[ctx], before, rank[len(COVER) * (sample // PERIOD) + slot[sample % PERIOD]], behind)
     order = np.lexsort((lo[ctx] + start, doc[ctx], *key[::-1]))
     again = np.ones(len(order), bool)
     again[:1] = False
     for k in key:
         k = k[order]
         again[1:] &= k[1:] == k[:-1]
-    found = order[again]
-    found.sort()
+    found = np.sort(order[again])
     return ctx[found], start[found]
 
 
 def _runs(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Window starts -> (doc, lo, run), following ones together, at most 100 a row."""
+    """Window starts -> (doc, lo, run), following ones together."""
     order = np.lexsort((at, doc))
     doc, at = doc[order], at[order]
     begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]) if len(doc) else np.zeros(0, np.int64)
@@ -218,7 +220,7 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch], width: int, block: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, doc, lo, at, near, far, body), buckets (key, near, far) standing
-    together -> runs of repeated windows."""
+    together -> runs of repeated windows. A block ends with the bucket that fills it."""
 
     def of(rows: list[tuple]) -> pa.RecordBatch:
         key, near, far = (np.array([r[i] for r in rows], np.int64) for i in (0, 4, 5))
@@ -244,39 +246,37 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch], width: int, block: int) ->
 
 
 def sorted_buckets(contexts: DataFrame, width: int = WIDTH, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """contexts(key, doc, lo, at, body): body starts at lo, its anchor is `at` bytes on.
-    -> runs (doc, lo, run) of windows that are found earlier."""
+    """contexts(key, doc, lo, at, body), a settled table: body starts at lo, its anchor is
+    `at` bytes on. -> runs (doc, lo, run) of windows that are found earlier."""
     # A row holds the windows that begin between `far` and `near` bytes before the anchor.
     rows = contexts.select("key", "doc", "lo", "at", F.lit(0).alias("near"), F.lit(width - GRAM).alias("far"), "body")
-    found = None
+    names, found = ["key", "near", "far"], None
     while True:
-        names = ["key", "near", "far"]
-        sizes = rows.groupBy(*names).agg(F.count("*").alias("n"))
-        hot = settle(sizes.where(F.col("n") > bucket), "hot")
+        hot = settle(rows.groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") > bucket).drop("n"), "hot")
         any_hot = hot.limit(1).count() > 0
         calm = rows.join(hot, names, "left_anti") if any_hot else rows
-        runs = calm.repartition(*names).sortWithinPartitions(*names).select("key", "doc", "lo", "at", "near", "far", "body").mapInArrow(lambda b: _sort_buckets(b, width, block), "doc long, lo int, run int")
+        ordered = calm.repartition(*names).sortWithinPartitions(*names).select("key", "doc", "lo", "at", "near", "far", "body")
+        runs = ordered.mapInArrow(lambda b: _sort_buckets(b, width, block), "doc long, lo int, run int")
         found = runs if found is None else found.unionByName(runs)
         if not any_hot:
             return found
-        part = rows.join(hot.drop("n"), names, "left_semi")
-        last = part.where("near = far")
-        if last.limit(1).count():
-            # these windows are one: the body is the window itself
-            order = F.struct("doc", "lo")
-            least = settle(last.groupBy("key", "near", "body").agg(F.min(order).alias("least")), "least")
-            found = found.unionByName(last.join(least, ["key", "near", "body"]).where(order != F.col("least")).select("doc", "lo", F.lit(0).alias("run")))
         middle = F.floor((F.col("near") + F.col("far")) / 2).cast("int")
         halves = F.explode(F.array(F.struct(F.col("near").alias("near2"), middle.alias("far2")), F.struct((middle + 1).alias("near2"), F.col("far").alias("far2"))))
-        part = part.where("near < far").select("key", "doc", "lo", "at", "body", halves.alias("h")).select("key", "doc", "lo", "at", "body", "h.*")
+        part = rows.join(hot, names, "left_semi").where("near < far").select("key", "doc", "lo", "at", "body", halves.alias("h")).select("key", "doc", "lo", "at", "body", "h.*")
         # window starts s of the body with near <= at - s <= far
         part = part.withColumn("s", F.greatest(F.lit(0), F.col("at") - F.col("far2"))).withColumn("e", F.least(F.length("body") - width, F.col("at") - F.col("near2"))).where("s <= e")
         shared = F.substring("body", F.col("at") - F.col("near2") + 1, F.col("near2") + width - F.col("far2"))
-        rows = part.select(
+        finer = part.select(
             F.xxhash64("key", "near2", "far2", shared).alias("key"), "doc", (F.col("lo") + F.col("s")).cast("int").alias("lo"), (F.col("at") - F.col("s")).cast("int").alias("at"), F.col("near2").alias("near"), F.col("far2").alias("far"),
             F.substring("body", F.col("s") + 1, F.col("e") - F.col("s") + width).alias("body"),
         )
-        rows = settle(rows, "finer")
+        finer = settle(finer, "finer")
+        place, same = F.struct("doc", "lo"), ["key", "near", "far", "at", "body"]
+        firsts = settle(finer.groupBy(*same).agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
+        again = finer.join(firsts.where("n > 1").drop("n"), same).where(place != F.col("first"))
+        found = found.unionByName(again.select("doc", "lo", (F.length("body") - width).cast("int").alias("run")))
+        # of rows with one window left, those that remain differ
+        rows = firsts.where("near < far").select("key", "first.doc", "first.lo", "at", "near", "far", "body")
 
 
 def cut(text: bytes, lo: np.ndarray, run: np.ndarray, width: int) -> tuple[bytes, int, int]:
@@ -291,28 +291,50 @@ def cut(text: bytes, lo: np.ndarray, run: np.ndarray, width: int) -> tuple[bytes
     return left, int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
 
 
-def removed_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, buckets: int | None = None, batch: int = BATCH, carry: tuple[str, ...] = (), left: str = "bytes", **how) -> DataFrame:
+def repeated_runs(texts: DataFrame, anchors: DataFrame, width: int, **how) -> DataFrame:
+    """texts(doc, bytes), anchors(ANCHORS) -> (doc, lo, run): all windows that are found
+    earlier, those that begin at lo to lo + run together."""
+    keyed = anchors.where("key IS NOT NULL")
+    several = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("least"), F.max("ctx").alias("most")).where("n > 1")
+    met = settle(keyed.join(several.select("key", (F.col("least") != F.col("most")).alias("mixed")), "key"), "met")
+
+    spans = settle(copied_spans(met, width), "spans")
+    firsts = met.where("mixed").groupBy("key", "ctx").agg(F.min(F.struct("doc", "lo", "run", "at")).alias("f"))
+    bodies = firsts.select("f.doc", "f.lo", (F.col("f.run") + width).alias("size"), "key", "f.at")
+    no_key, no_at = F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("at")
+    whole = spans.select("doc", F.col("start").alias("lo"), "size").unionByName(spans.select(F.col("of_doc").alias("doc"), F.col("of_start").alias("lo"), "size")).distinct()
+    pieces = settle(_cut_out(texts, bodies.unionByName(whole.select("doc", "lo", "size", no_key, no_at))), "pieces")
+    sums = pieces.where("key IS NULL")
+    own = spans.join(sums.select("doc", F.col("lo").alias("start"), "size", F.col("body").alias("own")), ["doc", "start", "size"])
+    told = settle(own.join(sums.select(F.col("doc").alias("of_doc"), F.col("lo").alias("of_start"), "size", F.col("body").alias("of")), ["of_doc", "of_start", "size"]).select("doc", "start", "size", (F.col("own") == F.col("of")).alias("same")), "told")
+    copied = told.where("same").select("doc", F.col("start").alias("lo"), (F.col("size") - width).cast("int").alias("run"))
+    contexts = pieces.where("key IS NOT NULL").select("key", "doc", "lo", "at", "body")
+
+    wrong = told.where("not same")
+    if wrong.limit(1).count():  # sums were equal and bytes aren't: all contexts of these keys are sorted
+        inside = (met["doc"] == wrong["doc"]) & (met["lo"] >= wrong["start"]) & (met["lo"] + met["run"] + width <= wrong["start"] + wrong["size"])
+        keys = settle(met.join(wrong, inside, "left_semi").select("key").distinct(), "unclear")
+        unclear = met.join(keys, "key", "left_semi").select("doc", "lo", (F.col("run") + width).alias("size"), "key", "at")
+        contexts = settle(contexts.join(keys, "key", "left_anti").unionByName(_cut_out(texts, unclear).select("key", "doc", "lo", "at", "body")), "contexts")
+    return anchors.where("key IS NULL").select("doc", "lo", "run").unionByName(copied).unionByName(sorted_buckets(contexts, width, **how))
+
+
+def removed_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, batch: int = BATCH, carry: tuple[str, ...] = (), left: str = "bytes", **how) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, carry (a struct of
     the columns named so), and kept: the bytes that are left, or with left="text" what
     of them is whole characters, or nothing with left="".
 
-    Null text is empty. Rows that repeat an id count as different documents, in the
-    order in which they are read, as do null ids, which come after all others; other
+    Null text is empty. Rows that repeat an id count as different documents, in an order
+    that follows their texts, as do null ids, which come after all others; other
     columns are left out; an empty table gives no rows."""
-    spark = docs.sparkSession
     rows, names = numbered_documents(docs, doc_id, text, carry)
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = settle(settled_anchors(anchor_records(rows, buckets, width, batch), buckets), "anchors")
+    anchors = settle(anchors_of(rows, width, batch), "anchors")
     texts = rows.select("doc", F.col("text").cast("binary").alias("bytes"))
-    spans = anchors.where("key IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("lo", "run", "at", "key")).alias("spans"))
-    opened = texts.join(spans, "doc").select("doc", "bytes", F.explode("spans").alias("s"))
-    bodies = opened.select(F.col("s.key").alias("key"), "doc", F.col("s.lo").alias("lo"), F.col("s.at").alias("at"), F.substring("bytes", F.col("s.lo") + 1, F.col("s.run") + width).alias("body"))
-    runs = sorted_buckets(bodies, width, **how)
-    gone = anchors.where("key IS NULL").select("doc", "lo", "run").unionByName(runs).groupBy("doc").agg(F.collect_list(F.struct("lo", "run")).alias("gone"))
+    gone = repeated_runs(texts, anchors, width, **how).groupBy("doc").agg(F.collect_list(F.struct("lo", "run")).alias("gone"))
     # all but the text meets first, so that texts are joined once more and not moved again
-    side = names.join(gone, "doc", "left").select("doc", "doc_id", *(["carry"] if carry else []), "gone")
-    joined = texts.join(side, "doc").drop("doc")
     extra = ["carry"] if carry else []
+    side = names.join(gone, "doc", "left").select("doc", "doc_id", *extra, "gone")
+    joined = texts.join(side, "doc").drop("doc")
     schema = joined.select("doc_id", *extra).select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit("").alias("kept_sha256"), F.lit("" if left == "text" else b"").alias("kept")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +343,8 @@ def removed_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             of = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             flat, edges = of["gone"].flatten(), np.r_[0, np.cumsum(pc.list_value_length(of["gone"]).fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
             lo, length = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            for i, body in enumerate(of["bytes"].to_pylist()):
+            for i, body in enumerate(of["bytes"]):
+                body = body.as_py()
                 rest, n, spans = cut(body, lo[edges[i] : edges[i + 1]], length[edges[i] : edges[i + 1]], width)
                 shown = rest.decode("utf-8", "ignore") if left == "text" else rest if left else b""
                 for to, x in zip(out, (len(body), n, spans, hashlib.sha256(rest).hexdigest(), shown), strict=True):
