@@ -47,9 +47,12 @@ PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 REACH = 7
 #: Contexts of a bucket before it is dealt anew, bytes of contexts sorted at once, bytes
 #: of documents whose anchors are reduced at once, and bytes of a document at once.
-BUCKET, BLOCK, BATCH, SEGMENT = 1_000, 1_000_000, 12_000_000, 1_000_000
+BUCKET, BLOCK, BATCH, SEGMENT = 256, 1_000_000, 12_000_000, 1_000_000
 RECORD = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("n", "<i4"), ("run", "<i4"), ("at", "<i4")])
-ANCHORS = "doc long, lo int, run int, at int, key long, ctx long"
+#: spot packs where a context begins, how many windows follow its first, and how far its anchor
+#: is: lo * 2**16 + run * 2**8 + at. So spots of a document are ordered as places are.
+ANCHORS = "doc long, spot long, key long, ctx long"
+PLACES = ("CAST(shiftright(spot, 16) AS int) AS lo", "CAST(shiftright(spot, 8) & 255 AS int) AS run", "CAST(spot & 255 AS int) AS at")
 
 
 def numbered_documents(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -89,14 +92,16 @@ def _contexts(texts: list[tuple[int, bytes]], width: int, segment: int) -> pa.Re
     equal = [texts[a][1][i : i + k] == texts[b][1][j : j + k] for a, i, b, j, k in zip(*(x.tolist() for x in sides), strict=True)]
     again = np.zeros(len(rows), bool)
     again[other] = equal
-    columns = [pa.array(np.ascontiguousarray(rows[c])) for c in ("doc", "lo", "run", "at")]
+    spot = (rows["lo"].astype(np.int64) << 16) + (rows["run"] << 8) + rows["at"]
     keys = [pa.array(np.ascontiguousarray(rows[c]).view(np.int64), mask=again) for c in ("key", "ctx")]
-    return pa.RecordBatch.from_arrays([*columns, *keys], names=["doc", "lo", "run", "at", "key", "ctx"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["doc"])), pa.array(spot), *keys], names=["doc", "spot", "key", "ctx"])
 
 
 def anchors_of(docs: DataFrame, width: int, batch: int = BATCH, segment: int = SEGMENT) -> DataFrame:
     """docs(doc, text) -> ANCHORS: the context from lo on stands for the windows that
     begin at lo to lo + run; their anchor is at lo + at. Without key: to be removed."""
+    if width - GRAM > 255:
+        raise ValueError("windows of at most 287 bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
@@ -115,12 +120,11 @@ def anchors_of(docs: DataFrame, width: int, batch: int = BATCH, segment: int = S
 
 
 def copied_spans(met: DataFrame, width: int) -> DataFrame:
-    """met(doc, lo, run, key, ctx) -> (doc, start, size, of_doc, of_start): bytes that seem
-    to be those of an earlier place. Contexts that follow each other there and here are
-    one span."""
-    place = F.struct("doc", "lo")
+    """met(ANCHORS) -> (doc, start, size, of_doc, of_start): bytes that seem to be those of an
+    earlier place. Contexts that follow each other there and here are one span."""
+    place = F.struct("doc", "spot")
     firsts = met.groupBy("key", "ctx").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = met.join(firsts, ["key", "ctx"]).where(place != F.col("first")).select("doc", "lo", "run", F.col("first.doc").alias("of_doc"), (F.col("first.lo") - F.col("lo")).alias("shift"))
+    copies = met.join(firsts, ["key", "ctx"]).where(place != F.col("first")).selectExpr("doc", *PLACES[:2], "first.doc AS of_doc", "CAST(shiftright(first.spot, 16) - shiftright(spot, 16) AS int) AS shift")
     along = Window.partitionBy("doc", "of_doc", "shift").orderBy("lo")
     begins = (F.col("lo") != F.coalesce(F.lag(F.col("lo") + F.col("run") + 1).over(along), F.lit(-1))).cast("long")
     spans = copies.withColumn("begins", begins).withColumn("span", F.sum("begins").over(along)).groupBy("doc", "of_doc", "shift", "span").agg(F.min("lo").alias("start"), (F.max(F.col("lo") + F.col("run")) + width).alias("end"))
@@ -256,7 +260,7 @@ def sorted_buckets(contexts: DataFrame, width: int = WIDTH, bucket: int = BUCKET
         any_hot = hot.limit(1).count() > 0
         calm = rows.join(hot, names, "left_anti") if any_hot else rows
         ordered = calm.repartition(*names).sortWithinPartitions(*names).select("key", "doc", "lo", "at", "near", "far", "body")
-        runs = ordered.mapInArrow(lambda b: _sort_buckets(b, width, block), "doc long, lo int, run int")
+        runs = settle(ordered.mapInArrow(lambda b: _sort_buckets(b, width, block), "doc long, lo int, run int"), "runs")
         found = runs if found is None else found.unionByName(runs)
         if not any_hot:
             return found
@@ -274,7 +278,7 @@ def sorted_buckets(contexts: DataFrame, width: int = WIDTH, bucket: int = BUCKET
         place, same = F.struct("doc", "lo"), ["key", "near", "far", "at", "body"]
         firsts = settle(finer.groupBy(*same).agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
         again = finer.join(firsts.where("n > 1").drop("n"), same).where(place != F.col("first"))
-        found = found.unionByName(again.select("doc", "lo", (F.length("body") - width).cast("int").alias("run")))
+        found = found.unionByName(settle(again.select("doc", "lo", (F.length("body") - width).cast("int").alias("run")), "runs"))
         # of rows with one window left, those that remain differ
         rows = firsts.where("near < far").select("key", "first.doc", "first.lo", "at", "near", "far", "body")
 
@@ -295,12 +299,14 @@ def repeated_runs(texts: DataFrame, anchors: DataFrame, width: int, **how) -> Da
     """texts(doc, bytes), anchors(ANCHORS) -> (doc, lo, run): all windows that are found
     earlier, those that begin at lo to lo + run together."""
     keyed = anchors.where("key IS NOT NULL")
-    several = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("least"), F.max("ctx").alias("most")).where("n > 1")
-    met = settle(keyed.join(several.select("key", (F.col("least") != F.col("most")).alias("mixed")), "key"), "met")
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = settle(keyed.join(several, "key"), "met")
 
     spans = settle(copied_spans(met, width), "spans")
-    firsts = met.where("mixed").groupBy("key", "ctx").agg(F.min(F.struct("doc", "lo", "run", "at")).alias("f"))
-    bodies = firsts.select("f.doc", "f.lo", (F.col("f.run") + width).alias("size"), "key", "f.at")
+    mixed = met.groupBy("key").agg(F.min("ctx").alias("least"), F.max("ctx").alias("most")).where("least <> most").select("key")
+    firsts = met.join(mixed, "key").groupBy("key", "ctx").agg(F.min(F.struct("doc", "spot")).alias("f")).select("key", "f.*")
+    places = firsts.selectExpr("key", "doc", *PLACES)
+    bodies = places.select("doc", "lo", (F.col("run") + width).alias("size"), "key", "at")
     no_key, no_at = F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("at")
     whole = spans.select("doc", F.col("start").alias("lo"), "size").unionByName(spans.select(F.col("of_doc").alias("doc"), F.col("of_start").alias("lo"), "size")).distinct()
     pieces = settle(_cut_out(texts, bodies.unionByName(whole.select("doc", "lo", "size", no_key, no_at))), "pieces")
@@ -312,11 +318,12 @@ def repeated_runs(texts: DataFrame, anchors: DataFrame, width: int, **how) -> Da
 
     wrong = told.where("not same")
     if wrong.limit(1).count():  # sums were equal and bytes aren't: all contexts of these keys are sorted
-        inside = (met["doc"] == wrong["doc"]) & (met["lo"] >= wrong["start"]) & (met["lo"] + met["run"] + width <= wrong["start"] + wrong["size"])
-        keys = settle(met.join(wrong, inside, "left_semi").select("key").distinct(), "unclear")
-        unclear = met.join(keys, "key", "left_semi").select("doc", "lo", (F.col("run") + width).alias("size"), "key", "at")
+        placed = met.selectExpr("doc", "key", *PLACES)
+        inside = (placed["doc"] == wrong["doc"]) & (placed["lo"] >= wrong["start"]) & (placed["lo"] + placed["run"] + width <= wrong["start"] + wrong["size"])
+        keys = settle(placed.join(wrong, inside, "left_semi").select("key").distinct(), "unclear")
+        unclear = placed.join(keys, "key", "left_semi").select("doc", "lo", (F.col("run") + width).alias("size"), "key", "at")
         contexts = settle(contexts.join(keys, "key", "left_anti").unionByName(_cut_out(texts, unclear).select("key", "doc", "lo", "at", "body")), "contexts")
-    return anchors.where("key IS NULL").select("doc", "lo", "run").unionByName(copied).unionByName(sorted_buckets(contexts, width, **how))
+    return anchors.where("key IS NULL").selectExpr("doc", *PLACES[:2]).unionByName(copied).unionByName(sorted_buckets(contexts, width, **how))
 
 
 def removed_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, batch: int = BATCH, carry: tuple[str, ...] = (), left: str = "bytes", **how) -> DataFrame:

@@ -289,7 +289,7 @@ def test_long_documents_in_segments():
     rng = random.Random(9)
     texts = [(i, words(rng, 400).encode()) for i in range(3)]
     texts.append((3, texts[0][1][300:1500] + texts[1][1][:900]))
-    windows = lambda s: sorted((r["doc"], r["lo"] + k) for r in suffix_dedup._contexts(texts, 100, s).to_pylist() for k in range(r["run"] + 1))
+    windows = lambda s: sorted((r["doc"], (r["spot"] >> 16) + k) for r in suffix_dedup._contexts(texts, 100, s).to_pylist() for k in range((r["spot"] >> 8 & 255) + 1))
     assert windows(137) == windows(1 << 20) == sorted((i, p) for i, t in texts for p in range(len(t) - 99))
 
 
@@ -300,19 +300,18 @@ def test_passages_when_sums_say_too_much(spark, docs, odd_rows, monkeypatch, tmp
     texts = [(n, line + words(rng, 10).encode() + bytes(rng.choice(b"ab") for _ in range(40))) for n in range(30)]
     sums = suffix_dedup.span_sums
     monkeypatch.setattr(suffix_dedup, "span_sums", lambda *x: sums(*x) & np.uint64(1))
-    made = suffix_dedup._contexts(texts, 100, 1000)
-    body = dict(texts)
-    by_key = {}
-    for r in made.to_pylist():
+    made = suffix_dedup._contexts(texts, 100, 1000).to_pylist()
+    body, by_key = dict(texts), {}
+    for r in made:
         if r["key"] is None:
-            assert any(body[o["doc"]][o["lo"] : o["lo"] + r["run"] + 100] == body[r["doc"]][r["lo"] : r["lo"] + r["run"] + 100] for o in made.to_pylist() if (o["doc"], o["lo"]) < (r["doc"], r["lo"]))
+            lo, size = r["spot"] >> 16, (r["spot"] >> 8 & 255) + 100
+            assert any(body[o["doc"]][(at := o["spot"] >> 16) : at + size] == body[r["doc"]][lo : lo + size] for o in made if (o["doc"], o["spot"]) < (r["doc"], r["spot"]))
         else:
             by_key.setdefault((r["key"], r["ctx"]), []).append(r)
     assert max(map(len, by_key.values())) > 1
     rows = [(n, b.decode()) for n, b in texts]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    schema = "doc long, lo int, run int, at int, key long, ctx long"
-    anchors = spark.createDataFrame([tuple(r[c] for c in ("doc", "lo", "run", "at", "key", "ctx")) for n, t in texts for r in suffix_dedup._contexts([(n, t)], 100, 1000).to_pylist()], schema)
+    anchors = spark.createDataFrame([tuple(r.values()) for n, t in texts for r in suffix_dedup._contexts([(n, t)], 100, 1000).to_pylist()], suffix_dedup.ANCHORS)
     monkeypatch.setattr(suffix_dedup, "anchors_of", lambda *_: anchors)
     got = suffix_dedup.removed_passages(table, left="").drop("kept").collect()
     assert Counter(tuple(r) for r in got) == slow_removal(rows)
