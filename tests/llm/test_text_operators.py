@@ -260,12 +260,53 @@ def test_label_model_finds_accuracy_and_correlation():
     y = rng.random(40_000) < 0.3
     votes = np.zeros((40_000, toxicity.VOTERS))
     for j in range(8):
-        votes[:, j] = rng.random(40_000) < np.where(y, 0.7, 0.05)
+        votes[:, j] = rng.random(40_000) < np.where(y, 0.7, 0.01)
     votes[:, 7] = votes[:, 6]  # one voter twice
-    model = toxicity.LabelModel(votes.T @ votes, len(votes), 0.3, np.r_[np.full(8, 0.5), np.zeros(toxicity.VOTERS - 8)])
+    votes[:, 8] = rng.random(40_000) < 0.1  # and one that knows nothing
+    truth = y ^ (rng.random(40_000) < 0.02)
+    off = votes - votes.mean(axis=0)
+    direction = (off * (truth - truth.mean())[:, None]).mean(axis=0) / (off.std(axis=0) * truth.std() + 1e-9)
+    model = toxicity.LabelModel(votes.T @ votes, len(votes), 0.3, direction, len(votes))
     assert model.correlated[6, 7] and not model.correlated[0, 1]
-    assert model.weights[7] < 0.8 * model.weights[0]
-    assert ((model.odds(votes) > 0) == y).mean() > 0.93
+    assert model.weights[7] < 0.8 * model.weights[0] and model.weights[8] == 0
+    # Bayes by hand: of the texts on which voter 0 fires, so many are toxic
+    assert abs(model.precision[0] - y[votes[:, 0] == 1].mean()) < 0.05
+    assert ((model.odds(votes) > 0) == y).mean() > 0.9
+
+
+def test_voters_overrule_a_wrong_label_and_silence_keeps_the_prior():
+    rng = np.random.default_rng(5)
+    y = rng.random(20_000) < 0.2
+    votes = np.zeros((20_000, toxicity.VOTERS))
+    for j in range(6):
+        votes[:, j] = rng.random(20_000) < np.where(y, 0.6, 0.01)
+    off = votes - votes.mean(axis=0)
+    direction = (off * (y - y.mean())[:, None]).mean(axis=0) / (off.std(axis=0) * y.std() + 1e-9)
+    model = toxicity.LabelModel(votes.T @ votes, len(votes), 0.2, direction, len(votes))
+    three, none = np.zeros((1, toxicity.VOTERS)), np.zeros((1, toxicity.VOTERS))
+    three[0, :3] = 1
+    assert model.odds(three, np.array([0.0]))[0] > 0 > model.odds(three * [0], np.array([0.0]))[0]
+    assert abs(1 / (1 + np.exp(-model.odds(none)[0])) - 0.2) < 0.01
+    assert model.speaks(three)[0] and not model.speaks(none)[0]
+    assert all(abs(x) <= toxicity.OWN < toxicity.FIRM for x in model.own)
+
+
+def test_unlabelled_rows_teach_words_that_no_label_shows(spark):
+    """The classifier learns a word that stands in unlabelled texts only, beside known ones."""
+    rng = random.Random(13)
+    rows, labels = [], []
+    for i in range(900):
+        bad, labelled_row = rng.random() < 0.3, i < 500
+        extra = f" {rng.choice(toxicity.SEEDS[0][:6])}" + ("" if labelled_row else " zzunseen") if bad else ""
+        rows.append((i, words(rng, 40) + extra + " " + words(rng, 5)))
+        if labelled_row:
+            labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    weight, _ = toxicity.classifier(docs, marks, "doc_id", "text", "toxic", 1000, 1000)
+    assert weight.get(toxicity.terms(b"zzunseen")[0], 0) > 0
+    alone, _ = toxicity.classifier(docs, marks, "doc_id", "text", "toxic", 1000, 0)
+    assert alone.get(toxicity.terms(b"idiot")[0], 0) > 0 and alone.get(toxicity.terms(b"zzunseen")[0], 0) == 0
 
 
 def test_quality_learns_and_shrinks(spark, docs, odd_rows):
