@@ -167,13 +167,13 @@ def top_products(vectors: DataFrame, every: int = EVERY, k: int = TOP, scale: in
     """Of each query (a row whose id is divisible by `every`) the k rows of the largest
     inner product of the quantised vectors: query_id, rank, vec_id, score.
 
-    Vectors that are null or empty or hold a null or non-finite component, and rows
-    without an id, take no part. Only vectors of the query's length are compared. Rows
+    Vectors that are null or hold a null or non-finite component, and rows without an id,
+    take no part. Only vectors of the query's length are compared; empty ones score 0. Rows
     that carry the query's id are its own, however many; queries that repeat an id and a
     vector are asked once. Scores beyond a long are cut to its range. Other columns are
     left out; an empty table gives no rows."""
     values = F.col(embedding).cast("array<double>")
-    use = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), values.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+    use = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), values.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     use = use.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     count = use.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     parts, query_parts = max(1, -(-count[0] // rows)), max(1, -(-count[1] // queries))
@@ -188,6 +188,12 @@ def top_products(vectors: DataFrame, every: int = EVERY, k: int = TOP, scale: in
             for row in zip(*b.columns, strict=True):
                 dim = row[0].as_py()
                 ids, codes, query_ids, query_codes = (np.frombuffer(x.as_buffer(), np.int64) for x in row[1:])
+                if not dim:  # nothing to add up
+                    least = np.unique(ids)
+                    best = [least[least != i][:k] for i in query_ids.tolist()]
+                    r, q = np.concatenate(best), np.repeat(np.arange(len(best)), [len(x) for x in best])
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(r), pa.array(np.zeros(len(r), np.int64)), pa.array(q.astype(np.int32))], names=["query_id", "vec_id", "score", "place"])
+                    continue
                 if last is None or len(last) != len(codes) or not np.array_equal(last, codes):
                     last, made = codes.copy(), Slices(codes.reshape(-1, dim))
                 q, r, score = made.best(query_codes.reshape(-1, dim), query_ids, ids, k)

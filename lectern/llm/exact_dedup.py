@@ -20,10 +20,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import settle
+from lectern.llm.common import fresh, settle
 
-#: Characters of a block, and buckets (a power of two) in which names are numbered.
-BLOCK_CHARS, BUCKETS = 4096, 1024
+#: Characters of a block, and rows of a bucket in which names are numbered.
+BLOCK_CHARS, BUCKET_ROWS = 4096, 100_000
 #: The characters that don't count.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -33,10 +33,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), BLANKS, "")
 
 
-def numbered(distinct: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+def numbered(distinct: DataFrame, keys: list[str], bucket_rows: int) -> DataFrame:
     """Adds `name`: the rank of each row in the order of (bucket of the keys, keys).
-    Ranks are taken within buckets; the buckets' sizes, as many rows as there are
-    buckets, give what to add."""
+    Ranks are taken within buckets, whose number follows that of the rows; the buckets'
+    sizes, a row each, give what to add."""
+    distinct = settle(distinct, "distinct")
+    buckets = max(64, -(-distinct.count() // bucket_rows))
     rows = distinct.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
     ahead = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("ahead"))
@@ -44,29 +46,31 @@ def numbered(distinct: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return local.join(F.broadcast(ahead), "bucket").withColumn("name", F.col("rank") + F.col("ahead")).drop("bucket", "rank", "ahead")
 
 
-def named_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
+def named_blocks(blocks: DataFrame, bucket_rows: int) -> DataFrame:
     """blocks(key, block, ...) with `name` in place of both."""
     spread = blocks.groupBy("key").agg(F.min("block").alias("least"), F.max("block").alias("most"))
     kinds = settle(spread.select("key", (F.col("least") != F.col("most")).alias("mixed")), "kinds")
-    names = settle(numbered(kinds.where("not mixed").select("key"), ["key"], buckets), "names")
+    names = settle(numbered(kinds.where("not mixed").select("key"), ["key"], bucket_rows), "names")
     plain = blocks.drop("block").join(names, "key").drop("key")
     if not kinds.where("mixed").limit(1).count():
         return plain
     shared = kinds.where("mixed").select("key")
     contents = blocks.join(shared, "key", "left_semi")
-    more = settle(numbered(contents.select("key", "block").distinct(), ["key", "block"], buckets), "mixed")
+    more = settle(numbered(contents.select("key", "block").distinct(), ["key", "block"], bucket_rows), "mixed")
     return plain.unionByName(contents.join(more.withColumn("name", -F.col("name")), ["key", "block"]).drop("key", "block"))
 
 
-def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, buckets: int = BUCKETS, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, bucket_rows: int = BUCKET_ROWS, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per row of docs: doc_id, chars (code points of the original text),
     text_sha256 (of the normalised text), level and name. Two rows have equal level
     and name exactly if their normalised texts are equal. level is the number of
     blocks; key is the function that blocks are first sorted by."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long").alias("chars"), normalised(F.col(text)).alias("body"))
     rows = rows.withColumn("level", F.greatest(F.lit(1), F.ceil(F.length("body") / block_chars)).cast("long")).withColumn("text_sha256", F.sha2("body", 256))
-    blocks = rows.select("doc_id", "chars", "text_sha256", "level", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("level") - 1), lambda i: F.substring("body", (i * block_chars + 1).cast("int"), F.lit(block_chars)))).alias("pos", "block"))
-    named = settle(named_blocks(blocks.withColumn("key", key(F.col("block"))), buckets), "blocks")
+    # a pattern walks a long text once, where substrings would each begin at its start
+    cut = F.when(F.col("level") == 1, F.array("body")).otherwise(F.regexp_extract_all("body", F.lit("(?s).{1,%d}" % block_chars), F.lit(0)))
+    blocks = rows.select("doc_id", "chars", "text_sha256", "level", F.posexplode(cut).alias("pos", "block"))
+    named = settle(named_blocks(blocks.withColumn("key", key(F.col("block"))), bucket_rows), "blocks")
     done, open_ = named.where("level = 1").drop("pos"), named.where("level > 1").withColumn("copies", F.lit(1).cast("long"))
     own = ["doc_id", "chars", "text_sha256", "level"]
     out = [done.withColumn("copies", F.lit(1).cast("long"))]
@@ -78,7 +82,7 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(0)).alias("right"), F.sum(F.when(F.col("pos") % 2 == 0, F.col("copies"))).alias("copies")
         )
         paired = settle(paired, "pairs")
-        names = settle(numbered(paired.select("left", "right").distinct(), ["left", "right"], buckets), "names")
+        names = settle(numbered(paired.select("left", "right").distinct(), ["left", "right"], bucket_rows), "names")
         named = settle(paired.join(names, ["left", "right"]).drop("left", "right"), "named")
         width *= 2
         out.append(named.where(F.col("level") <= width).drop("pos"))
@@ -110,10 +114,11 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of docs that stay, whole."""
     found = settle(exact_duplicates(docs, doc_id, text, **how), "copies")
-    stay = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("chars").alias("_chars"))
-    rows = docs.withColumns({"_own_sha": F.sha2(normalised(F.col(text)), 256), "_own_chars": F.length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long")})
-    same = rows[doc_id].eqNullSafe(stay["_id"]) & (rows["_own_sha"] == stay["_sha"]) & (rows["_own_chars"] == stay["_chars"])
-    kept = rows.join(stay, same, "left_semi")
+    stay = found.where("kept").select(F.struct("doc_id", "text_sha256", "chars").alias("stays"))
+    mark = fresh(docs, "mark")
+    own = F.struct(F.col(doc_id).alias("doc_id"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256"), F.length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long").alias("chars"))
+    rows = docs.withColumn(mark, own)
+    kept = rows.join(stay, rows[mark].eqNullSafe(stay["stays"]), "left_semi")
     if found.groupBy("doc_id", "text_sha256", "chars").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id, "_own_sha", "_own_chars"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates([mark])
+    return kept.drop(mark)

@@ -75,17 +75,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return center, scale, w
 
 
-def with_statistics(docs: DataFrame, text: str, column: str = "stats") -> DataFrame:
-    """docs with the statistics of its texts, as an array column."""
-    rest = docs.drop(column)
-    schema = rest.withColumn(column, F.array(F.lit(0.0))).schema
+def with_statistics(rows: DataFrame, names: list[str], made: str, out) -> DataFrame:
+    """rows(..., text) -> the columns `names` and what out(statistics, a row a text) makes of
+    type `made`, as `found`."""
+    schema = rows.select(*names).withColumn("found", F.lit(None).cast(made)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = pa.array([statistics(t) for t in utf8_values(b.column(b.schema.get_field_index(text)))], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, column])
+            stats = np.array([statistics(t) for t in utf8_values(b.column(b.schema.get_field_index("text")))]).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), out(stats)], names=[*names, "found"])
 
-    return rest.mapInArrow(run, schema)
+    return rows.select(*names, "text").mapInArrow(run, schema)
 
 
 def site(source: Column) -> tuple[Column, Column]:
@@ -128,45 +128,63 @@ def site_rates(rows: DataFrame) -> DataFrame:
     return joined.select("host", "path", (logit(F.least(F.greatest(rate, F.lit(0.01)), F.lit(0.99))) - float(np.log(overall / (1 - overall)))).alias("site_odds"))
 
 
-def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", label: str = "quality", sample: int = SAMPLE, threshold: float = 0.5, hold_out: bool = True) -> DataFrame:
-    """docs with score (0 to 1, higher: better), predicted (1: good), text_odds, site_odds
-    and held_out. Columns of docs with those names are replaced, others are kept.
+def learned(labels: DataFrame, label: str, hold_out: bool) -> DataFrame:
+    """(id, good) of the rows whose label may be used."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("good"))
+    return known.where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) != 0) if hold_out else known
 
-    Labels are learned from rows whose crc32(id as text) mod 5 isn't 0 (all rows without
-    hold_out). Null text is empty; a null source is a site of its own; a null id has no
-    label; of labels that repeat an id the mean is taken, 0.5 and more as good. Without
-    any label of either kind every text has even odds. Repeated rows give repeated
-    results; an empty table gives no rows."""
-    names = [c for c in docs.columns if c not in ("score", "predicted", "text_odds", "site_odds", "held_out")]
-    host, path = site(F.col(source))
+
+def judged(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, source: str, label: str, sample: int, threshold: float, hold_out: bool) -> DataFrame:
+    """One row per row of docs: id, own (a hash of its text and source), held_out, score,
+    predicted, text_odds, site_odds. Each text is looked at once; what the text says is a
+    table without texts, and sites meet it there."""
+    host, path = site(F.col(source) if source in docs.columns else F.lit(None))
+    body = F.col(text).cast("string")
     held = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg((F.avg(label) >= 0.5).cast("int").alias("label_value"))
-    if hold_out:
-        known = known.where(F.pmod(F.crc32(F.col("label_id").cast("string").cast("binary")), F.lit(5)) != 0)
-    known = settle(known, "labels")
-
-    slim = docs.select(F.col(doc_id).alias("label_id"), F.col(text).cast("string").alias("text"))
-    picked = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    fitted = with_statistics(slim.join(picked, "label_id"), "text").select("stats", "label_value").toPandas()
-    y = fitted["label_value"].to_numpy(np.float64)
+    rows = docs.select(F.col(doc_id).alias("id"), identity(docs, text, source).alias("own"), held.alias("held_out"), host.alias("host"), path.alias("path"), body.alias("text"))
+    known = settle(learned(labels, label, hold_out), "labels")
+
+    picked = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    # at most `sample` ids and labels
+    fitted = with_statistics(rows.select("id", "text").join(F.broadcast(picked), "id"), ["good"], "array<double>", lambda x: pa.array(list(x), pa.list_(pa.float64()))).toPandas()
+    y = fitted["good"].to_numpy(np.float64)
     if len(y) and 0 < y.mean() < 1:
-        center, scale, w = fit_logistic(expanded(np.array(fitted["stats"].tolist())), y)
+        center, scale, w = fit_logistic(expanded(np.array(fitted["found"].tolist())), y)
     else:
         center, scale, w = np.zeros(3 * FEATURES), np.ones(3 * FEATURES), np.zeros(3 * FEATURES + 1)
 
-    rows = docs.select(*(F.col(c) for c in names), host.alias("_host"), path.alias("_path"), held.alias("held_out"))
-    schema = rows.withColumn("text_odds", F.lit(0.0)).schema
+    def odds(stats: np.ndarray) -> pa.Array:
+        return pa.array(np.clip((expanded(stats) - center) / scale @ w[:-1] + w[-1], -20, 20))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            stats = np.array([statistics(t) for t in utf8_values(b.column(b.schema.get_field_index(text)))]).reshape(-1, FEATURES)
-            odds = np.clip((expanded(stats) - center) / scale @ w[:-1] + w[-1], -20, 20)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(odds)], names=[*b.schema.names, "text_odds"])
-
-    judged = rows.mapInArrow(run, schema)
-    evidence = settle(judged.select(F.col(doc_id).alias("label_id"), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("text_odds").alias("evidence")), "evidence")
-    rates = settle(site_rates(evidence.join(known, "label_id", "left").select("host", "path", F.col("label_value").alias("quality"), "evidence")), "rates")
-    placed = judged.join(rates.withColumnsRenamed({"host": "_host", "path": "_path"}), ["_host", "_path"], "left")
-    score = 1 / (1 + F.exp(-(F.col("text_odds") + SITE_SHARE * F.coalesce("site_odds", F.lit(0.0)))))
-    placed = placed.withColumn("score", score)
-    return placed.select(*names, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_odds", F.coalesce("site_odds", F.lit(0.0)).alias("site_odds"), "held_out")
+    evidence = settle(with_statistics(rows, ["id", "own", "held_out", "host", "path"], "double", odds).withColumnRenamed("found", "text_odds"), "evidence")
+    rates = settle(site_rates(evidence.join(known, "id", "left").select("host", "path", F.col("good").alias("quality"), F.col("text_odds").alias("evidence"))), "rates")
+    placed = evidence.join(rates, ["host", "path"], "left").withColumn("site_odds", F.coalesce("site_odds", F.lit(0.0)))
+    placed = placed.withColumn("score", 1 / (1 + F.exp(-(F.col("text_odds") + SITE_SHARE * F.col("site_odds")))))
+    return placed.select("id", "own", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_odds", "site_odds")
+
+
+def identity(docs: DataFrame, text: str, source: str) -> Column:
+    """Rows of one id that agree in this are judged alike."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), *([F.coalesce(F.col(source).cast("string"), F.lit(""))] if source in docs.columns else []))
+
+
+def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", label: str = "quality", sample: int = SAMPLE, threshold: float = 0.5, hold_out: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score (0 to 1, higher: better), predicted (1:
+    good), text_odds and site_odds. Other columns are left out.
+
+    Labels are learned from rows whose crc32(id as text) mod 5 isn't 0 (all rows without
+    hold_out), at most `sample` of them for the text model. Null text is empty; a null or
+    absent source is a site of its own; a null id has no label; of labels that repeat an
+    id the mean is taken, 0.5 and more as good. Without any label of either kind every
+    text has even odds. Repeated rows give repeated results; an empty table gives no
+    rows."""
+    found = judged(docs, labels, doc_id, text, source, label, sample, threshold, hold_out)
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted", "text_odds", "site_odds")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", label: str = "quality", sample: int = SAMPLE, threshold: float = 0.5, hold_out: bool = True) -> DataFrame:
+    """The rows of docs that scored() predicts to be good, whole, whatever their columns are
+    called. Nulls, repeats and empty tables: as there."""
+    found = judged(docs, labels, doc_id, text, source, label, sample, threshold, hold_out)
+    stay = settle(found.where("predicted = 1").select(F.struct("id", "own").alias("stays")).distinct(), "accepted")
+    return docs.join(stay, F.struct(F.col(doc_id).alias("id"), identity(docs, text, source).alias("own")).eqNullSafe(stay["stays"]), "left_semi")

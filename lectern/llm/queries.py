@@ -37,7 +37,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.quality import scored
 
-    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "text_odds", "site_odds")
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +106,12 @@ SQL: dict[str, str] = {
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS code
           FROM embeddings
-          WHERE embedding IS NOT NULL AND len(embedding) > 0
+          WHERE embedding IS NOT NULL
             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
           SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                 CAST(list_dot_product(CAST(q.code AS DOUBLE[]), CAST(c.code AS DOUBLE[])) AS BIGINT) AS score
-          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+                 CASE WHEN len(q.code) = 0 THEN 0 ELSE CAST(list_dot_product(CAST(q.code AS DOUBLE[]), CAST(c.code AS DOUBLE[])) AS BIGINT) END AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.code) = len(c.code) WHERE q.vec_id % 100 = 0
         ), r AS (
           SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
         )

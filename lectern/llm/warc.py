@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import new_path, settle
 
-#: Shorter payloads are never revisits; records of an archive; records read at once.
-LEAST_BYTES, ARCHIVE_RECORDS, READ_RECORDS = 100, 20_000, 500
+#: Shorter payloads are never revisits; bytes of payloads read at once.
+LEAST_BYTES, READ_BYTES = 100, 8_000_000
+#: Bytes of the longest payload of a class, and records in an archive of it: 64 MB, or one record.
+CLASSES = ((1 << 16, 1024), (1 << 20, 64), (None, 1))
 #: Fixed values of the format.
 END, PROFILE = "\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FOUND = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, intact boolean, payload string"
@@ -53,7 +55,8 @@ def head(*lines: Column) -> Column:
 
 
 def records(pages: DataFrame, date: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """One text `record` for each row of pages, without the end of record."""
+    """One text `record` for each row of pages, without the end of record, and the `length` of
+    its payload."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("length", F.octet_length("payload"))
@@ -79,13 +82,17 @@ def records(pages: DataFrame, date: str, least_bytes: int = LEAST_BYTES) -> Data
         line("Content-Length", F.octet_length(block)),
         F.lit(END),
     )
-    return joined.select(F.concat(top, block).alias("record"))
+    return joined.select("length", F.concat(top, block).alias("record"))
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = LEAST_BYTES) -> None:
-    """Writes a record per row of pages(page_id, url, html) to gzip archives in path."""
-    rows = records(pages, date, least_bytes)
-    rows.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    """Writes a record per row of pages(page_id, url, html) to gzip archives in path, those of
+    long payloads apart from the others, so that an archive is bounded in bytes."""
+    rows, least = records(pages, date, least_bytes), -1
+    for most, per_file in CLASSES:
+        part = rows.where(F.col("length") > least) if most is None else rows.where((F.col("length") > least) & (F.col("length") <= most))
+        part.select("record").write.mode("append").option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+        least = most
 
 
 def parse_archive(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -113,6 +120,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 out: list[tuple] = []
+                size = 0
                 with gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())) as stream:
                     for fields, block in parse_archive(stream):
                         http, _, payload = block.partition(b"\r\n\r\n")
@@ -124,9 +132,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                             out.append((number[0], fields.get("warc-target-uri"), kind, made, len(payload), None, made == digest and told == len(payload), payload.decode()))
                         else:
                             out.append((number[0], fields.get("warc-target-uri"), kind, digest, told, number[1], True, None))
-                        if len(out) == READ_RECORDS:
+                        size += len(payload) + 500
+                        if size >= READ_BYTES:
                             yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema)
-                            out = []
+                            out, size = [], 0
                 if out:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema)
 

@@ -78,7 +78,7 @@ def by_key(rows):
     return groups
 
 
-@pytest.mark.parametrize("how", [{}, {"block_chars": 7, "buckets": 3}, {"block_chars": 50, "buckets": 2, "key": "weak"}])
+@pytest.mark.parametrize("how", [{}, {"block_chars": 7, "bucket_rows": 3}, {"block_chars": 50, "bucket_rows": 9, "key": "weak"}])
 def test_exact_dedup_against_brute_force(spark, docs, odd_rows, how):
     from pyspark.sql import functions as F
 
@@ -319,12 +319,56 @@ def test_quality_learns_and_shrinks(spark, docs, odd_rows):
     got = quality.scored(rows.withColumnRenamed("n_chars", "score"), labels).join(labels, "doc_id").toPandas()
     assert (got["predicted"] == got["quality"])[got["held_out"]].mean() > 0.95
     odd = quality.scored(docs, labels)
-    assert odd.columns[:5] == docs.columns and odd.count() == len(odd_rows)
+    assert odd.count() == len(odd_rows)
     none = labels.where("false")
     assert {r.text_odds for r in quality.scored(docs, none).collect()} == {0.0}
     assert quality.scored(empty(spark), none).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    """Sites by loops over all rows, from the text's evidence; the text model by its gradient."""
+    rows, labels = labelled(spark, "### $$$ ||| ### $$$ |||", 300)
+    got = {r.doc_id: r for r in quality.scored(rows, labels).collect()}
+    texts = {r.doc_id: r for r in rows.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    x = quality.expanded(np.array([quality.statistics(texts[i].text.encode()) for i in sorted(known)]))
+    y = np.array([known[i] for i in sorted(known)], float)
+    center, scale, w = quality.fit_logistic(x, y)
+    z = np.hstack([(x - center) / scale, np.ones((len(x), 1))])
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    assert np.abs(z.T @ (y - p) - np.r_[w[:-1], 1e-6 * w[-1]]).max() < 1e-4
+    assert all(abs(got[i].text_odds - np.clip(z[k] @ w, -20, 20)) < 1e-6 for k, i in enumerate(sorted(known)))
+
+    def sums(of):
+        out = defaultdict(lambda: [0.0, 0.0])
+        for i, r in got.items():
+            weight = 1.0 if i in known else quality.UNLABELLED
+            good = known.get(i, 1 / (1 + np.exp(-r.text_odds)))
+            out[of(texts[i].source)][0] += weight
+            out[of(texts[i].source)][1] += weight * good
+        return out
+
+    def strength(sites, rate):
+        many = [(g / n - rate(s), rate(s) * (1 - rate(s)), n) for s, (n, g) in sites.items() if n > 1]
+        between = sum(d * d - v / n for d, v, n in many) / len(many)
+        return float(np.clip(sum(v for _, v, _ in many) / len(many) / max(between, 1e-4) - 1, 2, 1000))
+
+    host = lambda s: s.split("/")[2]
+    path = lambda s: "/".join(s.split("/")[2:4])
+    hosts, paths = sums(host), sums(path)
+    overall = sum(g for _, g in paths.values()) / sum(n for n, _ in paths.values())
+    prior = strength(hosts, lambda _: overall)
+    host_rate = {h: (g + prior * overall) / (n + prior) for h, (n, g) in hosts.items()}
+    prior = strength(paths, lambda s: host_rate[s.split("/")[0]])
+    logit = lambda q: np.log(q / (1 - q))
+    for i, r in got.items():
+        n, g = paths[path(texts[i].source)]
+        rate = np.clip((g + prior * host_rate[host(texts[i].source)]) / (n + prior), 0.01, 0.99)
+        site = logit(rate) - logit(overall)
+        assert abs(r.site_odds - site) < 1e-6
+        assert abs(r.score - 1 / (1 + np.exp(-(r.text_odds + quality.SITE_SHARE * site)))) < 1e-6
+
+
 def test_sparse_sites_stay_near_the_global_rate(spark):
     rows = [("big", "big/a", 1, 0.0)] * 400 + [("bad", "bad/a", 0, 0.0)] * 300 + [("small", "small/a", 0, 0.0)]
     odds = {r.host: r.site_odds for r in quality.site_rates(spark.createDataFrame(rows, "host string, path string, quality int, evidence double")).collect()}
