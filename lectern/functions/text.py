@@ -59,11 +59,14 @@ def clamp(value: Column, low: int, high: int, default: int) -> Column:
 
 
 def detect_language(text: Column) -> Column:
-    """zh, en, mixed or unknown, by Han characters and Latin words."""
-    t = F.coalesce(text, F.lit(""))
-    han, words, letters = F.regexp_count(t, F.lit(HAN)), F.regexp_count(t, F.lit("[A-Za-z]{2,}")), F.regexp_count(t, F.lit("[A-Za-z]"))
-    share = han / F.greatest(han + letters, F.lit(1))
-    return F.when((han == 0) & (words == 0), "unknown").when((han >= 20) & (words >= 40) & share.between(0.15, 0.7), "mixed").when(share >= 0.3, "zh").when(words >= 3, "en").otherwise(F.when(han > 0, "zh").otherwise("unknown"))
+    """zh, en, mixed or unknown, by Han characters and Latin words. Eighty Han characters that
+    make up 8 % of what is visible say zh, unless Latin words are many more."""
+    t = collapse_blanks(F.coalesce(text, F.lit("")))
+    han, words, letters = F.regexp_count(t, F.lit(r"[\u3400-\u9fff]")), F.regexp_count(t, F.lit("[A-Za-z][A-Za-z'’-]+")), F.regexp_count(t, F.lit("[A-Za-z]"))
+    share = han / F.greatest(F.length(F.replace(t, F.lit(" "), F.lit(""))), F.lit(1))
+    latin = (words >= 120) & (share < 0.22) & (letters > han * 1.35)
+    found = F.when((han >= 80) & (share >= 0.08), F.when(latin, "mixed").otherwise("zh")).when((words >= 40) & (share < 0.03), "en").when((han >= 20) & (words >= 40), "mixed")
+    return found.otherwise(F.when(han > words, "zh").when(words > 0, "en").otherwise("unknown"))
 
 
 def word_count(text: Column) -> Column:
@@ -89,21 +92,26 @@ def title_key(title: Column) -> Column:
 
 
 def text_corruption(text: Column) -> Column:
-    """Does a text layer look broken: too many control, private-use or replacement
-    characters among its first 80 and more?"""
-    t = F.coalesce(text, F.lit(""))
+    """Does a text layer look broken? Counted among its visible characters, of which there must
+    be 80: replacement characters, control characters, private-use characters, and a
+    mixture of these with rare scripts."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[\[[A-Z_]*PDF_PAGE:[0-9]+\]\]", ""), BLANKS, "")
     n = F.length(t)
-    share = lambda p: F.regexp_count(t, F.lit(p)) / n
-    broken = (share(r"[\x00-\x08\x0E-\x1F]") > 0.01) | (share(r"[\uE000-\uF8FF]") > 0.05) | (share("\uFFFD") > 0.02)
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    control, private, replaced = count(r"[\x00-\x08\x0E-\x1F\x7F-\x9F]"), count(r"[\uE000-\uF8FF\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"), count("\uFFFD")
+    rare, severe = count(r"[\u3400-\u4DBF\u0530-\u058F\u10A0-\u10FF\u1200-\u137F\u2D30-\u2D7F\u2F00-\u2FDF]"), control + private + replaced
+    broken = (replaced >= 3) | ((control >= 8) & (control / n >= 0.005)) | ((private >= 50) & (private / n >= 0.03)) | ((severe >= 24) & (severe / n >= 0.012) & (rare >= 80) & (rare / n >= 0.08))
     return F.when(n < 80, False).otherwise(broken)
 
 
 def dense_data(text: Column) -> Column:
-    """A block of figures: six numbers or more, and they stand close or look like units."""
-    t = F.coalesce(text, F.lit(""))
-    numbers = F.regexp_count(t, F.lit(r"[0-9]+(?:[.,][0-9]+)*"))
-    words = F.greatest(F.size(F.split(collapse_blanks(t), " ")), F.lit(1))
-    return (numbers >= 6) & ((numbers / words >= 0.18) | (F.regexp_count(t, F.lit("[0-9]%")) >= 2) | (F.regexp_count(t, F.lit(r"[|;]")) >= 3))
+    """A block of figures: 90 characters and six numbers at least, and figures are many, or
+    there are percentages, separators or units."""
+    t = collapse_blanks(F.coalesce(text, F.lit("")))
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    units = count(r"(?i)\b(?:ms|s|MB|GB|TB|Hz|kHz|MHz|GHz|req/s|tokens?/s)\b")
+    many = (count("[0-9%+−-]") / F.length(t) >= 0.18) | (count("[0-9](?:[.,][0-9]+)?%") >= 2) | (count("[：:；;|｜]") >= 3) | (units >= 3)
+    return (F.length(t) >= 90) & (count("[-+]?[0-9]+(?:[.,][0-9]+)?%?") >= 6) & many
 
 
 def block_kind(text: Column) -> Column:

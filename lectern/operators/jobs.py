@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import floor
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Seconds before each next attempt.
 LADDER = (30, 120, 480, 1800)
-TRANSIENT = r"timeout|timed out|econnreset|econnrefused|socket hang up|network|temporarily|rate limit"
-#: Fixed values of the review schedule: factors of an interval, steps of the ease and its bounds.
-FACTORS, EASE_STEPS, EASE_BOUNDS, FIRST_EASE = {"hard": 1.2, "good": 2.2, "easy": 3.0}, {"again": -0.2, "hard": -0.15, "easy": 0.15}, (1.3, 3.2), 2.5
+#: What the messages of passing failures say.
+TRANSIENT = (
+    r"(?i)ECONNRESET|ECONNREFUSED|ETIMEDOUT|EAI_AGAIN|ENOTFOUND|UND_ERR_|fetch failed|socket"
+    r"|connection (?:reset|closed|timed out)|network (?:error|unreachable)"
+    r"|HTTP\s*(?:408|425|429|5[0-9][0-9])\b|（(?:408|425|429|5[0-9][0-9])）"
+)
+#: Fixed values of the review schedule: factors of an interval, least intervals, steps of the ease,
+#: its bounds and its first value; the last day that a calendar knows, from 1970.
+FACTORS, LEAST, EASE_STEPS = {"hard": 1.2, "good": 2.2, "easy": 3.0}, {"hard": 1, "good": 1, "easy": 3}, {"again": -0.2, "hard": -0.05, "good": 0.0, "easy": 0.15}
+EASE_BOUNDS, FIRST_EASE, LAST_DAY = (1.3, 3.2), 2.5, 100_000_000
 
 
 def job_current_state(events: DataFrame) -> DataFrame:
@@ -46,39 +57,72 @@ def batch_summary(jobs: DataFrame) -> DataFrame:
 
 
 def transient(status: Column, message: Column) -> Column:
-    """Is a failure worth another attempt?"""
-    return F.coalesce(status.isin(408, 425, 429) | (status >= 500), F.lit(False)) | F.coalesce(F.lower(message).rlike(TRANSIENT), F.lit(False))
+    """Is a failure worth another attempt: a status of overload or of the server's side, or a
+    message of a broken connection?"""
+    return F.coalesce(status.isin(408, 425, 429) | status.between(500, 599), F.lit(False)) | F.coalesce(message.rlike(TRANSIENT), F.lit(False))
+
+
+def retry_after(told: Column, now: Column) -> Column:
+    """Milliseconds that a Retry-After header asks for, 1 s to 1 h: it holds seconds or a date.
+    Null if it says neither."""
+    text = F.trim(told)
+    seconds = text.try_cast("double")
+    date = F.try_to_timestamp(F.regexp_extract(text, r"(?i)^(?:[a-z]{3,9},\s*)?([0-9]{1,2} [a-z]{3} [0-9]{4} [0-9:]{8})(?: GMT| UTC)?$", 1), F.lit("d MMM yyyy HH:mm:ss"))
+    ahead = (F.unix_micros(date) - F.unix_micros(now.cast("timestamp"))) / 1000
+    wait = F.when(seconds.isNotNull() & (seconds >= 0) & (seconds < float("inf")), seconds * 1000).otherwise(ahead)
+    return F.when(wait.isNotNull(), F.greatest(F.lit(1_000), F.least(wait, F.lit(3_600_000))).cast("long"))
+
+
+def retry_delay(attempt: Column, told_ms: Column | None = None) -> Column:
+    """Milliseconds to wait: what retry_after() found, or the ladder's step."""
+    step = F.element_at(F.array(*(F.lit(1000 * x) for x in LADDER)), F.greatest(F.lit(1), F.least(attempt, F.lit(len(LADDER)))).cast("int")).cast("long")
+    return step if told_ms is None else F.coalesce(told_ms.cast("long"), step)
 
 
-def retry_delay(attempt: Column, retry_after: Column | None = None) -> Column:
-    """Seconds to wait: what the server says, 1 s to 1 h, or the ladder's step."""
-    step = F.element_at(F.array(*map(F.lit, LADDER)), F.greatest(F.lit(1), F.least(attempt, F.lit(len(LADDER)))).cast("int"))
-    if retry_after is None:
-        return step
-    told = retry_after.try_cast("int")
-    return F.when(told.isNotNull(), F.greatest(F.lit(1), F.least(told, F.lit(3600)))).otherwise(step)
+def reviewed(days: float, ease: float, n: int, day: int, rating: str) -> tuple[float, float, int]:
+    """A card's (interval, ease, reviews) after one more review on that day (from 1970). A
+    card without an interval grows from one day, but not after `hard`. A review whose
+    due day no calendar knows fails and changes nothing."""
+    rating = rating if rating in EASE_STEPS else "good"
+    base = days if rating == "hard" else days or 1.0
+    new = 1.0 if rating == "again" else max(float(LEAST[rating]), floor(base * FACTORS[rating] + 0.5))
+    if day + new > LAST_DAY:
+        return days, ease, n
+    return new, min(EASE_BOUNDS[1], max(EASE_BOUNDS[0], ease + EASE_STEPS[rating])), n + 1
 
 
 def review_schedule(reviews: DataFrame) -> DataFrame:
-    """reviews(card_id, seq, ts, rating) folded in order: interval in days, ease, number
-    of reviews, due day. Unknown ratings count as good. The fold runs over one card's
-    ratings, as an array function."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "seq", "rating")))
-    start = F.struct(F.lit(0.0).alias("days"), F.lit(FIRST_EASE).alias("ease"), F.lit(0).alias("n"))
-
-    def step(state: Column, x: Column) -> Column:
-        rating = F.when(x["rating"].isin("again", "hard", "good", "easy"), x["rating"]).otherwise("good")
-        grow = F.when(rating == "hard", FACTORS["hard"]).when(rating == "easy", FACTORS["easy"]).otherwise(FACTORS["good"])
-        least = F.when(rating == "easy", 3.0).otherwise(1.0)
-        days = F.when(rating == "again", F.lit(1.0)).otherwise(F.greatest(least, F.floor(state["days"] * grow + 0.5).cast("double")))
-        # beyond a century a card isn't seen again; the bound keeps the numbers exact
-        days = F.least(days, F.lit(36_500.0))
-        ease = state["ease"] + F.when(rating == "again", EASE_STEPS["again"]).when(rating == "hard", EASE_STEPS["hard"]).when(rating == "easy", EASE_STEPS["easy"]).otherwise(0.0)
-        ease = F.round(F.greatest(F.lit(EASE_BOUNDS[0]), F.least(F.lit(EASE_BOUNDS[1]), ease)), 2)
-        return F.struct(days.alias("days"), ease.alias("ease"), (state["n"] + 1).alias("n"))
-
-    folded = reviews.groupBy("card_id").agg(F.aggregate(ordered, start, step).alias("s"), F.max("ts").alias("ts"))
-    return folded.select("card_id", F.col("s.days").cast("long").alias("days"), F.col("s.ease").alias("ease"), F.col("s.n").cast("long").alias("reviews"), F.date_add(F.to_date("ts"), F.col("s.days").cast("int")).alias("due"))
+    """reviews(card_id, seq, ts, rating) folded in order: interval in days, ease, number of
+    reviews, due day (from 1970). Unknown ratings count as good. Reviews are sorted by
+    card and time; a task reads them as a stream and keeps one card's state."""
+    card = reviews.schema["card_id"].dataType.simpleString()
+    rows = reviews.select("card_id", "ts", "seq", F.unix_date(F.to_date("ts")).alias("day"), F.coalesce("rating", F.lit("")).alias("rating"))
+    ordered = rows.repartition("card_id").sortWithinPartitions("card_id", "ts", "seq", "rating").select("card_id", "day", "rating")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, last, out = None, None, 0, []
+
+        def made() -> pa.RecordBatch:
+            cards, days, eases, counts, due = zip(*out, strict=True) if out else ((),) * 5
+            return pa.RecordBatch.from_arrays([pa.array(cards, schema.field(0).type), pa.array(days, pa.float64()), pa.array(eases, pa.float64()), pa.array(counts, pa.int64()), pa.array(due, pa.int64())], names=["card_id", "days", "ease", "reviews", "due"])
+
+        for b in batches:
+            schema = b.schema
+            for c, day, rating in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if state is None or c != own:
+                    if state is not None:
+                        out.append((own, *state, last + int(state[0])))
+                    own, state, last = c, (0.0, FIRST_EASE, 0), day
+                before, state = state, reviewed(*state, day, rating)
+                last = day if state[2] > before[2] else last
+            yield made()
+            out = []
+        if state is not None:
+            out.append((own, *state, last + int(state[0])))
+            yield made()
+
+    folded = ordered.mapInArrow(fold, f"card_id {card}, days double, ease double, reviews long, due long")
+    return folded.select("card_id", F.col("days").cast("long").alias("days"), F.round("ease", 6).alias("ease"), "reviews", "due")
 
 
 def review_load(cards: DataFrame) -> DataFrame:
@@ -88,7 +132,7 @@ def review_load(cards: DataFrame) -> DataFrame:
 
 def due_cards(cards: DataFrame, today: str, k: int) -> DataFrame:
     """Cards due by a day, the longest due first."""
-    return cards.where(F.col("due") <= F.lit(today).cast("date")).orderBy("due", "card_id").limit(k)
+    return cards.where(F.col("due") <= F.unix_date(F.lit(today).cast("date"))).orderBy("due", "card_id").limit(k)
 
 
 def daily_rotation(items: DataFrame, first_day: str, days: int, order: str) -> DataFrame:

@@ -158,27 +158,30 @@ def readable_lines(lines: DataFrame) -> DataFrame:
 
 
 def chunk_overlap(items: DataFrame, size: int = 1200, overlap: int = 120, least: int = 40, search: float = 0.65) -> DataFrame:
-    """items(id, body) -> chunks that end, if they can, at a sentence or line end in their
-    last third. Where a chunk begins depends on where the one before ended, so a text is
-    cut in one go, inside its task."""
+    """items(id, body) -> chunks that end, if they can, at a paragraph, a full stop or a semicolon
+    in their last third. Trimmed chunks of fewer than `least` characters are left out, but
+    count. Where a chunk begins depends on where the one before ended, so a text is cut in
+    one go, inside its task."""
 
-    def cuts(text: str) -> Iterator[tuple[int, str]]:
-        start = 0
+    def cuts(text: str) -> Iterator[tuple[int, int, int, str]]:
+        start, n = 0, 0
         while start < len(text):
-            end = min(len(text), start + size)
+            end, n = min(len(text), start + size), n + 1
             if end < len(text):
                 low = start + int(size * search)
-                at = max(text.rfind(mark, low, end) for mark in ("\n", ". ", "。", "! ", "? "))
-                end = at + 1 if at >= low else end
-            if end - start >= least or start == 0:
-                yield start, text[start:end]
+                at = max(text.rfind(mark, low, end) for mark in ("\n\n", "。", "；", ". "))
+                end = at + 1 if at >= 0 else end
+            if len(part := text[start:end].strip(" \t\n\r")) >= least:
+                yield n, start, end, part
             if end >= len(text):
                 break
             start = max(start + 1, end - overlap)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(f"{i}-C{n + 1}", i, s, t) for i, body in zip(f["id"], f["body"], strict=True) for n, (s, t) in enumerate(cuts(body or ""))]
-            yield pd.DataFrame(rows, columns=["chunk_id", "id", "start", "text"])
+            for first in range(0, len(f), 500):
+                part = f[first : first + 500]
+                rows = [(f"{i}-C{n}", i, s, e, t) for i, body in zip(part["id"], part["body"], strict=True) for n, s, e, t in cuts(body or "")]
+                yield pd.DataFrame(rows, columns=["chunk_id", "id", "start", "stop", "text"])
 
-    return items.select("id", "body").mapInPandas(run, "chunk_id string, id string, start long, text string")
+    return items.select("id", "body").mapInPandas(run, "chunk_id string, id string, start long, stop long, text string")

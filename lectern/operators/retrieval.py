@@ -21,26 +21,41 @@ def chunk_fixed(items: DataFrame, size: int = 1200, overlap: int = 120, least: i
 
 
 def query_terms(text: Column, most: int = 80) -> Column:
-    """Distinct words of three letters and more, A-Z folded, the first `most`."""
-    words = F.filter(F.split(fold(text), "[^a-z0-9]+"), lambda x: F.length(x) >= 3)
-    return F.slice(F.array_distinct(words), 1, most)
+    """Distinct terms in lower case, the first `most`: Latin words of two characters and more,
+    numbers, and of each run of Han characters all pieces of 4, 3 and 2."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    latin = F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9_.+-]+|[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    runs = F.regexp_extract_all(low, F.lit(r"[\u3400-\u9fff]{2,}"), F.lit(0))
+
+    def pieces(run: Column) -> Column:
+        of = lambda w: F.when(F.length(run) >= w, F.transform(F.sequence(F.lit(1), F.length(run) - w + 1), lambda i: F.substring(run, i, F.lit(w)))).otherwise(F.array().cast("array<string>"))
+        return F.concat(of(4), of(3), of(2))
+
+    return F.slice(F.array_distinct(F.concat(latin, F.flatten(F.transform(runs, pieces)))), 1, most)
 
 
 def score_chunks(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """Adds `score`: for each term that stands in the text its length, 6 at most."""
-    text = fold(F.col("text"))
+    """Adds `score`: for each term that stands in title or text its length, 6 at most, and 5
+    more if the title has it. chunks may come without titles."""
+    title = F.lower(F.coalesce(F.col("title"), F.lit(""))) if "title" in chunks.columns else F.lit("")
+    text = F.concat(title, F.lit("\n"), F.lower(F.col("text")))
     score = F.lit(0)
     for t in dict.fromkeys(terms):
-        score = score + F.when(text.contains(t), min(len(t), 6)).otherwise(0)
+        score = score + F.when(text.contains(t), F.lit(min(len(t), 6)) + F.when(title.contains(t), 5).otherwise(0)).otherwise(0)
     return chunks.withColumn("score", score.cast("long"))
 
 
 def select_chunks(scored: DataFrame, per_source: int = 1, most: int = 18) -> DataFrame:
-    """First the best `per_source` chunks of each source, then the best of all others, up
-    to `most`."""
+    """The best `per_source` chunks of each source, whatever they score, then the best of all
+    others as long as there are fewer than `most`."""
     own = Window.partitionBy("id").orderBy(F.col("score").desc(), "start")
-    flagged = scored.where("score > 0").withColumn("first", F.row_number().over(own) <= per_source)
-    return flagged.orderBy(F.col("first").desc(), F.col("score").desc(), "id", "start").limit(most)
+    flagged = scored.withColumn("first", F.row_number().over(own) <= per_source)
+    firsts = flagged.where("first")
+    others = flagged.where("NOT first").orderBy(F.col("score").desc(), "start", "id").limit(most)
+    # `most` rows at most, and one number
+    placed = others.withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "start", "id")))
+    room = firsts.agg((F.lit(most) - F.count("*")).alias("room"))
+    return firsts.unionByName(placed.join(F.broadcast(room)).where(F.col("place") <= F.col("room")).drop("place", "room"))
 
 
 def citation_join(citations: DataFrame, chunks: DataFrame, least: int = 6, most: int = 12) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import excerpt, fold, literal_contains
+from lectern.sources.shared import settle
 
 KEYS = ["target_type", "target_id"]
 
@@ -55,18 +58,26 @@ def tokens(items: DataFrame, text: str, key: str = "id") -> DataFrame:
     return words.select(key, F.size("words").alias("size"), F.explode("words").alias("token")).groupBy(key, "size", "token").agg(F.count("*").alias("n"))
 
 
-def prefix_search(items: DataFrame, text: str, terms: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, key: str = "id") -> DataFrame:
-    """Items in which every term begins a word, by BM25 over the terms, then by key."""
-    words = tokens(items, text, key)
-    stats = items.select(F.size(F.filter(F.split(fold(F.col(text)), "[^a-z0-9]+"), lambda x: x != "")).alias("size")).agg(F.count("*").alias("items"), F.avg("size").alias("mean"))
-    terms_of = F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.col("token").startswith(t))
-    met = words.withColumn("term", F.explode(terms_of)).groupBy(key, "size", "term").agg(F.sum("n").alias("tf"))
-    spread = met.groupBy("term").agg(F.count("*").alias("df"))
-    scored = met.join(F.broadcast(spread), "term").join(F.broadcast(stats))
-    idf = F.log((F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    found = scored.groupBy(key).agg(F.count("*").alias("met"), F.round(F.sum(part), 6).alias("score")).where(F.col("met") == len(terms))
-    return found.orderBy(F.col("score").desc(), key).limit(k).select(key, "score")
+def begins(term: str) -> Callable[[Column], Column]:
+    return lambda word: word.startswith(term)
+
+
+def prefix_search(items: DataFrame, texts: list[str], terms: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, key: str = "id") -> DataFrame:
+    """Items in which every term begins a word of one of the texts, by BM25 over the terms, then
+    the newest, then by key. Words are counted row by row; only counts are kept and
+    gathered."""
+    words = F.filter(F.split(F.concat_ws(" ", *(fold(F.col(t)) for t in texts)), "[^a-z0-9]+"), lambda x: x != "")
+    spots = [f"tf{i}" for i in range(len(terms))]
+    rows = items.select(key, "updated_at", words.alias("words"))
+    rows = settle(rows.select(key, "updated_at", F.size("words").alias("size"), *(F.size(F.filter("words", begins(t))).alias(s) for s, t in zip(spots, terms, strict=True))), "words")
+    stats = rows.agg(F.count("*").alias("items"), F.avg("size").alias("mean"), *(F.count_if(F.col(s) > 0).alias(f"{s}_df") for s in spots))
+    score = F.lit(0.0)
+    for s in spots:
+        idf = F.log((F.col("items") - F.col(f"{s}_df") + 0.5) / (F.col(f"{s}_df") + 0.5) + 1)
+        score = score + idf * F.col(s) * (k1 + 1) / (F.col(s) + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    met = rows.where(" AND ".join(f"{s} > 0" for s in spots)).join(F.broadcast(stats))  # one row
+    found = met.select(key, "updated_at", F.round(score, 6).alias("score"))
+    return found.orderBy(F.col("score").desc(), F.col("updated_at").desc(), key).limit(k).select(key, "score")
 
 
 def scored_search(items: DataFrame, query: str, k: int = 80, key: str = "id") -> DataFrame:

@@ -174,49 +174,66 @@ def anti_missing_job(lib: Library) -> DataFrame:
 
 @query(
     "retry_classify",
-    """, e AS (SELECT seq, CAST(400 + floor(value) % 130 AS INTEGER) AS status, CASE WHEN seq % 5 = 0 THEN 'Connection timed out' ELSE 'bad input' END AS message FROM ticks)
-    SELECT seq, status, status IN (408, 425, 429) OR status >= 500 OR regexp_matches(lower(message), 'timeout|timed out') AS transient FROM e""",
+    """, e AS (SELECT seq, CAST(400 + floor(value) % 230 AS INTEGER) AS status, (['Connection timed out', 'bad input', 'got HTTP 503 from source', 'HTTP 5030', 'getaddrinfo ENOTFOUND x', 'quota used up', 'request timeout'])[CAST(1 + seq % 7 AS INTEGER)] AS message FROM ticks)
+    SELECT seq, status, status IN (408, 425, 429) OR (status >= 500 AND status <= 599) OR message IN ('Connection timed out', 'got HTTP 503 from source', 'getaddrinfo ENOTFOUND x') AS transient FROM e""",
     ("ticks",),
 )
 def retry_classify(lib: Library) -> DataFrame:
-    rows = lib.ticks.select("seq", (F.lit(400) + F.pmod(F.floor("value"), F.lit(130))).cast("int").alias("status"), F.when(F.col("seq") % 5 == 0, "Connection timed out").otherwise("bad input").alias("message"))
+    said = F.array(*map(F.lit, ("Connection timed out", "bad input", "got HTTP 503 from source", "HTTP 5030", "getaddrinfo ENOTFOUND x", "quota used up", "request timeout")))
+    rows = lib.ticks.select("seq", (F.lit(400) + F.pmod(F.floor("value"), F.lit(230))).cast("int").alias("status"), F.element_at(said, (F.col("seq") % 7 + 1).cast("int")).alias("message"))
     return rows.select("seq", "status", jobs.transient(F.col("status"), F.col("message")).alias("transient"))
 
 
+@query(
+    "retry_after",
+    """, r AS (SELECT job_id, seq, epoch_ms(CAST(ts AS TIMESTAMP)) - epoch_ms(TIMESTAMP '1995-06-17 00:00:00') AS ahead FROM attempts)
+    SELECT job_id, seq, CASE seq % 4 WHEN 0 THEN greatest(1000, least(3600000, seq * 700500)) WHEN 1 THEN greatest(1000, least(3600000, ahead)) END AS wait_ms FROM r""",
+    ("attempts",),
+)
+def retry_after(lib: Library) -> DataFrame:
+    date = F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    told = F.when(F.col("seq") % 4 == 0, (F.col("seq") * 700.5).cast("string")).when(F.col("seq") % 4 == 1, date).when(F.col("seq") % 4 == 2, "soon")
+    return lib.attempts.select("job_id", "seq", jobs.retry_after(told, F.lit("1995-06-17 00:00:00").cast("timestamp")).alias("wait_ms"))
+
+
 @query(
     "retry_delay",
-    """SELECT job_id, CASE WHEN max(seq) % 3 = 0 THEN greatest(1, least(3600, CAST(max(seq) * 1000 AS INTEGER))) ELSE ([30, 120, 480, 1800])[greatest(1, least(4, CAST(count(*) AS INTEGER)))] END AS delay FROM attempts GROUP BY job_id""",
+    """SELECT job_id, CASE WHEN max(seq) % 3 = 0 THEN greatest(1000, least(3600000, CAST(max(seq) * 1000000 AS BIGINT))) ELSE CAST(([30000, 120000, 480000, 1800000])[greatest(1, least(4, CAST(count(*) AS INTEGER)))] AS BIGINT) END AS delay_ms FROM attempts GROUP BY job_id""",
     ("attempts",),
 )
 def retry_delay(lib: Library) -> DataFrame:
     rows = lib.attempts.groupBy("job_id").agg(F.count("*").alias("n"), F.max("seq").alias("seq"))
-    told = F.when(F.col("seq") % 3 == 0, (F.col("seq") * 1000).cast("string"))
-    return rows.select("job_id", jobs.retry_delay(F.col("n").cast("int"), told).alias("delay"))
+    told = jobs.retry_after(F.when(F.col("seq") % 3 == 0, (F.col("seq") * 1000).cast("string")), F.lit("2024-01-01").cast("timestamp"))
+    return rows.select("job_id", jobs.retry_delay(F.col("n").cast("int"), told).alias("delay_ms"))
 
 
 SCHEDULE = """
-    r AS (SELECT card_id, ts, CASE WHEN rating = 'unknown' THEN 'good' ELSE rating END AS rating, row_number() OVER (PARTITION BY card_id ORDER BY ts, seq) AS n, count(*) OVER (PARTITION BY card_id) AS total FROM reviews),
+    r AS (SELECT card_id, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day, rating, row_number() OVER (PARTITION BY card_id ORDER BY ts, seq) AS k, count(*) OVER (PARTITION BY card_id) AS total FROM reviews),
     s AS (
-      SELECT card_id, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS days, CAST(2.5 AS DOUBLE) AS ease FROM (SELECT DISTINCT card_id FROM r)
+      SELECT card_id, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS days, CAST(2.5 AS DOUBLE) AS ease, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS last FROM (SELECT DISTINCT card_id FROM r)
       UNION ALL
-      SELECT s.card_id, r.n, least(CAST(36500 AS DOUBLE), CASE r.rating WHEN 'again' THEN 1 WHEN 'easy' THEN greatest(3, floor(s.days * CAST(3.0 AS DOUBLE) + 0.5)) WHEN 'hard' THEN greatest(1, floor(s.days * CAST(1.2 AS DOUBLE) + 0.5)) ELSE greatest(1, floor(s.days * CAST(2.2 AS DOUBLE) + 0.5)) END),
-             round(greatest(CAST(1.3 AS DOUBLE), least(CAST(3.2 AS DOUBLE), s.ease + CASE r.rating WHEN 'again' THEN -0.2 WHEN 'hard' THEN -0.15 WHEN 'easy' THEN 0.15 ELSE 0 END)), 2)
-      FROM s JOIN r ON r.card_id = s.card_id AND r.n = s.n + 1
+      SELECT card_id, k, CASE WHEN fits THEN new ELSE days END, CASE WHEN fits THEN least(CAST(3.2 AS DOUBLE), greatest(CAST(1.3 AS DOUBLE), ease + step)) ELSE ease END, n + CAST(fits AS BIGINT), CASE WHEN fits THEN day ELSE last END
+      FROM (
+        SELECT *, new + day <= 100000000 AS fits FROM (
+          SELECT s.card_id, r.k, s.days, s.ease, s.n, s.last, r.day, CASE r.rating WHEN 'again' THEN CAST(-0.2 AS DOUBLE) WHEN 'hard' THEN CAST(-0.05 AS DOUBLE) WHEN 'easy' THEN CAST(0.15 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS step,
+                 CASE r.rating WHEN 'again' THEN CAST(1 AS DOUBLE) WHEN 'hard' THEN greatest(CAST(1 AS DOUBLE), floor(s.days * CAST(1.2 AS DOUBLE) + 0.5))
+                   WHEN 'easy' THEN greatest(CAST(3 AS DOUBLE), floor((CASE WHEN s.days = 0 THEN 1 ELSE s.days END) * CAST(3 AS DOUBLE) + 0.5)) ELSE greatest(CAST(1 AS DOUBLE), floor((CASE WHEN s.days = 0 THEN 1 ELSE s.days END) * CAST(2.2 AS DOUBLE) + 0.5)) END AS new
+          FROM s JOIN r ON r.card_id = s.card_id AND r.k = s.k + 1))
     ),
-    cards AS (SELECT s.card_id, CAST(days AS BIGINT) AS days, ease, s.n AS reviews, CAST(r.ts AS DATE) + CAST(days AS INTEGER) AS due FROM s JOIN r ON r.card_id = s.card_id AND r.n = s.n AND r.n = r.total)"""
+    cards AS (SELECT s.card_id, CAST(days AS BIGINT) AS days, round(ease, 6) AS ease, n AS reviews, last + CAST(days AS BIGINT) AS due FROM s JOIN (SELECT card_id, max(k) AS total FROM r GROUP BY card_id) t ON t.card_id = s.card_id AND t.total = s.k)"""
 
 
-@query("review_schedule", f", {SCHEDULE} SELECT card_id, days, ease, reviews, CAST(due AS VARCHAR) AS due FROM cards", ("reviews",))
+@query("review_schedule", f", {SCHEDULE} SELECT card_id, days, ease, reviews, due FROM cards", ("reviews",))
 def review_schedule(lib: Library) -> DataFrame:
     return jobs.review_schedule(lib.reviews)
 
 
-@query("review_load", f", {SCHEDULE} SELECT CAST(due AS VARCHAR) AS due, count(*) AS cards FROM cards GROUP BY ALL", ("reviews",))
+@query("review_load", f", {SCHEDULE} SELECT due, count(*) AS cards FROM cards GROUP BY ALL", ("reviews",))
 def review_load(lib: Library) -> DataFrame:
     return jobs.review_load(jobs.review_schedule(lib.reviews))
 
 
-@query("due_cards", f", {SCHEDULE} SELECT card_id, CAST(due AS VARCHAR) AS due FROM cards WHERE due <= DATE '2024-02-20' ORDER BY cards.due, card_id LIMIT 40", ("reviews",))
+@query("due_cards", f", {SCHEDULE} SELECT card_id, due FROM cards WHERE due <= date_diff('day', DATE '1970-01-01', DATE '2024-02-20') ORDER BY cards.due, card_id LIMIT 40", ("reviews",))
 def due_cards(lib: Library) -> DataFrame:
     return jobs.due_cards(jobs.review_schedule(lib.reviews), "2024-02-20", 40).select("card_id", "due")
 

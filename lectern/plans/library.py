@@ -10,6 +10,7 @@ from lectern.operators import hierarchy, jobs, layout, library, maintenance, org
 from lectern.plans.items import CLOSURE
 from lectern.plans.registry import query
 from lectern.plans.search import FOLD
+from lectern.plans.texts import COUNTED, SCRIPT, SPACED
 from lectern.sources.library import Library
 
 KEYS = ["target_type", "target_id"]
@@ -92,8 +93,8 @@ def duplicate_articles(lib: Library) -> DataFrame:
 
 @query(
     "backfill_language",
-    r""", c AS (SELECT id, lang, CASE WHEN len(regexp_extract_all(body, '[A-Za-z]{2,}')) >= 3 THEN 'en' ELSE 'unknown' END AS language FROM library_documents WHERE len(regexp_extract_all(body, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]')) = 0)
-    SELECT id, language, CASE WHEN language = 'en' THEN 'not_requested' ELSE 'not_required' END AS translation FROM c WHERE language <> lang""",
+    f""", l AS (SELECT id, lang, {SPACED.format("body")} AS t FROM library_documents), c AS (SELECT id, lang, {COUNTED} FROM l), s AS (SELECT id, lang, {SCRIPT} AS language FROM c)
+    SELECT id, language, CASE WHEN language = 'en' THEN 'not_requested' ELSE 'not_required' END AS translation FROM s WHERE language <> lang""",
     ("library_documents",),
 )
 def backfill_language(lib: Library) -> DataFrame:
@@ -198,9 +199,26 @@ def toc_merge_chunks(lib: Library) -> DataFrame:
     return library.merge_chunk_titles(entries)
 
 
-@query("chunk_overlap")
+def _last(mark: str) -> str:
+    return f"CASE WHEN strpos(reverse(cand), reverse({mark})) > 0 THEN length(cand) - strpos(reverse(cand), reverse({mark})) - length({mark}) + 1 ELSE -1 END"
+
+
+@query(
+    "chunk_overlap",
+    f""", steps AS (
+      SELECT id, body, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop, CAST(0 AS BIGINT) AS ahead FROM library_documents WHERE length(body) > 0
+      UNION ALL
+      SELECT id, body, n + 1, ahead, stop, CASE WHEN stop >= length(body) THEN length(body) ELSE greatest(ahead + 1, stop - 120) END
+      FROM (SELECT *, CASE WHEN ideal < length(body) AND spot >= 0 THEN ahead + 780 + spot + 1 ELSE ideal END AS stop FROM (
+        SELECT *, greatest({_last("chr(10) || chr(10)")}, {_last("'。'")}, {_last("'；'")}, {_last("'. '")}) AS spot FROM (
+          SELECT id, body, n, ahead, least(length(body), ahead + 1200) AS ideal, substr(body, ahead + 781, greatest(0, least(length(body), ahead + 1200) - ahead - 780)) AS cand FROM steps WHERE ahead < length(body))))
+    )
+    SELECT concat(id, '-C', CAST(n AS VARCHAR)) AS chunk_id, id, start, stop, sha256(trim(substr(body, start + 1, stop - start), chr(32) || chr(9) || chr(10) || chr(13))) AS digest
+    FROM steps WHERE n > 0 AND length(trim(substr(body, start + 1, stop - start), chr(32) || chr(9) || chr(10) || chr(13))) >= 40""",
+    ("library_documents",),
+)
 def chunk_overlap(lib: Library) -> DataFrame:
-    return library.chunk_overlap(lib.library_documents)
+    return library.chunk_overlap(lib.library_documents).select("chunk_id", "id", "start", "stop", F.sha2("text", 256).alias("digest"))
 
 
 @query(
@@ -217,12 +235,20 @@ def section_pack(lib: Library) -> DataFrame:
     return layout.section_pack(blocks, 600)
 
 
+HEADING = r"""CASE WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN length(regexp_extract(line, '^(#{1,6})\s', 1))
+         WHEN regexp_matches(line, '(?i)^(chapter|part)\s+([0-9]+|[ivxlc]+)\b') AND length(line) <= 80 THEN 1
+         WHEN regexp_matches(line, '^[0-9]{1,2}(\.[0-9]{1,2}){0,3}\.?\s+[A-Za-z一-鿿]') AND length(line) <= 80 AND NOT regexp_matches(line, '^[0-9.]+\s*(%|px|km|kg|mm|cm|ms|s|GB|MB|years?|days?|times)\b')
+         THEN length(regexp_extract(line, '^([0-9]{1,2}(\.[0-9]{1,2}){0,3})', 1)) - length(replace(regexp_extract(line, '^([0-9]{1,2}(\.[0-9]{1,2}){0,3})', 1), '.', '')) + 1 END"""
+
+
 @query(
     "parse_heading",
-    r""", l AS (SELECT id, unnest(string_split(body, chr(10))) AS line FROM library_documents)
-    SELECT count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '^#{1,6}\s+\S') OR (regexp_matches(line, '(?i)^(chapter|part)\s+([0-9]+|[ivxlc]+)\b') AND length(line) <= 80)) AS headings FROM l WHERE NOT regexp_matches(line, '^[0-9]')""",
+    rf""", l AS (SELECT unnest(string_split(body, chr(10))) AS line FROM library_documents), v AS (SELECT concat(p, line) AS line FROM l, (VALUES (''), ('2.1 '), ('12 ms '), ('Chapter iv '), ('## '), ('1.2.3. ')) t(p))
+    SELECT {HEADING} AS level, count(*) AS lines FROM v GROUP BY ALL""",
     ("library_documents",),
 )
 def parse_heading(lib: Library) -> DataFrame:
-    lines = lib.library_documents.select(F.explode(F.split("body", "\n")).alias("line")).where(~F.col("line").rlike("^[0-9]"))
-    return lines.agg(F.count("*").alias("lines"), F.count_if(layout.heading(F.col("line")).isNotNull()).alias("headings"))
+    """All lines, as they are and behind marks and numbers."""
+    marks = F.explode(F.array(*map(F.lit, ("", "2.1 ", "12 ms ", "Chapter iv ", "## ", "1.2.3. "))))
+    lines = lib.library_documents.select(F.explode(F.split("body", "\n")).alias("line")).select("line", marks.alias("mark")).select(F.concat("mark", "line").alias("line"))
+    return lines.groupBy(layout.heading(F.col("line"))["level"].alias("level")).agg(F.count("*").alias("lines"))

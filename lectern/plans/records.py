@@ -94,9 +94,9 @@ def parse_json_columns(lib: Library) -> DataFrame:
     return lib.events.select("event_type", F.coalesce(parsed["k"], F.lit(0)).alias("k")).groupBy("event_type").agg(F.count("*").alias("events"), F.sum("k").alias("k"))
 
 
-@query("pending_queue", "SELECT id, job_type FROM jobs WHERE status = 'queued' AND number % 2 = 0 ORDER BY created_at, number LIMIT 100", ("jobs",))
+@query("pending_queue", "SELECT id, job_type FROM jobs WHERE status = 'queued' ORDER BY created_at, number LIMIT 100", ("jobs",))
 def pending_queue(lib: Library) -> DataFrame:
-    return lib.jobs.where("status = 'queued' AND number % 2 = 0").orderBy("created_at", "number").limit(100).select("id", "job_type")
+    return lib.jobs.where("status = 'queued'").orderBy("created_at", "number").limit(100).select("id", "job_type")
 
 
 @query("day_key", "SELECT concat('daily:', CAST(CAST(ts AS DATE) AS VARCHAR)) AS day, count(*) AS ticks FROM ticks GROUP BY ALL", ("ticks",))

@@ -15,7 +15,7 @@ FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
 
 
 def sources(lib: Library) -> list:
-    return [(lib.library_documents, "document", ["title", "body"]), (lib.library_articles, "article", ["title"]), (lib.library_papers, "paper", ["title", "body"])]
+    return [(lib.library_documents, "document", ["title", "body"]), (lib.library_articles, "article", ["title", "text"]), (lib.library_papers, "paper", ["title", "body"])]
 
 
 HITS = f"""
@@ -23,7 +23,8 @@ HITS = f"""
       SELECT 'document' AS target_type, id AS target_id, CASE WHEN contains({FOLD.format("title")}, '{WORDS}') THEN 'title' ELSE 'body' END AS field
       FROM library_documents WHERE contains({FOLD.format("title")}, '{WORDS}') OR contains({FOLD.format("body")}, '{WORDS}')
       UNION ALL
-      SELECT 'article', id, 'title' FROM library_articles WHERE contains({FOLD.format("title")}, '{WORDS}')
+      SELECT 'article', id, CASE WHEN contains({FOLD.format("title")}, '{WORDS}') THEN 'title' ELSE 'text' END
+      FROM library_articles WHERE contains({FOLD.format("title")}, '{WORDS}') OR contains({FOLD.format("text")}, '{WORDS}')
       UNION ALL
       SELECT 'paper', id, CASE WHEN contains({FOLD.format("title")}, '{WORDS}') THEN 'title' ELSE 'body' END
       FROM library_papers WHERE contains({FOLD.format("title")}, '{WORDS}') OR contains({FOLD.format("body")}, '{WORDS}')
@@ -73,17 +74,16 @@ TOKENS = f"""
 
 @query(
     "prefix_search",
-    f""", {TOKENS}, stats AS (
-      SELECT count(*) AS items, avg(len(list_filter(regexp_split_to_array({FOLD.format("body")}, '[^a-z0-9]+'), lambda x: x <> ''))) AS mean FROM library_documents
-    ), met AS (
-      SELECT id, size, term, count(*) AS tf FROM t JOIN (VALUES ('{TERMS[0]}'), ('{TERMS[1]}')) q(term) ON starts_with(token, term) GROUP BY ALL
-    ), spread AS (SELECT term, count(*) AS df FROM met GROUP BY term)
-    SELECT id, round(sum(ln((items - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
-    FROM met JOIN spread USING (term) CROSS JOIN stats GROUP BY id HAVING count(*) = 2 ORDER BY score DESC, id LIMIT 20""",
+    f""", w AS (SELECT id, updated_at, list_filter(regexp_split_to_array({FOLD.format("concat_ws(' ', title, body)")}, '[^a-z0-9]+'), lambda x: x <> '') AS words FROM library_documents),
+    c AS (SELECT id, updated_at, len(words) AS size, len(list_filter(words, lambda x: starts_with(x, '{TERMS[0]}'))) AS tf0, len(list_filter(words, lambda x: starts_with(x, '{TERMS[1]}'))) AS tf1 FROM w),
+    t AS (SELECT count(*) AS items, avg(size) AS mean, count(*) FILTER (WHERE tf0 > 0) AS df0, count(*) FILTER (WHERE tf1 > 0) AS df1 FROM c),
+    s AS (SELECT id, updated_at, round(ln((items - df0 + 0.5) / (df0 + 0.5) + 1) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * size / mean)) + ln((items - df1 + 0.5) / (df1 + 0.5) + 1) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score
+          FROM c, t WHERE tf0 > 0 AND tf1 > 0)
+    SELECT id, score FROM s ORDER BY score DESC, updated_at DESC, id LIMIT 20""",
     ("library_documents",),
 )
 def prefix_search(lib: Library) -> DataFrame:
-    return search.prefix_search(lib.library_documents, "body", TERMS)
+    return search.prefix_search(lib.library_documents, ["title", "body"], TERMS)
 
 
 @query(
@@ -127,36 +127,47 @@ def chunk_fixed(lib: Library) -> DataFrame:
     return retrieval.chunk_fixed(lib.library_documents).select("chunk_id", "id", "start", F.sha2("text", 256).alias("digest"))
 
 
-@query(
-    "score_chunks",
-    f""", {CHUNKS} SELECT chunk_id, CAST((CASE WHEN contains({FOLD.format("text")}, 'ention') THEN 6 ELSE 0 END) + (CASE WHEN contains({FOLD.format("text")}, 'ing') THEN 3 ELSE 0 END)
-           + (CASE WHEN contains({FOLD.format("text")}, 'theatre') THEN 6 ELSE 0 END) AS BIGINT) AS score FROM chunks""",
-    ("library_documents",),
-)
+TITLED = f"titled AS (SELECT c.*, lower(coalesce(d.title, '')) AS head, concat(lower(coalesce(d.title, '')), chr(10), lower(text)) AS whole FROM chunks c JOIN library_documents d USING (id))"
+
+
+def titled(lib: Library) -> DataFrame:
+    return retrieval.chunk_fixed(lib.library_documents).join(lib.library_documents.select("id", "title"), "id")
+
+
+def points(*terms: str) -> str:
+    return " + ".join(f"CASE WHEN contains(whole, '{t}') THEN {min(len(t), 6)} + CASE WHEN contains(head, '{t}') THEN 5 ELSE 0 END ELSE 0 END" for t in terms)
+
+
+@query("score_chunks", f""", {CHUNKS}, {TITLED} SELECT chunk_id, CAST({points("ention", "ing", "theatre", "the")} AS BIGINT) AS score FROM titled""", ("library_documents",))
 def score_chunks(lib: Library) -> DataFrame:
-    return retrieval.score_chunks(retrieval.chunk_fixed(lib.library_documents), ["ention", "ing", "theatre"]).select("chunk_id", "score")
+    return retrieval.score_chunks(titled(lib), ["ention", "ing", "theatre", "the"]).select("chunk_id", "score")
 
 
 @query(
     "select_chunks",
-    f""", {CHUNKS}, s AS (
-      SELECT *, (CASE WHEN contains({FOLD.format("text")}, 'ention') THEN 6 ELSE 0 END) + (CASE WHEN contains({FOLD.format("text")}, 'ing') THEN 3 ELSE 0 END) AS score FROM chunks
-    ), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, start) <= 1 AS first FROM s WHERE score > 0)
-    SELECT chunk_id, first, CAST(score AS BIGINT) AS score FROM f ORDER BY first DESC, score DESC, id, start LIMIT 18""",
+    f""", {CHUNKS}, {TITLED}, s AS (SELECT *, CAST({points("ention", "ing")} AS BIGINT) AS score FROM titled),
+    f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, start) <= 2 AS first FROM s),
+    o AS (SELECT *, row_number() OVER (ORDER BY score DESC, start, id) AS place FROM f WHERE NOT first)
+    SELECT chunk_id, first, score FROM f WHERE first UNION ALL SELECT chunk_id, first, score FROM o WHERE place <= 18 - (SELECT count(*) FROM f WHERE first)""",
     ("library_documents",),
 )
 def select_chunks(lib: Library) -> DataFrame:
-    scored = retrieval.score_chunks(retrieval.chunk_fixed(lib.library_documents), ["ention", "ing"])
-    return retrieval.select_chunks(scored).select("chunk_id", "first", "score")
+    scored = retrieval.score_chunks(titled(lib), ["ention", "ing"])
+    return retrieval.select_chunks(scored, per_source=2).select("chunk_id", "first", "score")
 
 
 @query(
     "query_terms",
-    f"""SELECT id, len(list_distinct(list_filter(regexp_split_to_array({FOLD.format("body")}, '[^a-z0-9]+'), lambda x: length(x) >= 3))) AS terms FROM library_papers""",
+    """, q AS (SELECT id, lower(concat(body, ' v1.5+ 3.14 检索增强生成 模型')) AS t FROM library_papers),
+    latin AS (SELECT id, t, regexp_extract_all(t, '[a-z][a-z0-9_.+-]+|[0-9]+(\\.[0-9]+)?') AS terms FROM q),
+    every AS (SELECT id, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM latin
+              UNION ALL SELECT id, h.term, 1000000 + h.pos FROM q, (VALUES ('检索增强', 1), ('索增强生', 2), ('增强生成', 3), ('检索增', 4), ('索增强', 5), ('增强生', 6), ('强生成', 7), ('检索', 8), ('索增', 9), ('增强', 10), ('强生', 11), ('生成', 12), ('模型', 13)) h(term, pos)),
+    firsts AS (SELECT id, term, min(pos) AS pos FROM every GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM firsts)
+    SELECT id, string_agg(term, ' ' ORDER BY pos) AS terms FROM n WHERE k <= 80 GROUP BY id""",
     ("library_papers",),
 )
 def query_terms(lib: Library) -> DataFrame:
-    return lib.library_papers.select("id", F.size(retrieval.query_terms(F.col("body"), 100_000)).cast("long").alias("terms"))
+    return lib.library_papers.select("id", F.array_join(retrieval.query_terms(F.concat("body", F.lit(" v1.5+ 3.14 检索增强生成 模型"))), " ").alias("terms"))
 
 
 CITED = """

@@ -23,15 +23,23 @@ def clean_text(lib: Library) -> DataFrame:
     return lib.library_documents.select("id", F.sha2(T.clean_text(F.col("body")), 256).alias("digest"))
 
 
+#: Counts of a text t, and the language that they tell.
+COUNTED = r"""len(regexp_extract_all(t, '[\x{3400}-\x{9fff}]')) AS han, len(regexp_extract_all(t, '[A-Za-z][A-Za-z''’-]+')) AS words, len(regexp_extract_all(t, '[A-Za-z]')) AS letters, greatest(length(replace(t, ' ', '')), 1) AS visible"""
+SCRIPT = """CASE WHEN han >= 80 AND han / visible >= 0.08 THEN CASE WHEN words >= 120 AND han / visible < 0.22 AND letters > han * 1.35 THEN 'mixed' ELSE 'zh' END
+  WHEN words >= 40 AND han / visible < 0.03 THEN 'en' WHEN han >= 20 AND words >= 40 THEN 'mixed' WHEN han > words THEN 'zh' WHEN words > 0 THEN 'en' ELSE 'unknown' END"""
+SPACED = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x0B\x{{a0}}\x{{feff}}\x{{2000}}-\x{{200a}}\x{{3000}}]+', ' ', 'g'))"
+
+
 @query(
     "detect_language",
-    r""", c AS (SELECT id, lang, len(regexp_extract_all(body, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]')) AS han, len(regexp_extract_all(body, '[A-Za-z]{2,}')) AS words, len(regexp_extract_all(body, '[A-Za-z]')) AS letters FROM library_documents)
-    SELECT lang, CASE WHEN han = 0 AND words = 0 THEN 'unknown' WHEN han >= 20 AND words >= 40 AND han / greatest(han + letters, 1) BETWEEN 0.15 AND 0.7 THEN 'mixed' WHEN han / greatest(han + letters, 1) >= 0.3 THEN 'zh' WHEN words >= 3 THEN 'en' WHEN han > 0 THEN 'zh' ELSE 'unknown' END AS script, count(*) AS items
-    FROM c GROUP BY ALL""",
+    f""", l AS (SELECT lang, {SPACED.format("body")} AS t FROM (SELECT lang, body FROM library_documents UNION ALL SELECT 'han', repeat(concat('数据', substr(body, 1, 40)), 45) FROM library_documents)), c AS (SELECT lang, {COUNTED} FROM l)
+    SELECT lang, {SCRIPT} AS script, count(*) AS items FROM c GROUP BY ALL""",
     ("library_documents",),
 )
 def detect_language(lib: Library) -> DataFrame:
-    return lib.library_documents.select("lang", T.detect_language(F.col("body")).alias("script")).groupBy("lang", "script").agg(F.count("*").alias("items"))
+    plain = lib.library_documents.select("lang", "body")
+    han = plain.select(F.lit("han").alias("lang"), F.repeat(F.concat(F.lit("数据"), F.substring("body", 1, 40)), F.lit(45)).alias("body"))
+    return plain.unionByName(han).select("lang", T.detect_language(F.col("body")).alias("script")).groupBy("lang", "script").agg(F.count("*").alias("items"))
 
 
 @query("word_count", f"SELECT id, greatest(CASE WHEN {LINE.format('body')} = '' THEN 0 ELSE len(string_split({LINE.format('body')}, ' ')) END, len(regexp_extract_all(body, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]'))) AS words FROM library_documents", ("library_documents",))
@@ -39,24 +47,37 @@ def word_count(lib: Library) -> DataFrame:
     return lib.library_documents.select("id", T.word_count(F.col("body")).alias("words"))
 
 
-@query("text_layer_corruption", "SELECT category, count(*) AS items FROM library_documents WHERE length(body) >= 80 AND len(regexp_extract_all(body, '[\\x00-\\x08\\x0E-\\x1F]')) / length(body) <= 0.01 AND len(regexp_extract_all(body, '\\x{fffd}')) / length(body) <= 0.02 AND len(regexp_extract_all(body, '[\\x{e000}-\\x{f8ff}]')) / length(body) <= 0.05 GROUP BY category", ("library_documents",))
+@query(
+    "text_layer_corruption",
+    r""", w AS (SELECT id, m, regexp_replace(concat(coalesce(body, ''), repeat(chr(m), 1 + CAST(number % 60 AS INTEGER))), '[\s\x0B\x{a0}\x{feff}\x{2000}-\x{200a}\x{3000}]+', '', 'g') AS t FROM library_documents, (VALUES (65533), (7), (57345), (120)) v(m)),
+    c AS (SELECT id, m, length(t) AS n, len(regexp_extract_all(t, '[\x00-\x08\x0E-\x1F\x7F-\x{9F}]')) AS control, len(regexp_extract_all(t, '[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]')) AS private, len(regexp_extract_all(t, '\x{FFFD}')) AS replaced,
+            len(regexp_extract_all(t, '[\x{3400}-\x{4DBF}\x{0530}-\x{058F}\x{10A0}-\x{10FF}\x{1200}-\x{137F}\x{2D30}-\x{2D7F}\x{2F00}-\x{2FDF}]')) AS rare FROM w)
+    SELECT id, CAST(m AS INTEGER) AS mark, n >= 80 AND (replaced >= 3 OR (control >= 8 AND control / n >= 0.005) OR (private >= 50 AND private / n >= 0.03)
+           OR (control + private + replaced >= 24 AND (control + private + replaced) / n >= 0.012 AND rare >= 80 AND rare / n >= 0.08)) AS broken FROM c""",
+    ("library_documents",),
+)
 def text_layer_corruption(lib: Library) -> DataFrame:
-    return lib.library_documents.where(~T.text_corruption(F.col("body")) & (F.length("body") >= 80)).groupBy("category").agg(F.count("*").alias("items"))
+    """Texts as they are and with a tail of characters that don't belong there."""
+    tail = lambda m: F.repeat(F.lit(chr(m)), (F.col("number") % 60 + 1).cast("int"))
+    rows = lib.library_documents.select("id", F.explode(F.array(*(F.struct(F.lit(m).alias("mark"), F.concat(F.coalesce("body", F.lit("")), tail(m)).alias("text")) for m in (0xFFFD, 7, 0xE001, 120)))).alias("x"))
+    return rows.select("id", "x.mark", T.text_corruption(F.col("x.text")).alias("broken"))
 
 
-DENSE = r"""(len(regexp_extract_all({0}, '[0-9]+([.,][0-9]+)*')) >= 6 AND (len(regexp_extract_all({0}, '[0-9]+([.,][0-9]+)*')) / greatest(len(string_split(trim(regexp_replace({0}, '[\s\x0B]+', ' ', 'g')), ' ')), 1) >= 0.18
-  OR len(regexp_extract_all({0}, '[0-9]%')) >= 2 OR len(regexp_extract_all({0}, '[|;]')) >= 3))"""
+DENSE = r"""(length({0}) >= 90 AND len(regexp_extract_all({0}, '[-+]?[0-9]+([.,][0-9]+)?%?')) >= 6 AND (len(regexp_extract_all({0}, '[0-9%+−-]')) / length({0}) >= 0.18
+  OR len(regexp_extract_all({0}, '[0-9]([.,][0-9]+)?%')) >= 2 OR len(regexp_extract_all({0}, '[：:；;|｜]')) >= 3 OR len(regexp_extract_all({0}, '(?i)\b(ms|s|MB|GB|TB|Hz|kHz|MHz|GHz|req/s|tokens?/s)\b')) >= 3))"""
 
 
-@query("dense_data_block", f"SELECT id, {DENSE.format('body')} AS dense FROM library_documents", ("library_documents",))
+@query("dense_data_block", f", l AS (SELECT id, {SPACED.format('body')} AS t FROM library_documents UNION ALL SELECT concat(id, 'n'), {SPACED.format("concat('load: ', CAST(number AS VARCHAR(20)), ' MB 12.5% 7 ms | 3 s 4 5 6 ', body)")} FROM library_documents) SELECT id, {DENSE.format('t')} AS dense FROM l", ("library_documents",))
 def dense_data_block(lib: Library) -> DataFrame:
-    return lib.library_documents.select("id", T.dense_data(F.col("body")).alias("dense"))
+    plain = lib.library_documents.select("id", "number", "body")
+    figures = plain.select(F.concat("id", F.lit("n")).alias("id"), F.concat(F.lit("load: "), F.col("number").cast("string"), F.lit(" MB 12.5% 7 ms | 3 s 4 5 6 "), F.col("body")).alias("body"))
+    return plain.select("id", "body").unionByName(figures).select("id", T.dense_data(F.col("body")).alias("dense"))
 
 
 @query(
     "classify_block",
     rf""", l AS (SELECT unnest(string_split(body, chr(10))) AS raw FROM library_documents), b AS (SELECT trim(raw) AS t FROM l)
-    SELECT CASE WHEN regexp_matches(t, '^([-*•]|[0-9]+[.)])\s') THEN 'list' WHEN length(t) <= 48 AND NOT regexp_matches(t, '[.!?。！？]$') AND t <> '' THEN 'heading' WHEN {DENSE.format("t")} THEN 'data' ELSE 'paragraph' END AS kind, count(*) AS blocks FROM b GROUP BY ALL""",
+    SELECT CASE WHEN regexp_matches(t, '^([-*•]|[0-9]+[.)])\s') THEN 'list' WHEN length(t) <= 48 AND NOT regexp_matches(t, '[.!?。！？]$') AND t <> '' THEN 'heading' WHEN {DENSE.format(SPACED.format("t"))} THEN 'data' ELSE 'paragraph' END AS kind, count(*) AS blocks FROM b GROUP BY ALL""",
     ("library_documents",),
 )
 def classify_block(lib: Library) -> DataFrame:

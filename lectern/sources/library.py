@@ -21,7 +21,7 @@ LOGICAL: dict[str, str] = {
     """,
     "library_articles": """
         SELECT CAST(page_id AS VARCHAR(20)) AS id, page_id AS number, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-               'web' AS category, html AS body, {minutes:page_id % 500} AS updated_at
+               'web' AS category, html AS body, trim(regexp_replace(html, '<[^>]+>', ' '{all})) AS text, {minutes:page_id % 500} AS updated_at
         FROM {pages}
     """,
     "library_papers": """

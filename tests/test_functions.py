@@ -22,8 +22,9 @@ def test_text(spark):
     assert values(spark, T.clock(x), [59.9, 61.0, 3661.0], "double") == ["00:59", "01:01", "01:01:01"]
     assert values(spark, T.clamp(x, 1, 10, 3), ["0", "7.9", "99", "x", None]) == [1, 7, 10, 3, 3]
     assert values(spark, T.iso_week(x), [dt.date(2024, 12, 30), dt.date(2024, 1, 1)], "date") == ["2025-W01", "2024-W01"]
-    assert values(spark, T.block_kind(x), ["- a", "A title", "This is a sentence of prose that ends with a stop.", "1 2 3 4 5 6 7 8 9 10 values in a row of the table here."]) == ["list", "heading", "paragraph", "data"]
-    assert values(spark, T.detect_language(x), ["一二三四五六", "three plain words here", "", "12"]) == ["zh", "en", "unknown", "unknown"]
+    assert values(spark, T.block_kind(x), ["- a", "A title", "This is a sentence of prose that ends with a stop.", "1 2 3 4 5 6 7 8 9 10 values in a row of the table here: 11 12 13 14 15 16 17 18 19 20 21 22."]) == ["list", "heading", "paragraph", "data"]
+    assert values(spark, T.detect_language(x), ["一二三四五六", "three plain words here", "", "12", "字" * 30 + " longishword" * 10, "字" * 80 + " word" * 130, "字" * 25 + " word" * 45]) == ["zh", "en", "unknown", "unknown", "zh", "mixed", "mixed"]
+    assert values(spark, T.text_corruption(x), ["a" * 80 + "\uFFFD" * 3, "a" * 80 + "\uFFFD" * 2, "a" * 70 + "\x07" * 9, "a" * 900 + "\uE001" * 50, "\uFFFD" * 50]) == [True, False, False, True, False]
     assert values(spark, T.plain_text(x), ["<p>a &lt;b&gt;</p><script>x<y</script><p>c&amp;amp;</p>"]) == ["a <b>\nc&amp;"]
     assert values(spark, T.strip_markdown(x), ["## A *b* [c](d) ![e](f)"]) == ["A b c e"]
     assert values(spark, T.excerpt(x, "Needle", 20, 5), ["x" * 30 + " needle " + "y" * 30, "none"])[1] is None
@@ -50,12 +51,19 @@ def test_tree(spark):
 
 def test_jobs(spark):
     rows = spark.createDataFrame([(1, None), (2, "7"), (9, None), (1, "99999"), (1, "soon")], "n int, told string")
-    assert [r[0] for r in rows.select(jobs.retry_delay(F.col("n"), F.col("told"))).collect()] == [30, 7, 1800, 3600, 30]
-    rows = spark.createDataFrame([(429, ""), (404, "Socket hang up"), (400, "no"), (None, None), (503, None)], "s int, m string")
-    assert [r[0] for r in rows.select(jobs.transient(F.col("s"), F.col("m"))).collect()] == [True, True, False, False, True]
+    now = F.lit("2015-10-21 07:27:00").cast("timestamp")
+    assert [r[0] for r in rows.select(jobs.retry_delay(F.col("n"), jobs.retry_after(F.col("told"), now))).collect()] == [30_000, 7_000, 1_800_000, 3_600_000, 30_000]
+    dates = ["Wed, 21 Oct 2015 07:28:00 GMT", "Tue, 20 Oct 2015 07:28:00 GMT", "0.2", "-5", "", None, "Infinity"]
+    assert values(spark, jobs.retry_after(F.col("x"), now), dates) == [60_000, 1_000, 1_000, None, None, None, None]
+    rows = spark.createDataFrame([(429, ""), (404, "Socket hang up"), (400, "no"), (None, None), (503, None), (600, "timeout"), (None, "HTTP 502"), (None, "HTTP 404"), (None, "connection timed out")], "s int, m string")
+    assert [r[0] for r in rows.select(jobs.transient(F.col("s"), F.col("m"))).collect()] == [True, True, False, False, True, False, True, False, True]
     day = dt.datetime(2024, 1, 1)
     reviews = spark.createDataFrame([("c", 1, day, "good"), ("c", 2, day, "easy"), ("c", 3, day, "hard"), ("c", 4, day, "again"), ("c", 5, day, "what")], "card_id string, seq long, ts timestamp, rating string")
-    assert tuple(jobs.review_schedule(reviews).first()) == ("c", 2, 2.3, 5, dt.date(2024, 1, 3))
+    assert tuple(jobs.review_schedule(reviews).first()) == ("c", 2, 2.4, 5, 19725)
+    many = spark.createDataFrame([(None, n, day, "easy") for n in range(40)], "card_id string, seq long, ts timestamp, rating string")
+    got = jobs.review_schedule(many).first()
+    assert got["ease"] == 3.2 and got["due"] <= jobs.LAST_DAY and got["reviews"] < 40
+    assert jobs.review_schedule(many.where("false")).count() == 0
 
 
 def test_upserts(spark):

@@ -40,9 +40,24 @@ def test_chunks_cover_the_text(spark):
     own = [r for r in got if r.id == "a"]
     at = 0
     for r in own:
-        assert r.start <= at and body[r.start : r.start + len(r.text)] == r.text and len(r.text) <= 1200
-        at = r.start + len(r.text)
-    assert at == len(body) and [r.text for r in got if r.id == "b"] == ["short"]
+        assert r.start <= at and body[r.start : r.stop].strip() == r.text and r.stop - r.start <= 1200
+        assert r.stop == len(body) or r.stop == r.start + 1200 or body[r.stop - 1] == "."
+        at = r.stop
+    assert at == len(body) and {r.id for r in got} == {"a"} and own[0].chunk_id == "a-C1"
+
+
+def test_chunks_for_a_question(spark):
+    from lectern.operators import retrieval
+
+    rows = [("a", 0, "ing ing", "x"), ("a", 5, "none", "x"), ("a", 9, "ention", "x"), ("b", 0, "none", "ing"), ("b", 5, "none", None)]
+    chunks = spark.createDataFrame(rows, "id string, start long, text string, title string")
+    scored = retrieval.score_chunks(chunks, ["ention", "ing"])
+    assert {(r.id, r.start): r.score for r in scored.collect()} == {("a", 0): 3, ("a", 5): 0, ("a", 9): 6, ("b", 0): 8, ("b", 5): 0}
+    pick = lambda **how: {(r.id, r.start) for r in retrieval.select_chunks(scored, **how).collect()}
+    assert pick(most=3) == {("a", 9), ("b", 0), ("a", 0)} and pick(most=1) == {("a", 9), ("b", 0)}
+    assert pick(per_source=2, most=4) == {("a", 9), ("a", 0), ("b", 0), ("b", 5)}
+    terms = spark.createDataFrame([("GPT-4 检索增强 a 3.5",)], "t string").select(retrieval.query_terms(F.col("t"))).first()[0]
+    assert terms == ["gpt-4", "3.5", "检索增强", "检索增", "索增强", "检索", "索增", "增强"]
 
 
 def test_gates(spark):
