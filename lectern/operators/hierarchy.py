@@ -5,36 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Deeper trees are an error of the data.
-DEPTH = 20
+from lectern.sources.shared import settle
 
 
 def folder_paths(folders: DataFrame) -> DataFrame:
     """(id, depth, path): the names from the root, joined by /. Folders that no root leads
-    to (loops) have none."""
-    level = folders.where("parent_id IS NULL").select("id", F.lit(1).alias("depth"), F.col("name").alias("path"))
-    found = level
-    children = folders.where("parent_id IS NOT NULL").select("id", "parent_id", "name")
-    for depth in range(2, DEPTH + 1):
+    to (loops) have none. A level is a table; levels are as many as the tree is deep."""
+    level = settle(folders.where("parent_id IS NULL").select("id", F.lit(1).alias("depth"), F.col("name").alias("path")), "level")
+    children = settle(folders.where("parent_id IS NOT NULL").select("id", "parent_id", "name"), "children")
+    found, depth = level, 1
+    while not level.isEmpty():
+        depth += 1
         parents = level.select(F.col("id").alias("parent_id"), "path")
-        level = children.join(parents, "parent_id").select("id", F.lit(depth).alias("depth"), F.concat_ws("/", "path", "name").alias("path"))
-        if level.isEmpty():
-            break
+        level = settle(children.join(parents, "parent_id").select("id", F.lit(depth).alias("depth"), F.concat_ws("/", "path", "name").alias("path")), "level")
         found = found.unionByName(level)
     return found
 
 
 def folder_closure(folders: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance), each folder its own ancestor. The frontier
-    doubles its reach each round, so rounds grow with the logarithm of the depth."""
+    """(ancestor, descendant, distance), each folder its own ancestor. The reach doubles each
+    round, so rounds grow with the logarithm of the depth; pairs are met by their
+    shortest way, so that loops end too. A round is a table."""
     edges = folders.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(1).alias("distance"))
-    reach, span = edges, 1
-    while span < DEPTH:
-        further = reach.alias("a").join(reach.alias("b"), F.col("a.descendant") == F.col("b.ancestor")).select("a.ancestor", "b.descendant", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        further = further.where((F.col("distance") > span) & (F.col("distance") <= DEPTH))
-        if further.isEmpty():
+    reach, span = settle(edges.distinct(), "reach"), 1
+    while True:
+        far = reach.where(F.col("distance") == span).select("ancestor", F.col("descendant").alias("middle"))
+        on = reach.select(F.col("ancestor").alias("middle"), "descendant", F.col("distance").alias("more"))
+        further = far.join(on, "middle").groupBy("ancestor", "descendant").agg((F.min("more") + span).alias("distance"))
+        new = settle(further.join(reach, ["ancestor", "descendant"], "left_anti"), "reach")
+        if new.isEmpty():
             break
-        reach, span = reach.unionByName(further).distinct(), 2 * span
+        reach, span = reach.unionByName(new), 2 * span
     return folders.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("distance")).unionByName(reach)
 
 
@@ -59,8 +60,9 @@ def folder_two_levels(folders: DataFrame, placed: DataFrame, items: DataFrame) -
 
 
 def folder_cycles(folders: DataFrame) -> DataFrame:
-    """Folders that are their own ancestor."""
-    return folder_closure(folders).where("distance > 0 AND ancestor = descendant").select(F.col("ancestor").alias("id")).distinct()
+    """Folders that are their own ancestor, among those that no root leads to."""
+    lost = folders.join(folder_paths(folders).select("id"), "id", "left_anti").select(*folders.columns)
+    return folder_closure(lost).where("distance > 0 AND ancestor = descendant").select(F.col("ancestor").alias("id")).distinct()
 
 
 def sibling_name_conflicts(folders: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ranks import ranked
+
 #: Seconds before each next attempt.
 LADDER = (30, 120, 480, 1800)
 #: What the messages of passing failures say.
@@ -36,9 +38,9 @@ def latest_per_target(jobs: DataFrame) -> DataFrame:
 
 
 def queue_positions(jobs: DataFrame) -> DataFrame:
-    """Places from 1 among the queued jobs of a type, oldest first."""
-    order = Window.partitionBy("job_type").orderBy("created_at", "number")
-    return jobs.where("status = 'queued'").select("id", "job_type", F.row_number().over(order).cast("long").alias("position"))
+    """Places from 1 among the queued jobs of a type, oldest first. Types are few and large."""
+    queued = jobs.where("status = 'queued'").select("id", "job_type", "created_at", "number")
+    return ranked(queued, ["job_type"], [F.col("created_at"), F.col("number")], "position").select("id", "job_type", "position")
 
 
 def eligible(jobs: DataFrame, types: list[str], now: str, k: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ranks import ranked
+
 from lectern.functions.text import fold
 
 KEYS = ["target_type", "target_id"]
@@ -73,19 +75,14 @@ def newest(items: DataFrame, k: int, category: str | None = None) -> DataFrame:
 
 
 def page_clamped(rows: DataFrame, order: list[tuple[str, bool]], size: int, number: int) -> DataFrame:
-    """Page `number` from 1, or the last page if there are fewer; order: columns, and
-    whether each ascends. The page is reached from the end that is nearer, so first and
-    last pages gather few rows; for pages deep inside use after_key."""
+    """Page `number` from 1, or the last page if there are fewer; order: columns, and whether
+    each ascends. Ranks are taken over the cluster, so that a page in the middle of a long
+    list costs what the first one does."""
+    placed = ranked(rows, [], [F.col(c).asc() if up else F.col(c).desc() for c, up in order], "place")
     total = rows.count()
     last = max(1, -(-total // size))
     use = min(max(1, number), last)
-    begin, end = (use - 1) * size, min(use * size, total)
-    back = total - begin < end
-    by = [F.col(c).asc() if up != back else F.col(c).desc() for c, up in order]
-    head = rows.orderBy(*by).limit(total - begin if back else end)
-    n = F.row_number().over(Window.orderBy(*by)).cast("long")
-    placed = head.withColumn("place", F.lit(total + 1) - n if back else n).where(F.col("place").between(begin + 1, end))
-    return placed.withColumn("page", F.lit(use)).withColumn("pages", F.lit(last))
+    return placed.where(F.col("place").between((use - 1) * size + 1, use * size)).withColumn("page", F.lit(use)).withColumn("pages", F.lit(last))
 
 
 def after_key(rows: DataFrame, order: list[str], last: tuple, k: int) -> DataFrame:

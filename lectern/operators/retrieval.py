@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import collapse_blanks, fold
+from lectern.functions.text import collapse_blanks
+from lectern.sources.shared import settle
 
 
 def chunk_fixed(items: DataFrame, size: int = 1200, overlap: int = 120, least: int = 40) -> DataFrame:
@@ -73,14 +74,27 @@ def insufficient_evidence(answers: DataFrame, valid: DataFrame) -> DataFrame:
     return answers.select("answer_id").distinct().join(counts, "answer_id", "left").select("answer_id", F.coalesce("citations", F.lit(0)).alias("citations"), F.col("citations").isNull().alias("insufficient"))
 
 
-def quoted_passages(quotes: DataFrame, bodies: DataFrame, size: int = 60) -> DataFrame:
-    """(item_id, id, at): where the first `size` characters of a quote stand in a body.
-    Quotes are found by the hash of their first words: bodies give the hashes of all
-    their word runs of that length, and only equal hashes are compared in full."""
-    words = 4
-    q = quotes.select("item_id", F.substring("text", 1, size).alias("quote")).where(F.length("quote") == size)
-    q = q.withColumn("h", F.xxhash64(F.array_join(F.slice(F.split("quote", " "), 1, words), " "))).where(F.size(F.split("quote", " ")) > words)
-    split = F.split("body", " ")
-    runs = bodies.select("id", split.alias("w")).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda i: F.struct(i.alias("i"), F.xxhash64(F.array_join(F.slice("w", i, words), " ")).alias("h")))).alias("r"))
-    found = runs.select("id", F.col("r.h").alias("h")).join(F.broadcast(q.select("item_id", "quote", "h")), "h").select("id", "item_id", "quote").distinct()
-    return found.join(bodies.select("id", "body"), "id").select("item_id", "id", F.locate_at("quote", "body").alias("at") if hasattr(F, "locate_at") else F.expr("locate(quote, body)").alias("at")).where("at > 0")
+def quoted_passages(quotes: DataFrame, bodies: DataFrame, words: int = 5) -> DataFrame:
+    """(item_id, id, at): where a body first holds a whole quote, word for word, blanks alike;
+    at counts the body's words from 1. Quotes of fewer words than `words` are met by all of
+    theirs. Hashes of word runs meet first; then all words are compared."""
+
+    def split(text: Column) -> Column:
+        return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\r]+"), lambda x: x != "")
+
+    def runs(size: Column) -> Column:
+        return F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.array_join(F.slice("w", i, size), " ")).alias("h"))))
+
+    q = quotes.select("item_id", split(F.col("text")).alias("quote")).where(F.size("quote") > 0).withColumn("k", F.least(F.size("quote"), F.lit(words)))
+    q = settle(q.withColumn("h", F.xxhash64(F.array_join(F.slice("quote", 1, F.col("k")), " "))), "quotes")
+    found = None
+    rows = bodies.select("id", split(F.col("body")).alias("w"))
+    for k in range(1, words + 1):  # short quotes are few kinds: each size that there is
+        own = q.where(F.col("k") == k).select("item_id", "quote", "h")
+        if k < words and own.isEmpty():
+            continue
+        part = rows.select("id", F.explode(runs(F.lit(k))).alias("r")).select("id", "r.i", "r.h").join(own, "h").select("id", "i", "item_id")
+        found = part if found is None else found.unionByName(part)
+    met = settle(found, "met")
+    whole = met.join(rows, "id").join(q.select("item_id", "quote"), "item_id").where(F.slice("w", F.col("i"), F.size("quote")) == F.col("quote"))
+    return whole.groupBy("item_id", "id").agg(F.min("i").cast("long").alias("at"))

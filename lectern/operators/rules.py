@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ranks import ranked
+
 from lectern.functions.text import collapse_blanks, fold
 
 
@@ -60,8 +62,7 @@ def reminder_due(candidates: DataFrame, status: DataFrame) -> DataFrame:
 
 def card_curriculum(cards: DataFrame, domain: str, order: list[str], per_level: int = 20, levels: int = 5, series: int = 3) -> DataFrame:
     """Place, level and series of each card in its domain."""
-    n = F.row_number().over(Window.partitionBy(domain).orderBy(*order))
-    rows = cards.withColumn("sequence", n)
+    rows = ranked(cards, [domain], [F.col(c) for c in order], "sequence").withColumn("sequence", F.col("sequence").cast("int"))
     return rows.withColumn("level", F.least(F.lit(levels), (F.floor((F.col("sequence") - 1) / per_level) + 1).cast("int"))).withColumn("series", F.pmod(F.col("sequence") - 1, F.lit(series)).cast("int"))
 
 

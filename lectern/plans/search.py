@@ -201,12 +201,14 @@ def insufficient_evidence(lib: Library) -> DataFrame:
 
 @query(
     "quoted_passages",
-    """SELECT q.id AS item_id, d.id, strpos(d.body, substr(q.body, 1, 60)) AS at FROM library_papers q JOIN library_documents d ON contains(d.body, concat(' ', substr(q.body, 1, 60))) OR starts_with(d.body, substr(q.body, 1, 60))
-    WHERE length(q.body) >= 60 AND len(string_split(substr(q.body, 1, 60), ' ')) > 4""",
+    """, q AS (SELECT id AS item_id, list_filter(regexp_split_to_array(body, '[ \t\n\r]+'), lambda x: x <> '') AS quote FROM library_papers),
+    d AS (SELECT id, list_filter(regexp_split_to_array(body, '[ \t\n\r]+'), lambda x: x <> '') AS w FROM library_documents),
+    m AS (SELECT item_id, id, concat(' ', array_to_string(w, ' '), ' ') AS line, concat(' ', array_to_string(quote, ' '), ' ') AS said FROM q JOIN d ON contains(concat(' ', array_to_string(w, ' '), ' '), concat(' ', array_to_string(quote, ' '), ' ')))
+    SELECT item_id, id, CAST(length(substr(line, 1, strpos(line, said))) - length(replace(substr(line, 1, strpos(line, said)), ' ', '')) AS BIGINT) AS at FROM m""",
     ("library_papers", "library_documents"),
 )
 def quoted_passages(lib: Library) -> DataFrame:
-    return retrieval.quoted_passages(lib.library_papers.select(F.col("id").alias("item_id"), F.col("body").alias("text")), lib.library_documents).withColumn("at", F.col("at").cast("long"))
+    return retrieval.quoted_passages(lib.library_papers.select(F.col("id").alias("item_id"), F.col("body").alias("text")), lib.library_documents)
 
 
 @query("literal_contains", f"SELECT count(*) AS items, count(DISTINCT category) AS categories FROM library_documents WHERE contains({FOLD.format('body')}, '100% ') OR contains({FOLD.format('body')}, 'token = ')", ("library_documents",))

@@ -14,7 +14,7 @@ from lectern.streaming import reading
 
 @query("stream_daily_activity", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS local_day, count(*) AS ticks FROM events GROUP BY ALL")
 def stream_daily_activity(lib: Library) -> DataFrame:
-    return reading.settled(reading.daily_activity(reading.stream_of(lib.spark, f"{lib.sf_dir}/events.parquet")), "daily", "complete")
+    return reading.settled(reading.daily_activity(reading.stream_of(lib.spark, f"{lib.sf_dir}/events.parquet")), "daily", "update", ("local_day",))
 
 
 @query("stream_sessions", f", {SESSIONS} SELECT owner_id, count(*) AS sessions, CAST(sum(ticks) AS BIGINT) AS ticks FROM sessions GROUP BY owner_id".replace(">  43200", "> 43200"), ("ticks",))

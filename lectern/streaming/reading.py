@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.sources.shared import shared_path
 
@@ -17,19 +18,24 @@ def stream_of(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path}*")
 
 
-def settled(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over what is there, and read its last table (complete) or all that it
-    wrote (append)."""
+def settled(stream: DataFrame, name: str, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream over what is there, and read its last table (complete), all that it wrote
+    (append), or of each key what it wrote last (update). A batch writes its own folder, so
+    that one that is tried again writes nothing twice."""
     spark = stream.sparkSession
     out, marks = shared_path(spark, name), shared_path(spark, f"{name}-marks")
-    spark.createDataFrame([], stream.schema).write.parquet(out)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")
 
     def put(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        rows.write.mode("overwrite").parquet(f"{out}/batch={'0' if mode == 'complete' else batch}")
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True)
     writer.foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", out).parquet(out)
+    if mode == "update":
+        rest = [c for c in stream.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, *(f"last.{c}" for c in rest))
+    return rows.select(*stream.columns)
 
 
 def daily_activity(events: DataFrame, late: str = "2 days") -> DataFrame:
@@ -83,14 +89,22 @@ def job_states(events: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame, out: str, marks: str) -> None:
-    """Pages(url, html, captured_at) as they come: of each url the newest stays in a table
-    of versions, equal captures once."""
+    """Pages(url, html, captured_at) as they come, equal captures once: each batch writes the
+    newest of its urls to a table of versions, of which current_captures() reads the last."""
     spark = pages.sparkSession
     rows = pages.withColumn("hash", F.sha2("html", 256)).withWatermark("captured_at", "1 day").dropDuplicatesWithinWatermark(["url", "hash"])
 
     def put(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy("url").agg(F.max_by(F.struct("html", "captured_at", "hash"), "captured_at").alias("x")).select("url", "x.*")
-        newest.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        newest.write.mode("overwrite").parquet(f"{out}/batch={number}")  # the same if the batch is tried again
 
     rows.writeStream.foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     spark.catalog.refreshByPath(out)
+
+
+def current_captures(spark: SparkSession, out: str) -> DataFrame:
+    """The table that captures() keeps, a row a url: the newest capture, and when it was first
+    taken in."""
+    rows = spark.read.parquet(out)
+    newest = F.max_by(F.struct("html", "captured_at", "hash"), F.struct("captured_at", "batch")).alias("x")
+    return rows.groupBy("url").agg(newest, F.min("captured_at").alias("first_seen")).select("url", "x.*", "first_seen")

@@ -1,6 +1,7 @@
 """Text functions and small operators on rows made here."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,43 @@ def test_tree(spark):
     assert got["a"] == (0, 3, 2) and got["b"] == (1, 3, 1) and got["c"] == (2, 2, 0)
 
 
+def test_deep_trees_and_loops(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, str(i)) for i in range(45)] + [("p", "r", "P"), ("q", "p", "Q"), ("r", "q", "R"), ("below", "p", "B")]
+    folders = spark.createDataFrame(rows, "id string, parent_id string, name string")
+    assert {r.id: r.depth for r in hierarchy.folder_paths(folders).collect()} == {f"n{i}": i + 1 for i in range(45)}
+    closure = {(r.ancestor, r.descendant): r.distance for r in hierarchy.folder_closure(folders).where("descendant LIKE 'n%'").collect()}
+    assert closure == {(f"n{i}", f"n{j}"): j - i for j in range(45) for i in range(j + 1)}
+    assert {r.id for r in hierarchy.folder_cycles(folders).collect()} == {"p", "q", "r"}
+
+
+def test_ranks_of_hot_groups(spark):
+    from lectern.operators.ranks import ranked
+
+    rng = random.Random(1)
+    rows = [(rng.choice([None, "a", "a", "a", "b"]), rng.randint(0, 9), i) for i in range(600)]
+    got = ranked(spark.createDataFrame(rows, "g string, x int, i int").repartition(5), ["g"], [F.col("x").desc(), F.col("i")]).collect()
+    for g in (None, "a", "b"):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert {r.i: r["rank"] for r in got if r.g == g} == {r[2]: n for n, r in enumerate(own, 1)}
+    assert {r.i: r["rank"] for r in ranked(spark.createDataFrame(rows, "g string, x int, i int"), [], [F.col("i")]).collect()} == {i: i + 1 for i in range(600)}
+
+
+def test_whole_quotes(spark):
+    from lectern.operators.retrieval import quoted_passages
+
+    quotes = spark.createDataFrame([(1, "a b  c d e f"), (2, "two words"), (3, "x"), (4, ""), (5, None), (6, "a b c d e g")], "item_id int, text string")
+    bodies = spark.createDataFrame([("p", "z a b c d e\nf a b c d e f two"), ("q", "two  words x x"), ("r", None)], "id string, body string")
+    assert {tuple(r) for r in quoted_passages(quotes, bodies).collect()} == {(1, "p", 2), (2, "q", 1), (3, "q", 3)}
+
+
+def test_links_and_json(spark):
+    from lectern.operators import links
+
+    rows = spark.createDataFrame([("http://a.b/c/d", "../x y"), ("http://a.b", "?q"), (None, "/x"), ("http://a.b", None), ("http://[bad", "x"), ("http://a.b", "data:text/plain,x")], "b string, h string")
+    assert [r[0] for r in rows.select(links.resolve_links(F.col("b"), F.col("h"))).collect()] == ["http://a.b/x y", "http://a.b/?q", None, None, None, None]
+    assert values(spark, links.embedded_json(F.col("x"), "v ="), ['v = {"a": "}"} rest }', 'w = {"a": 1}', 'v = {"a": 1', None, 'v = [1] {"b": {"c": 2}}']) == ['{"a": "}"}', None, None, None, '{"b": {"c": 2}}']
+
+
 def test_jobs(spark):
     rows = spark.createDataFrame([(1, None), (2, "7"), (9, None), (1, "99999"), (1, "soon")], "n int, told string")
     now = F.lit("2015-10-21 07:27:00").cast("timestamp")

@@ -138,4 +138,8 @@ def test_job_states_and_captures(spark, tmp_path):
     kind = "url string, html string, captured_at timestamp"
     spark.createDataFrame(shots, kind).coalesce(1).write.parquet(f"{tmp_path}/pages/1")
     reading.captures(spark.readStream.schema(kind).parquet(f"{tmp_path}/pages/*"), f"{tmp_path}/out", f"{tmp_path}/marks")
-    assert {(r.url, r.html) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("u", "b"), ("v", "c")}
+    assert {(r.url, r.html) for r in reading.current_captures(spark, f"{tmp_path}/out").collect()} == {("u", "b"), ("v", "c")}
+    spark.createDataFrame([("u", "d", at + dt.timedelta(minutes=9)), ("u", "b", at + dt.timedelta(minutes=3))], kind).coalesce(1).write.parquet(f"{tmp_path}/pages/2")
+    for _ in range(2):  # a run without news changes nothing
+        reading.captures(spark.readStream.schema(kind).parquet(f"{tmp_path}/pages/*"), f"{tmp_path}/out", f"{tmp_path}/marks")
+        assert {(r.url, r.html, r.first_seen) for r in reading.current_captures(spark, f"{tmp_path}/out").collect()} == {("u", "d", at + dt.timedelta(minutes=2)), ("v", "c", at)}
