@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,16 +45,38 @@ def cumulative_day_deltas(updates: DataFrame) -> DataFrame:
     return updates.select("session_id", "local_day", (most - before).alias("delta")).groupBy("session_id", "local_day").agg(F.sum("delta").cast("long").alias("seconds")).where("seconds > 0")
 
 
-def daily_activity(ticks: DataFrame, first_day: str, days: int) -> DataFrame:
-    """A row for each day of the calendar: ticks, owners, items; zeros where nothing was."""
-    spark = ticks.sparkSession
-    calendar = spark.range(days).select(F.date_add(F.lit(first_day).cast("date"), F.col("id").cast("int")).alias("local_day"))
-    per_day = ticks.groupBy(F.to_date("ts").alias("local_day")).agg(F.count("*").alias("ticks"), F.count_distinct("owner_id").alias("owners"), F.count_distinct("target_id").alias("items"))
-    return calendar.join(per_day, "local_day", "left").select("local_day", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("ticks", "owners", "items")))
+def session_days(ticks: DataFrame, most: int = 20, idle: int = 120) -> DataFrame:
+    """Active seconds of each owner, item and day, from heartbeats."""
+    rows = heartbeat_seconds(ticks, most, idle)
+    return rows.groupBy("owner_id", "target_id", F.to_date("ts").alias("local_day")).agg(F.sum("seconds").alias("active_seconds"))
 
 
-def activity_summary(ticks: DataFrame) -> DataFrame:
-    return ticks.agg(F.count("*").alias("ticks"), F.count_distinct("owner_id", "target_id").alias("items"), F.count_distinct(F.to_date("ts")).alias("active_days"), F.min("ts").alias("since"))
+def calendar_days(spark: SparkSession, first_day: str, days: int) -> DataFrame:
+    """The days of a range of 1 to 365, as local_day."""
+    return spark.range(min(365, max(1, days))).select(F.date_add(F.lit(first_day).cast("date"), F.col("id").cast("int")).alias("local_day"))
+
+
+def daily_activity(read: DataFrame, added: DataFrame, first_day: str, days: int) -> DataFrame:
+    """A row for each day of the calendar: active seconds and items of read(target_id, local_day,
+    active_seconds), and how many items of each kind added(target_type, local_day) brought;
+    zeros where nothing was."""
+    kinds = ("document", "article", "paper")
+    per_day = read.groupBy("local_day").agg(F.sum("active_seconds").alias("active_seconds"), F.count_distinct("target_id").alias("items"))
+    new = added.groupBy("local_day").agg(*(F.count_if(F.col("target_type") == k).alias(f"{k}s") for k in kinds))
+    rows = calendar_days(read.sparkSession, first_day, days).join(per_day, "local_day", "left").join(new, "local_day", "left")
+    return rows.select("local_day", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("active_seconds", "items", *(f"{k}s" for k in kinds))))
+
+
+def activity_summary(read: DataFrame, states: DataFrame, added: DataFrame, first_day: str, days: int) -> DataFrame:
+    """One row for a range of days: active seconds, items whose reading state changed, days with
+    reading, items added, and when reading began at all."""
+    end = F.date_add(F.lit(first_day).cast("date"), min(365, max(1, days)))
+    within = lambda day: (day >= F.lit(first_day).cast("date")) & (day < end)
+    inside = read.where(within(F.col("local_day"))).agg(F.coalesce(F.sum("active_seconds"), F.lit(0)).alias("active_seconds"), F.count_distinct("local_day").alias("active_days"))
+    changed = states.where(within(F.to_date("updated_at"))).agg(F.count_distinct("target_type", "target_id").alias("read_items"))
+    new = added.where(within(F.col("local_day"))).agg(F.count("*").alias("new_items"))
+    since = read.agg(F.min("local_day").alias("since"))
+    return inside.join(F.broadcast(changed)).join(F.broadcast(new)).join(F.broadcast(since))
 
 
 def progress_buckets(states: DataFrame) -> DataFrame:

@@ -61,20 +61,45 @@ def cumulative_day_deltas(lib: Library) -> DataFrame:
     return activity.cumulative_day_deltas(updates)
 
 
+READ = """
+    g AS (SELECT *, CAST(epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY owner_id ORDER BY ts, seq))) AS BIGINT) AS gap FROM ticks),
+    read AS (SELECT owner_id, target_id, CAST(ts AS DATE) AS local_day, CAST(sum(CASE WHEN gap <= 36000 THEN least(gap, 1800) ELSE 0 END) AS BIGINT) AS active_seconds FROM g GROUP BY ALL),
+    added AS (SELECT target_type, CAST(updated_at AS DATE) AS local_day FROM content)"""
+
+
+def read_and_added(lib: Library) -> tuple[DataFrame, DataFrame]:
+    return activity.session_days(lib.ticks, 1800, 36_000), lib.content.select("target_type", F.to_date("updated_at").alias("local_day"))
+
+
+@query("session_days", f", {READ} SELECT owner_id, target_id, CAST(local_day AS VARCHAR) AS local_day, active_seconds FROM read", ("ticks", "content"))
+def session_days(lib: Library) -> DataFrame:
+    return read_and_added(lib)[0]
+
+
 @query(
     "daily_activity",
-    """, days AS (SELECT CAST(d AS DATE) AS local_day FROM generate_series(DATE '2023-12-20', DATE '2023-12-20' + 59, INTERVAL 1 DAY) g(d))
-    SELECT CAST(d.local_day AS VARCHAR) AS local_day, count(t.seq) AS ticks, count(DISTINCT owner_id) AS owners, count(DISTINCT target_id) AS items
-    FROM days d LEFT JOIN ticks t ON CAST(t.ts AS DATE) = d.local_day GROUP BY ALL""",
-    ("ticks",),
+    f""", {READ}, days AS (SELECT CAST(d AS DATE) AS local_day FROM generate_series(DATE '2023-12-20', DATE '2023-12-20' + 59, INTERVAL 1 DAY) t(d)),
+    r AS (SELECT local_day, sum(active_seconds) AS active_seconds, count(DISTINCT target_id) AS items FROM read GROUP BY 1),
+    a AS (SELECT local_day, count(*) FILTER (WHERE target_type = 'document') AS documents, count(*) FILTER (WHERE target_type = 'article') AS articles, count(*) FILTER (WHERE target_type = 'paper') AS papers FROM added GROUP BY 1)
+    SELECT CAST(local_day AS VARCHAR) AS local_day, CAST(coalesce(active_seconds, 0) AS BIGINT) AS active_seconds, coalesce(items, 0) AS items, coalesce(documents, 0) AS documents, coalesce(articles, 0) AS articles, coalesce(papers, 0) AS papers
+    FROM days LEFT JOIN r USING (local_day) LEFT JOIN a USING (local_day)""",
+    ("ticks", "content"),
 )
 def daily_activity(lib: Library) -> DataFrame:
-    return activity.daily_activity(lib.ticks, "2023-12-20", 60)
+    return activity.daily_activity(*read_and_added(lib), "2023-12-20", 60)
 
 
-@query("activity_summary", "SELECT count(*) AS ticks, count(DISTINCT (owner_id, target_id)) AS items, count(DISTINCT CAST(ts AS DATE)) AS active_days, CAST(min(ts) AS VARCHAR) AS since FROM ticks", ("ticks",))
+@query(
+    "activity_summary",
+    f""", {READ} SELECT CAST(sum(active_seconds) AS BIGINT) AS active_seconds, count(DISTINCT local_day) AS active_days,
+      (SELECT count(DISTINCT (target_type, target_id)) FROM reading_states WHERE CAST(updated_at AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-15') AS read_items,
+      (SELECT count(*) FROM added WHERE local_day BETWEEN DATE '2024-01-01' AND DATE '2024-01-15') AS new_items, CAST((SELECT min(local_day) FROM read) AS VARCHAR) AS since
+    FROM read WHERE local_day BETWEEN DATE '2024-01-01' AND DATE '2024-01-15'""",
+    ("ticks", "content", "reading_states"),
+)
 def activity_summary(lib: Library) -> DataFrame:
-    return activity.activity_summary(lib.ticks)
+    read, added = read_and_added(lib)
+    return activity.activity_summary(read, lib.reading_states, added, "2024-01-01", 15)
 
 
 @query(
