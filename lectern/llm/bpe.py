@@ -33,7 +33,7 @@ WORDS_OF_USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+
 LONGEST_GUESS = 48
 #: Distinct words kept by a worker, characters handled at once, and the longest
 #: text whose words are listed at once.
-CACHE_WORDS, CHUNK_CHARS, WHOLE_CHARS = 1_000_000, 4_000_000, 8_000_000
+CACHE_WORDS, CHUNK_CHARS, WHOLE_CHARS = 300_000, 4_000_000, 8_000_000
 NONE = np.iinfo(np.int64).max
 
 
