@@ -1,14 +1,17 @@
-"""Near copies by the overlap of word shingles: candidates by min-hash bands, each
-confirmed by the whole sets of shingles.
-
-Two texts of similarity s (common shingles by all shingles) share a band of ROWS
-minima with probability s ** ROWS; of BANDS bands, all are missed with probability
-(1 - s ** ROWS) ** BANDS, at 0.8 less than one in a million.
-
-Texts that share a band meet in a group, in the order of their ids. A text that is
-alike to an earlier leader of its group goes; otherwise it is a leader itself. One that
-stays has so been a leader in all its groups, and no two of these are alike. The bands
-are taken in two turns, so that what goes in the first isn't sent in the second; large groups
+"""Near copies by the overlap of word shingles: candidates by SimHash and by min-hash
+bands, each confirmed by the whole sets of shingles.
+
+The components of SimHash's Gray-order index, over the fingerprints of the shingle sets,
+are the first groups of candidates: they hold what differs in a few words. At a
+similarity of 0.8 some ten of 64 bits differ, more than can be searched, so bands of
+least hashes give the rest. Two texts of similarity s (common shingles by all shingles)
+share a band of ROWS minima with probability s ** ROWS; of BANDS bands, all are missed
+with probability (1 - s ** ROWS) ** BANDS, at 0.8 less than one in a million.
+
+Texts that share a component or a band meet in a group, in the order of their ids. A text
+that is alike to an earlier leader of its group goes; otherwise it is a leader itself. One
+that stays has so been a leader in all its groups, and no two of these are alike. The
+groups are taken in two turns, so that what goes in the first isn't sent in the second; large groups
 are first thinned in parts, so that many copies of one text are never in one task.
 """
 
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import settle, utf8_values
-from lectern.llm.simhash import SEED
+from lectern.llm.simhash import SEED, components_of, majority
 
 SIMILARITY, WORDS = 0.8, 5
 #: Bands, minima in a band, bands of the first turn; members of a group before it is thinned in
@@ -62,8 +65,12 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        made = [band_keys(shingle_set(t)) for t in utf8_values(b.column(2))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64()))], names=["id", "node", "keys"])
+        made, prints = [], []
+        for t in utf8_values(b.column(2)):
+            hashes = shingle_set(t)
+            made.append(band_keys(hashes))
+            prints.append(majority((hashes[s : s + CHUNK] for s in range(0, len(hashes), CHUNK)), len(hashes)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["id", "node", "keys", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +102,10 @@ def overlapping(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("node"), "text")
     id_type = rows.schema["id"].dataType.simpleString()
-    bands = settle(rows.mapInArrow(_keys, f"id {id_type}, node long, keys array<long>"), "bands").dropDuplicates(["id", "node"])
-    bands = settle(bands.select("id", "node", F.posexplode("keys").alias("band", "key")), "keys")
+    bands = settle(rows.mapInArrow(_keys, f"id {id_type}, node long, keys array<long>, fp long").dropDuplicates(["id", "node"]), "bands")
+    roots = components_of(bands.select("fp").distinct()).withColumnsRenamed({"node": "fp"})
+    component = bands.select("id", "node", "fp").join(roots, "fp", "left").select("id", "node", F.lit(-1).alias("band"), F.xxhash64(F.lit("component"), F.coalesce("root", "fp")).alias("key"))
+    bands = settle(bands.select("id", "node", F.posexplode("keys").alias("band", "key")).unionByName(component), "keys")
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = settle(bands.join(shared, "key"), "met")
     nodes = met.select("node").distinct()
@@ -110,7 +119,7 @@ def overlapping(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         out = left.select(F.col("id").alias("_id"), F.col("node").alias("_node"))
         return rows.join(out, (rows["node"] == out["_node"]) & rows["id"].eqNullSafe(out["_id"]), "left_anti")
 
-    for first, end in ((0, TURN), (TURN, BANDS)):
+    for first, end in ((-1, TURN), (TURN, BANDS)):
         thin = True
         while True:
             alive = without(met.where((F.col("band") >= first) & (F.col("band") < end)), gone)

@@ -15,7 +15,7 @@ as soon as they exceed the threshold all pairs below are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import combinations, islice
 
@@ -40,6 +40,14 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def majority(parts: Iterable[np.ndarray], count: int) -> int:
+    """The bits that are set in over half of `count` hashes."""
+    ones = np.zeros(64, np.int64)
+    for part in parts:
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """SimHash of the text's word shingles. A bit is 1 if it is set in over half of
     the shingles' hashes; a text without words has fingerprint 0."""
@@ -49,11 +57,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     count = max(1, len(found) - words + 1)
     shingles = map(b" ".join, zip(*(islice(found, i, None) for i in range(words)))) if len(found) > words else iter([b" ".join(found)])
     hashes = map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles)
-    ones = np.zeros(64, np.int64)
-    for s in range(0, count, CHUNK):
-        part = np.fromiter(hashes if count <= CHUNK else islice(hashes, CHUNK), np.uint64, min(CHUNK, count - s))
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+    return majority((np.fromiter(islice(hashes, CHUNK), np.uint64, min(CHUNK, count - s)) for s in range(0, count, CHUNK)), count)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,6 +227,11 @@ def near_links(codes: DataFrame, distance: int = DISTANCE, group: int = GROUP) -
         masks = sorted({t for to in finer.values() for t in to})
 
 
+def components_of(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """codes(fp), distinct -> (node, root) of each code that isn't its component's least."""
+    return connected_components(near_links(codes, distance))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the
     least id that links lead to).
@@ -233,7 +242,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     gives no rows."""
     prints = settle(fingerprints(docs, doc_id, text), "prints")
     codes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    roots = connected_components(near_links(codes.select("fp"), distance))
+    roots = components_of(codes.select("fp"), distance)
     placed = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = settle(placed, "placed")
     heads = settle(placed.groupBy("root").agg(F.min("least").alias("component_id")), "heads")
