@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,8 +86,10 @@ def asset_reference_check(references: DataFrame, manifest: DataFrame) -> DataFra
 
 
 class Snapshots:
-    """Versions of a table in a folder. A version is published by writing its pointer after
-    its data and checks; a failed batch leaves the last version as it was."""
+    """Versions of a table in a folder. A version is published by writing its numbered pointer
+    after its data and checks; a failed batch leaves the last version as it was. Two that
+    publish at once take one number, and the later pointer fails: pointers are made, never
+    overwritten."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -101,14 +104,24 @@ class Snapshots:
             failed = made.agg(*(F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items())).first().asDict()
             if any(failed.values()):
                 raise ValueError(f"rows that fail: { {k: v for k, v in failed.items() if v} }")
-        pointer = self.spark.createDataFrame([(json.dumps({"version": version}),)], "value string")
-        pointer.coalesce(1).write.mode("append").text(f"{self.path}/pointers")
+        number = self.number() + 1
+        pointer = self.spark.createDataFrame([(json.dumps({"version": version, "number": number}),)], "value string")
+        pointer.coalesce(1).write.mode("errorifexists").text(f"{self.path}/pointers/{number}")
         return version
 
+    def number(self) -> int:
+        """The number of the last version; 0 before the first."""
+        try:
+            return self.versions().agg(F.max("number")).first()[0] or 0
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0
+
     def versions(self) -> DataFrame:
-        listed = self.spark.read.text(f"{self.path}/pointers").select("value", F.col("_metadata.file_modification_time").alias("at"))
-        return listed.select(F.get_json_object("value", "$.version").alias("version"), "at")
+        listed = self.spark.read.text(f"{self.path}/pointers/*")
+        return listed.select(F.get_json_object("value", "$.version").alias("version"), F.get_json_object("value", "$.number").cast("long").alias("number"))
 
     def read(self) -> DataFrame:
-        latest = self.versions().agg(F.max_by("version", "at")).first()[0]
+        latest = self.versions().agg(F.max_by("version", "number")).first()[0]
         return self.spark.read.parquet(f"{self.path}/data/{latest}")

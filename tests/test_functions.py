@@ -119,7 +119,10 @@ def test_snapshots_keep_the_last_good_version(spark, tmp_path):
     store.publish(spark.createDataFrame([(1,)], "k int"), {"positive": F.col("k") > 0})
     with pytest.raises(ValueError, match="positive"):
         store.publish(spark.createDataFrame([(2,), (-1,), (None,)], "k int"), {"positive": F.col("k") > 0})
-    assert [r.k for r in store.read().collect()] == [1]
+    assert [r.k for r in store.read().collect()] == [1] and store.number() == 1
+    for k in range(2, 13):  # published within one tick of a clock, more than nine
+        store.publish(spark.createDataFrame([(k,)], "k int"))
+        assert [r.k for r in store.read().collect()] == [k] and store.number() == k
 
 
 def test_search_pages(spark):
