@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import hierarchy, identity, layout, library, links, retrieval, search, structure
+from lectern.operators import hierarchy, identity, layout, library, links, retrieval, sanitize, search, structure
 from lectern.plans.registry import query
 from lectern.plans.search import CITED, FOLD, HITS, WORD, WORDS, sources
 from lectern.plans.texts import SPACED
@@ -338,3 +338,16 @@ def drop_decorative_images(lib: Library) -> DataFrame:
     made = F.array(block(1, "figure", None, None), block(2, "img", 1, None), block(3, "div", None, ""), block(4, "img", 3, " "), block(5, "p", None, "text"), block(6, "img", 5, "shown"), block(7, "img", 5, None))
     blocks = lib.library_articles.select(F.col("number").alias("page_id"), F.explode(made).alias("b")).select("page_id", "b.*")
     return links.drop_decorative_images(blocks).select("page_id", "pos")
+
+
+@query(
+    "sanitize_note_html",
+    """, n AS (SELECT target_id, turn, replace(replace(replace(note_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM notes)
+    SELECT target_id, turn, concat('<p style="color: red">', t, '<b>', t, '</b></p>[image removed]', t, '<a href="https://x.example/?a=1&amp;b" target="_blank" rel="noopener noreferrer">l</a><a>j</a><td width="4000">c</td>') AS html FROM n""",
+    ("notes",),
+)
+def sanitize_note_html(lib: Library) -> DataFrame:
+    text = F.replace(F.replace(F.replace("note_text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    parts = ('<p onclick="x()" style="color: red; background: url(x); position:fixed">', text, "<script>if (a < b) bad()</script><b>", text, '</b></p><img src="http://x.example/i.png" onerror="x()"><custom-tag>', text, '</custom-tag><iframe src="x"><p>no</p></iframe><a href="https://x.example/?a=1&amp;b">l</a><a href=" javascript:x">j</a><td width="9999" colspan="-1">c</td></i>')
+    made = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    return lib.notes.select("target_id", "turn", sanitize.sanitize_note_html(made).alias("html"))

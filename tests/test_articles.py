@@ -54,3 +54,22 @@ def test_guarded_restore_refuses_changed_bodies(spark):
     older = spark.createDataFrame([(1, "x", "old"), (2, "changed", "old")], now.schema)
     assert [r.title for r in rules.restore_guarded(now, older, "id", "body", ["title"]).orderBy("id").collect()] == ["t1", "t2"]
     assert [r.title for r in rules.restore_guarded(now, older.where("id = 1"), "id", "body", ["title"]).orderBy("id").collect()] == ["old", "t2"]
+
+
+def test_notes_are_made_safe():
+    from lectern.operators.sanitize import clean
+
+    cases = {
+        '<p onclick="x()">a</p>': "<p>a</p>",
+        "<script>x<y</script>b": "b",
+        "<unknown>kept <b>x</unknown>": "kept <b>x</b>",
+        '<a href="javascript:x">l</a><a href="mailto:a@b.example">m</a>': '<a>l</a><a href="mailto:a@b.example" target="_blank" rel="noopener noreferrer">m</a>',
+        '<img src="data:image/png;base64,AA==" alt="&quot;q"><img src="//x/y" alt="z">': '<img src="data:image/png;base64,AA==" loading="lazy" alt="&quot;q">z',
+        '<span style="color: red; width: expression(x); COLOR: url(x)">s</span>': '<span style="color: red">s</span>',
+        "<form><p>gone</p><input></form>c &lt;i&gt;": "c &lt;i&gt;",
+        '<td colspan="0" rowspan="900" width="x">t': '<td rowspan="100">t</td>',
+    }
+    assert {k: clean(k) for k in cases} == cases
+    assert clean(None) is None and clean("") == ""
+    for html in cases:
+        assert clean(clean(html)) == clean(html)
