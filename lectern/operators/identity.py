@@ -33,8 +33,11 @@ def paper_identity(text: Column) -> Column:
 
 
 def identity_groups(rows: DataFrame, key: str, id_column: str = "id") -> DataFrame:
-    """Keys that several rows have, with the ids in order."""
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(id_column)), ",").alias("ids")).where("n > 1")
+    """Rows whose key others have too, a row each: key, id, the group's size and its first id.
+    A group may be as large as it likes; nothing gathers it."""
+    named = rows.where(F.col(key).isNotNull()).select(key, id_column)
+    groups = named.groupBy(key).agg(F.count("*").alias("n"), F.min(id_column).alias("first_id")).where("n > 1")
+    return named.join(groups, key).select(key, id_column, "n", "first_id")
 
 
 def video_identity(url: Column) -> Column:

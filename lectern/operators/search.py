@@ -30,7 +30,9 @@ def fallback_hits(hits: DataFrame, annotations: DataFrame, query: str, field: st
 
 def paged(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
     """Rows of one page in order, with their place, the number of all rows and whether more
-    follow. All rows are only counted; the window runs over the page's own rows."""
+    follow; a page has 1 to 200 rows. All rows are only counted; the window runs over the
+    page's own rows and those before it."""
+    limit, offset = min(200, max(1, limit)), max(0, offset)
     total = rows.agg(F.count("*").alias("total"))
     head = rows.orderBy(*order).limit(offset + limit)
     placed = head.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).where(F.col("place") > offset)
@@ -44,8 +46,11 @@ def search_library(sources: list[tuple[DataFrame, str, list[str]]], content: Dat
     for items, kind, fields in sources:
         found = hits_in(items, kind, fields, query)
         hits = found if hits is None else hits.unionByName(found)
-    listed = hits.join(content, KEYS)
-    page = paged(listed, [F.col("updated_at").desc(), "target_type", "target_id"], limit, offset)
+    # the search runs once; titles and tags meet the page's rows alone
+    listed = settle(hits.join(content.select(*KEYS, "updated_at"), KEYS), "listed")
+    page = settle(paged(listed, [F.col("updated_at").desc(), "target_type", "target_id"], limit, offset).drop("updated_at"), "page")
+    shown = content.select(*KEYS, "title", "category").join(F.broadcast(page.select(*KEYS)), KEYS, "left_semi")
+    page = page.join(F.broadcast(shown), KEYS)
     own_tags = tags.join(F.broadcast(page.select(*KEYS)), KEYS, "left_semi").groupBy(*KEYS).agg(F.array_join(F.array_sort(F.collect_set("tag_name")), ",").alias("tags"))
     marked = favorites.select(*KEYS).distinct().withColumn("favorite", F.lit(True))
     page = page.join(own_tags, KEYS, "left").join(marked, KEYS, "left")

@@ -286,7 +286,7 @@ def duplicate_documents(lib: Library) -> DataFrame:
     return identity.duplicates(lib.library_documents.where("number % 2 = 1"), lib.library_documents.where("number % 2 = 0"))
 
 
-@query("identity_duplicate_groups", "SELECT digest, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT id, sha256(body) AS digest FROM library_documents) GROUP BY digest HAVING count(*) > 1", ("library_documents",))
+@query("identity_duplicate_groups", ", g AS (SELECT id, sha256(body) AS digest FROM library_documents) SELECT * FROM (SELECT digest, id, count(*) OVER w AS n, min(id) OVER w AS first_id FROM g WINDOW w AS (PARTITION BY digest)) WHERE n > 1", ("library_documents",))
 def identity_duplicate_groups(lib: Library) -> DataFrame:
     return identity.identity_groups(lib.library_documents.withColumn("digest", F.sha2("body", 256)), "digest")
 
