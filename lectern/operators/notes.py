@@ -5,20 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import literal_contains
+from lectern.functions.text import literal_contains, summary
+
+
+#: Headings of a note's form, which say nothing, and what marks questions and actions.
+HEADINGS = r"^(核心问题|我的理解|证据与局限|下一步行动)$"
+QUESTION, ACTION = r"[?？]|^(为什么|如何|是否|疑问|问题)", r"(?i)(下一步|待办|TODO|行动|尝试|验证|补充|复现|阅读)"
 
 
 def note_lines(notes: DataFrame) -> DataFrame:
-    """notes(target_id, turn, note_text) -> cleaned lines of three characters and more."""
-    lines = notes.select("target_id", "turn", F.posexplode(F.split("note_text", "\n")).alias("pos", "line"))
-    clean = F.trim(F.regexp_replace("line", r"^[ \t]*([-*•#>]+|[0-9]+[.)])[ \t]*", ""))
-    return lines.withColumn("line", clean).where(F.length("line") >= 3)
+    """notes(target_id, turn, note_text) -> lines of three characters and more, without marks of
+    headings and lists."""
+    lines = notes.select("target_id", "turn", F.posexplode(F.split("note_text", "\r?\n")).alias("pos", "line"))
+    clean = F.col("line")
+    for mark in (r"^#{1,6}\s*", r"^[-*+]\s+", r"^[0-9]+[.)、]\s*"):
+        clean = F.regexp_replace(clean, mark, "")
+    return lines.withColumn("line", F.trim(clean)).where((F.length("line") >= 3) & ~F.col("line").rlike(HEADINGS))
+
+
+def digest_points(notes: DataFrame, keys: int = 10, others: int = 8, per_note: int = 2, size: int = 180) -> DataFrame:
+    """notes(target_id, turn, note_text, updated_at) -> (kind, n, target_id, turn, text): the first
+    lines of notes, questions and actions, each in the order of the notes up to a number."""
+    lines = note_lines(notes).join(notes.select("target_id", "turn", "updated_at"), ["target_id", "turn"])
+    own = Window.partitionBy("target_id", "turn").orderBy("pos")
+    order = ["updated_at", "target_id", "turn", "pos"]
+    found = None
+    for kind, rows, most in (
+        ("key", lines.withColumn("own", F.row_number().over(own)).where(F.col("own") <= per_note), keys),
+        ("question", lines.where(F.col("line").rlike(QUESTION)), others),
+        ("action", lines.where(F.col("line").rlike(ACTION)), others),
+    ):
+        first = rows.orderBy(*order).limit(most)  # a few rows, numbered in one task
+        part = first.select(F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy(*order)).alias("n"), "target_id", "turn", summary(F.col("line"), size).alias("text"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def digest_themes(notes: DataFrame, none: str = "unsorted") -> DataFrame:
+    """notes(target_id, category, note_text) -> (theme, notes, sources), and a row for all of them."""
+    kept = notes.where(F.trim("note_text") != "").withColumn("theme", F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit(none)))
+    themes = kept.groupBy("theme").agg(F.count("*").alias("notes"), F.count_distinct("target_id").alias("sources"))
+    whole = kept.agg(F.lit("(all)").alias("theme"), F.count("*").alias("notes"), F.count_distinct("target_id").alias("sources"))
+    return themes.unionByName(whole)
 
 
 def note_digest(notes: DataFrame) -> DataFrame:
     """Per item: notes, lines, questions and the first line."""
     lines = note_lines(notes)
-    asked = F.col("line").rlike("[?？]$")
+    asked = F.col("line").rlike(QUESTION)
     return lines.groupBy("target_id").agg(F.count_distinct("turn").alias("notes"), F.count("*").alias("lines"), F.count_if(asked).alias("questions"), F.min_by("line", F.struct("turn", "pos")).alias("first_line"))
 
 

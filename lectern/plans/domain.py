@@ -11,7 +11,9 @@ from lectern.sources.library import Library
 
 LINES = r"""
     raw AS (SELECT target_id, turn, unnest(string_split(note_text, chr(10))) AS line, generate_subscripts(string_split(note_text, chr(10)), 1) - 1 AS pos FROM notes),
-    lines AS (SELECT * FROM (SELECT target_id, turn, pos, trim(regexp_replace(line, '^[ \t]*([-*•#>]+|[0-9]+[.)])[ \t]*', '')) AS line FROM raw) WHERE length(line) >= 3)"""
+    lines AS (SELECT * FROM (SELECT target_id, turn, pos, trim(regexp_replace(regexp_replace(regexp_replace(line, '^#{1,6}\s*', ''), '^[-*+]\s+', ''), '^[0-9]+[.)、]\s*', '')) AS line FROM raw)
+              WHERE length(line) >= 3 AND NOT regexp_matches(line, '^(核心问题|我的理解|证据与局限|下一步行动)$'))"""
+QUESTION, ACTION = "[?？]|^(为什么|如何|是否|疑问|问题)", "(?i)(下一步|待办|TODO|行动|尝试|验证|补充|复现|阅读)"
 
 
 @query("note_lines", f", {LINES} SELECT target_id, turn, CAST(pos AS INTEGER) AS pos, line FROM lines", ("notes",))
@@ -21,7 +23,7 @@ def note_lines(lib: Library) -> DataFrame:
 
 @query(
     "note_digest",
-    f""", {LINES} SELECT target_id, count(DISTINCT turn) AS notes, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '[?？]$')) AS questions, arg_min(line, (turn, pos)) AS first_line FROM lines GROUP BY target_id""",
+    f""", {LINES} SELECT target_id, count(DISTINCT turn) AS notes, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '{QUESTION}')) AS questions, arg_min(line, (turn, pos)) AS first_line FROM lines GROUP BY target_id""",
     ("notes",),
 )
 def note_digest(lib: Library) -> DataFrame:
@@ -46,3 +48,26 @@ def note_library_summary(lib: Library) -> DataFrame:
 @query("incremental_digest", "SELECT target_id, count(*) AS notes FROM notes WHERE updated_at > TIMESTAMP '2024-01-01 10:00:00' GROUP BY target_id", ("notes",))
 def incremental_digest(lib: Library) -> DataFrame:
     return notes.incremental(lib.notes, "2024-01-01 10:00:00").groupBy("target_id").agg(F.count("*").alias("notes"))
+
+
+@query(
+    "digest_points",
+    f""", {LINES}, p AS (SELECT l.*, updated_at, row_number() OVER (PARTITION BY target_id, turn ORDER BY pos) AS own FROM lines l JOIN notes USING (target_id, turn)),
+    k AS (SELECT 'key' AS kind, 10 AS most, * FROM p WHERE own <= 2 UNION ALL SELECT 'question', 8, * FROM p WHERE regexp_matches(line, '{QUESTION}') UNION ALL SELECT 'action', 8, * FROM p WHERE regexp_matches(line, '{ACTION}')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY updated_at, target_id, turn, pos) AS n, trim(regexp_replace(line, '[ \\t\\n\\r]+', ' ', 'g')) AS t FROM k)
+    SELECT kind, CAST(n AS INTEGER) AS n, target_id, turn, CASE WHEN length(t) > 180 THEN concat(substr(t, 1, 180), '…') ELSE t END AS text FROM r WHERE n <= most""",
+    ("notes",),
+)
+def digest_points(lib: Library) -> DataFrame:
+    return notes.digest_points(lib.notes)
+
+
+@query(
+    "digest_themes",
+    """, n AS (SELECT target_id, CASE WHEN turn % 3 = 0 THEN 'unsorted' ELSE concat('turn ', CAST(turn % 3 AS VARCHAR(9))) END AS theme FROM notes WHERE trim(note_text) <> '')
+    SELECT theme, count(*) AS notes, count(DISTINCT target_id) AS sources FROM n GROUP BY theme UNION ALL SELECT '(all)', count(*), count(DISTINCT target_id) FROM n""",
+    ("notes",),
+)
+def digest_themes(lib: Library) -> DataFrame:
+    category = F.when(F.col("turn") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("turn "), (F.col("turn") % 3).cast("string")))
+    return notes.digest_themes(lib.notes.withColumn("category", category))
