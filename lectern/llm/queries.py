@@ -89,6 +89,12 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.vector_codes import compressed
+
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -101,10 +107,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bit_sliced": op9_bit_sliced,
     "op10_simhash": op10_simhash,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_vector_codes": op12_vector_codes,
 }
 
+def vector_codes_sql(rounds: int = 6) -> str:
+    """The rounds of the codebooks, one after the other."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+        a{n} AS MATERIALIZED (
+          SELECT p.vec_id, p.part, any_value(p.x) AS x,
+                 min(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 16 + b.entry) AS near
+          FROM p JOIN b{n} b USING (part) GROUP BY p.vec_id, p.part
+        )""")
+        if n < rounds:
+            steps.append(f"""
+        s{n} AS (
+          SELECT part, near % 16 AS entry, i, sum(x[i]) AS total, count(*) AS n
+          FROM a{n}, unnest(range(1, len(x) + 1)) t(i) GROUP BY part, near % 16, i
+        ),
+        m{n} AS (
+          SELECT part, entry, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{n} GROUP BY part, entry
+        ),
+        b{n + 1} AS MATERIALIZED (
+          SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{n} b LEFT JOIN m{n} m ON b.part = m.part AND b.entry = m.entry
+        )""")
+    return f"""
+        WITH v AS (
+          SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        p AS MATERIALIZED (
+          SELECT vec_id, part, c[part * (len(c) // 8) + 1 : (part + 1) * (len(c) // 8)] AS x FROM v, range(8) t(part)
+        ),
+        b0 AS MATERIALIZED (
+          SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY entry < 16
+        ),{",".join(steps)},
+        e AS (
+          SELECT vec_id, string_agg(printf('%02x', CAST(near % 16 AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(near // 16) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+        )
+        SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+        FROM e JOIN v USING (vec_id)
+    """
+
+
 #: Equivalent SQL, where SQL can say it.
 SQL: dict[str, str] = {
+    "op12_vector_codes": vector_codes_sql(),
     "op5_warc": """
         WITH p AS (
           SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
