@@ -95,6 +95,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.alignment import aligned
+
+    return aligned(table(spark, sf_dir, "documents"), vocabulary(), piece_model()).documents
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_vector_codes": op12_vector_codes,
+    "op13_alignment": op13_alignment,
 }
 
 def vector_codes_sql(rounds: int = 6) -> str:
