@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, islice
 
@@ -22,30 +22,79 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.bpe import Codec, texts_of
+from lectern.llm.bpe import LONGEST_GUESS, Codec, texts_of
 from lectern.llm.common import settle
 from lectern.llm.piece_bpe import BLANK, WORD, PieceCodec
 
 #: Stretches that both tokenizers take apart: a blank after another visible character
 #: begins a new one.
 STRETCH = re.compile(r" *+(?:[^ ]++(?:(?<=\s) ++)?+)++| ++")
-#: Stretches kept by a worker, characters whose stretches are learned at once, stretches of
-#: a long text listed at once; postings and documents of a block.
-CACHE, CHUNK_CHARS, LISTED, POSTINGS, DOCUMENTS = 200_000, 2_000_000, 500_000, 4_000_000, 1 << 16
+#: Stretches kept by a worker, characters whose stretches are listed at once, stretches of
+#: a long text listed at once, stretches aligned at once; postings and documents of a block.
+CACHE, CHUNK_CHARS, LISTED, AT_ONCE, POSTINGS, DOCUMENTS = 200_000, 2_000_000, 500_000, 50_000, 4_000_000, 1 << 16
 #: A word of a bitmap: the digit it belongs to, its place, the bits of 16 documents.
 WORDS = np.dtype([("plane", "u1"), ("at", "<u2"), ("bits", "<u2")])
 ROWS = 50_000
 
 
+def flat_bytes(codec: Codec, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, id) of all words by the byte-level tokenizer, in order: longest
+    matches, pairs checked, failing words merged."""
+    raw = [w.encode("utf-8", "replace") for w in words]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    short = np.flatnonzero((size > 0) & (size <= LONGEST_GUESS))
+    word, token = codec.propose([raw[i] for i in short.tolist()]) if len(short) else (short, short)
+    inner = np.flatnonzero(word[1:] == word[:-1])
+    pair, back = np.unique(token[inner] << 32 | token[inner + 1], return_inverse=True)
+    failed = np.zeros(len(short), bool)
+    failed[word[inner[~codec.compatible(pair >> 32, pair & 0xFFFFFFFF)[back]]]] = True
+    good = ~failed[word]
+    numbers, tokens = [short[word[good]]], [token[good]]
+    again = short[failed]
+    if len(again):
+        word, token = codec.merge_all([raw[i] for i in again.tolist()])
+        numbers.append(again[word])
+        tokens.append(token)
+    for i in np.flatnonzero(size > LONGEST_GUESS).tolist():
+        tokens.append(np.array(codec.merged(raw[i]), np.int64))
+        numbers.append(np.full(len(tokens[-1]), i))
+    number, token = np.concatenate(numbers), np.concatenate(tokens)
+    order = np.argsort(number, kind="stable")
+    return number[order], token[order]
+
+
+def cuts_of(number: np.ndarray, n: int) -> np.ndarray:
+    """Where the rows of each of n numbers begin, and the end."""
+    return np.searchsorted(number, np.arange(n + 1))
+
+
+def decimals(token: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids, each with its mark after it, and where each ends."""
+    digits = np.ones(len(token), np.int64)
+    top = 10
+    while (token >= top).any():
+        digits += token >= top
+        top *= 10
+    ends = np.cumsum(digits + 1)
+    out = np.zeros(int(ends[-1]), np.uint8)
+    out[ends - 1] = mark
+    rest, at = token.copy(), ends - 2
+    live = np.arange(len(token))
+    while len(live):
+        out[at[live]] = 48 + rest[live] % 10
+        rest[live] //= 10
+        at[live] -= 1
+        live = live[rest[live] > 0]
+    return out, ends
+
+
 class Aligner:
     """Both tokenizers over stretches of text."""
 
     def __init__(self, bytes_path: str, pieces_path: str):
-        self.a, self.b = Codec(bytes_path), PieceCodec(pieces_path)
-        self.a.added, self.a.added_re = {}, None  # special tokens' strings are plain text
-        self.a_bytes = [self.a.token_bytes.get(i, b"") for i in range(max(self.a.token_bytes) + 1)]
-        self.b_bytes = self.b.token_bytes
-        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        self.a, self.b = Codec(bytes_path), PieceCodec(pieces_path)  # special tokens' strings are plain text
+        a_bytes = [self.a.token_bytes.get(i, b"") for i in range(max(self.a.token_bytes) + 1)]
+        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_bytes, self.b.token_bytes))
         #: Stretch to (its groups as text, its links, tokens of A); None if the bytes differ.
         self.cache: dict[str, tuple[bytes, bytes, int] | None] = {}
 
@@ -57,46 +106,57 @@ class Aligner:
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
             new = list(stretches)
-        in_a = [(self.a.plain_re if self.a.usual_re.fullmatch(s) else self.a.words_re).findall(s) for s in new]
-        in_b = [WORD.findall(s.replace(" ", BLANK)) for s in new]
-        self.a.learn(set(chain.from_iterable(in_a)))
-        self.b.learn(set(chain.from_iterable(in_b)))
-        ids_a = [b"".join(map(self.a.cache.__getitem__, w)) for w in in_a]
-        ids_b = [b"".join(map(self.b.cache.__getitem__, w)) for w in in_b]
-        good, raw_a, raw_b = [], [], []
-        for s, x, y in zip(new, ids_a, ids_b, strict=True):
-            raw = s.encode("utf-8", "replace")
-            if b"".join(map(self.a_bytes.__getitem__, np.frombuffer(x, "<u4").tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, np.frombuffer(y, "<u4").tolist())):
-                good.append(s)
-                raw_a.append(x)
-                raw_b.append(y)
-            else:
-                self.cache[s] = None
-        if good:
-            self._align(good, raw_a, raw_b)
-
-    def _align(self, stretches: list[str], ids_a: list[bytes], ids_b: list[bytes]) -> None:
-        a, b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (ids_a, ids_b))
+        # stretches that end in a blank stand before nothing but the end of a text
+        for some in ([s for s in new if not s[-1].isspace()], *([s] for s in new if s[-1].isspace())):
+            for at in range(0, len(some), AT_ONCE):
+                self._align(some[at : at + AT_ONCE])
+
+    def _tokens(self, stretches: list[str], blank: str, words_of: re.Pattern, flat: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """(stretch, id) in order; distinct words are encoded once."""
+        words = words_of.findall("".join(stretches).replace(" ", blank))
+        numbers: dict[str, int] = {}
+        which = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+        owner = np.searchsorted(np.cumsum(np.fromiter(map(len, stretches), np.int64, len(stretches))), np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+        number, token = flat([*numbers])
+        cuts = cuts_of(number, len(numbers))
+        size = np.diff(cuts)[which]
+        first = np.cumsum(size) - size
+        take = np.arange(size.sum()) - np.repeat(first - cuts[which], size)
+        return np.repeat(owner, size), token[take]
+
+    def _align(self, stretches: list[str]) -> None:
+        if not stretches:
+            return
+        n = len(stretches)
+        in_a, a = self._tokens(stretches, " ", self.a.words_re if not self.a.usual_re.fullmatch("".join(stretches)) else self.a.plain_re, lambda w: flat_bytes(self.a, w))
+        in_b, b = self._tokens(stretches, BLANK, WORD, self.b.flat)
+        # tokens of both spell the text, but that a piece's blank may stand for the mark of one
+        raw = np.fromiter((len(s.encode("utf-8", "replace")) for s in stretches), np.int64, n)
+        same = (np.bincount(in_a, self.a_size[a], n) == raw) & (np.bincount(in_b, self.b_size[b], n) == raw)
+        for i in np.flatnonzero(~same).tolist():
+            self.cache[stretches[i]] = None
+        keep_a, keep_b = same[in_a], same[in_b]
+        in_a, a, in_b, b = in_a[keep_a], a[keep_a], in_b[keep_b], b[keep_b]
+        if not len(a):
+            return
         end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        n_a = np.fromiter((len(x) // 4 for x in ids_a), np.int64, len(ids_a))
-        over = end_a[np.cumsum(n_a) - 1]  # where stretches end
+        over = np.cumsum(np.where(same, raw, 0))  # where stretches end
         groups = np.intersect1d(end_a, end_b, assume_unique=True)
         cells = np.union1d(end_a, end_b)  # each piece between ends is one link
         link = a[np.searchsorted(end_a, cells)] << 32 | b[np.searchsorted(end_b, cells)]
-        link_cuts = np.r_[0, np.searchsorted(cells, over, side="right") * 8].tolist()
+        link_cuts = (np.r_[0, np.searchsorted(cells, over, side="right")] * 8).tolist()
         links = link.tobytes()
         side = np.r_[np.zeros(len(a), np.int64), np.ones(len(b), np.int64)]
         group = np.r_[np.searchsorted(groups, end_a), np.searchsorted(groups, end_b)]
         order = np.argsort(group * 2 + side, kind="stable")
         side, group, token = side[order], group[order], np.r_[a, b][order]
         last = np.r_[(side[1:] != side[:-1]) | (group[1:] != group[:-1]), True]
-        text_cuts = np.r_[0, np.searchsorted(group, np.searchsorted(groups, over), side="right")].tolist()
-        ends = np.where(last, np.where(side == 0, 1, 2), 0).tolist()
-        marks = (",", "|", ";")
-        texts = [f"{t}{marks[m]}" for t, m in zip(token.tolist(), ends, strict=True)]
-        for i, s in enumerate(stretches):
-            text = "".join(texts[text_cuts[i] : text_cuts[i + 1]])[:-1].encode()
-            self.cache[s] = (text, links[link_cuts[i] : link_cuts[i + 1]], int(n_a[i]))
+        text, ends = decimals(token, np.where(last, np.where(side == 0, ord("|"), ord(";")), ord(",")))
+        text, ends = text.tobytes(), np.r_[0, ends]
+        text_cuts = ends[np.r_[0, np.searchsorted(group, np.searchsorted(groups, over), side="right")]].tolist()
+        n_a = np.bincount(in_a, minlength=n).tolist()
+        for i in np.flatnonzero(same).tolist():
+            self.cache[stretches[i]] = (text[text_cuts[i] : text_cuts[i + 1] - 1], links[link_cuts[i] : link_cuts[i + 1]], n_a[i])
 
     def documents(self, texts: list[str]) -> Iterator[tuple[str, int, int, int, np.ndarray]]:
         """(SHA-256 of the groups, tokens of A, of B, groups, links) of each text."""

@@ -364,6 +364,29 @@ class PieceCodec:
             tokens = np.frombuffer(packed[cuts[i] : cuts[i + 1]], "<u4").tolist()
             self.cache[short[i]] = np.array(self._ids(tokens, short[i]), "<u4").tobytes()
 
+    def flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(word number, id) of all words, in order, past the cache."""
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= SHORT]
+        one = [words[i] for i in short]
+        place, token = self.walk(one)
+        number = np.array(short, np.int64)[np.searchsorted(np.cumsum(np.fromiter(map(len, one), np.int64, len(one))), place, side="right")]
+        odd = np.flatnonzero(token == self.unknown)
+        if len(odd):
+            text = "".join(one)
+            raw = [text[i].encode("utf-8", "surrogatepass") for i in place[odd].tolist()]
+            times = np.ones(len(token), np.int64)
+            times[odd] = [len(x) for x in raw]
+            wide = np.repeat(token == self.unknown, times)
+            number, token = np.repeat(number, times), np.repeat(token, times)
+            token[wide] = np.array(self.byte_id)[np.frombuffer(b"".join(raw), np.uint8)]
+        rest = {i: self._ids(self.walk_long(w), w) for i, w in enumerate(words) if len(w) > SHORT}
+        if rest:
+            number = np.concatenate([number, *(np.full(len(x), i) for i, x in rest.items())])
+            token = np.concatenate([token, *map(np.array, rest.values())])
+            order = np.argsort(number, kind="stable")
+            number, token = number[order], token[order]
+        return number, token
+
     def _chunk(self, listed: list[list[str]]) -> Iterator[bytes]:
         kinds = set(chain.from_iterable(listed))
         if kinds.difference(self.cache):
