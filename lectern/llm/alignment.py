@@ -153,7 +153,7 @@ class Aligner:
         last = np.r_[(side[1:] != side[:-1]) | (group[1:] != group[:-1]), True]
         text, ends = decimals(token, np.where(last, np.where(side == 0, ord("|"), ord(";")), ord(",")))
         text, ends = text.tobytes(), np.r_[0, ends]
-        text_cuts = ends[np.r_[0, np.searchsorted(group, np.searchsorted(groups, over), side="right")]].tolist()
+        text_cuts = ends[np.r_[0, np.searchsorted(group, np.searchsorted(groups, over, side="right"))]].tolist()
         n_a = np.bincount(in_a, minlength=n).tolist()
         for i in np.flatnonzero(same).tolist():
             self.cache[stretches[i]] = (text[text_cuts[i] : text_cuts[i + 1] - 1], links[link_cuts[i] : link_cuts[i + 1]], n_a[i])
@@ -328,64 +328,65 @@ def aligned(docs: DataFrame, bytes_path: str, pieces_path: str, doc_id: str = "d
     b_id = F.col("pair").bitwiseAND(0xFFFFFFFF)
     counts = counts.withColumn("best", F.col("links") == F.max("links").over(Window.partitionBy(b_id)))
     counts = settle(counts, "pair-counts")
-    back = held.select("block", "pair", "words").join(counts.select("pair", F.col("links").alias("count"), "best"), "pair")
+    # bitmaps move once, to their block; counts come there by pair and block
+    back = held.select("block", "pair").join(counts.select("pair", F.col("links").alias("count"), "best"), "pair")
     columns = ["place", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-    told = made.where(F.col("pair").isNull()).select("block", *columns)
-    types = {f.name: f.dataType for f in told.schema}
-    both = told.select("*", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("long").alias("count"), F.lit(None).cast("boolean").alias("best"))
-    both = both.unionByName(back.select("block", *(F.lit(None).cast(types[c]).alias(c) for c in columns), "words", "count", "best"))
-    dealt = both.repartition("block").sortWithinPartitions("block", F.col("words").isNotNull(), "place")
+    told = made.where(F.col("pair").isNull()).select("block", F.lit(0).alias("kind"), *columns)
+    both = told.unionByName(back.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    both = both.unionByName(held.select("block", F.lit(2).alias("kind"), "pair", "words"), allowMissingColumns=True)
+    dealt = both.repartition("block").sortWithinPartitions("block", "kind", "place", "pair")
     pairs = counts.select(F.shiftright("pair", 32).alias("a_id"), b_id.alias("b_id"), "documents", "links", "best")
     return Alignment(added_up(dealt), pairs)
 
 
 def added_up(dealt: DataFrame) -> DataFrame:
     """The documents of each block with what its postings bring back. Rows come by block,
-    documents first, in order."""
+    documents first, then counts of pairs, then bitmaps, in order."""
     id_type = dealt.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, told, best, total = None, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        block, told, counts = None, [], []
+        best, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def closed() -> Iterator[pa.RecordBatch]:
             if told:
                 rows = pa.Table.from_batches(told).combine_chunks().to_batches()[0]
-                column = lambda c: rows.column(rows.schema.get_field_index(c))
-                values = [column("doc_id"), column("n_a"), column("n_b"), column("n_groups"), column("n_links"), pa.array(best[: len(rows)]), pa.array(total[: len(rows)]), column("groups_sha256")]
+                values = [rows.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")] + [pa.array(best[: len(rows)]), pa.array(total[: len(rows)]), rows.column("groups_sha256")]
                 yield pa.RecordBatch.from_arrays(values, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
         for b in batches:
-            blocks = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            blocks, kinds = b.column("block").to_numpy(), b.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(blocks)]
             for s, e in zip(cuts, cuts[1:]):
                 if blocks[s] != block:
                     yield from closed()
-                    block, told, best, total = blocks[s], [], np.zeros(DOCUMENTS, np.int64), np.zeros(DOCUMENTS, np.int64)
+                    block, told, counts = blocks[s], [], []
+                    best, total = np.zeros(DOCUMENTS, np.int64), np.zeros(DOCUMENTS, np.int64)
                 part = b.slice(s, e - s)
-                words = part.column(part.schema.get_field_index("words"))
-                n = words.null_count  # documents come first
-                if n:
-                    told.append(part.slice(0, n))
-                if n < len(part):
-                    add_postings(part.slice(n), best, total)
+                if kinds[s] == 0:
+                    told.append(part)
+                elif kinds[s] == 1:
+                    counts.append([part.column("pair").to_numpy(), part.column("count").to_numpy(), part.column("best").to_numpy(zero_copy_only=False).astype(np.int64)])
+                else:
+                    if len(counts) > 1:
+                        counts = [[np.concatenate(x) for x in zip(*counts, strict=True)]]
+                    add_postings(part, *counts[0], best, total)
         yield from closed()
 
     return dealt.mapInArrow(run, out)
 
 
-def add_postings(rows: pa.RecordBatch, best: np.ndarray, total: np.ndarray) -> None:
+def add_postings(rows: pa.RecordBatch, pair: np.ndarray, count: np.ndarray, good: np.ndarray, best: np.ndarray, total: np.ndarray) -> None:
     """Adds each pair's count, and 1 if it is the best, to all documents of its bitmap, as
-    often as they hold it."""
-    column = lambda c: rows.column(rows.schema.get_field_index(c))
-    words = column("words").to_pylist()
+    often as they hold it. pair: all pairs of the block, in order."""
+    words = rows.column("words").to_pylist()
     flat = np.frombuffer(b"".join(words), WORDS)
-    row = np.repeat(np.arange(len(words)), [len(w) // WORDS.itemsize for w in words])
+    row = np.repeat(np.searchsorted(pair, rows.column("pair").to_numpy()), [len(w) // WORDS.itemsize for w in words])
     bits = np.unpackbits(np.ascontiguousarray(flat["bits"]).view(np.uint8), bitorder="little")
     where = np.flatnonzero(bits)
     word = where >> 4
     place = (flat["at"][word].astype(np.int64) << 4) + (where & 15)
     plane = flat["plane"][word].astype(np.int64)
-    np.add.at(total, place, column("count").to_numpy()[row[word]] << plane)
-    good = column("best").to_numpy(zero_copy_only=False).astype(np.int64)
+    np.add.at(total, place, count[row[word]] << plane)
     np.add.at(best, place, good[row[word]] << plane)
