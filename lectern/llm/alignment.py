@@ -106,6 +106,9 @@ class Aligner:
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
             new = list(stretches)
+        # a piece's mark for a blank spells a blank, so a text that holds the mark isn't spelled
+        self.cache.update((s, None) for s in new if BLANK in s)
+        new = [s for s in new if BLANK not in s]
         # stretches that end in a blank stand before nothing but the end of a text
         for some in ([s for s in new if not s[-1].isspace()], *([s] for s in new if s[-1].isspace())):
             for at in range(0, len(some), AT_ONCE):
@@ -130,7 +133,7 @@ class Aligner:
         n = len(stretches)
         in_a, a = self._tokens(stretches, " ", self.a.words_re if not self.a.usual_re.fullmatch("".join(stretches)) else self.a.plain_re, lambda w: flat_bytes(self.a, w))
         in_b, b = self._tokens(stretches, BLANK, WORD, self.b.flat)
-        # tokens of both spell the text, but that a piece's blank may stand for the mark of one
+        # do tokens of both spell the text?
         raw = np.fromiter((len(s.encode("utf-8", "replace")) for s in stretches), np.int64, n)
         same = (np.bincount(in_a, self.a_size[a], n) == raw) & (np.bincount(in_b, self.b_size[b], n) == raw)
         for i in np.flatnonzero(~same).tolist():
