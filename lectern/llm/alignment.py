@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from lectern.llm.piece_bpe import BLANK, WORD, PieceCodec
 STRETCH = re.compile(r" *+(?:[^ ]++(?:(?<=\s) ++)?+)++| ++")
 #: Stretches kept by a worker, characters whose stretches are listed at once, stretches of
 #: a long text listed at once, stretches aligned at once; postings and documents of a block.
-CACHE, CHUNK_CHARS, LISTED, AT_ONCE, POSTINGS, DOCUMENTS = 200_000, 2_000_000, 500_000, 50_000, 4_000_000, 1 << 16
+CACHE, CHUNK_CHARS, LISTED, AT_ONCE, POSTINGS, DOCUMENTS = 200_000, 1_000_000, 500_000, 50_000, 4_000_000, 1 << 16
 #: A word of a bitmap: the digit it belongs to, its place, the bits of 16 documents.
 WORDS = np.dtype([("plane", "u1"), ("at", "<u2"), ("bits", "<u2")])
 ROWS = 50_000
@@ -95,19 +96,25 @@ class Aligner:
         self.a, self.b = Codec(bytes_path), PieceCodec(pieces_path)  # special tokens' strings are plain text
         a_bytes = [self.a.token_bytes.get(i, b"") for i in range(max(self.a.token_bytes) + 1)]
         self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_bytes, self.b.token_bytes))
-        #: Stretch to (its groups as text, its links, tokens of A); None if the bytes differ.
-        self.cache: dict[str, tuple[bytes, bytes, int] | None] = {}
+        #: Stretch to its entry in words of 64 bits: links, tokens of A, length of the text of its
+        #: groups, the links, that text with a mark after it; empty if the bytes differ. When
+        #: it is full it becomes the older one, from which what is met again comes back.
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def learn(self, stretches: set[str]) -> None:
+    def learn(self, stretches: Collection[str]) -> None:
         """Puts unknown stretches into the cache, which then has all of them."""
-        new = [s for s in stretches if s not in self.cache]
-        if not new:
-            return
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(stretches)
+        if len(self.cache) + len(stretches) > CACHE:
+            self.older, self.cache = self.cache, {}
+        new = []
+        for s in stretches:
+            if s not in self.cache:
+                if s in self.older:
+                    self.cache[s] = self.older[s]
+                else:
+                    new.append(s)
         # a piece's mark for a blank spells a blank, so a text that holds the mark isn't spelled
-        self.cache.update((s, None) for s in new if BLANK in s)
+        self.cache.update((s, b"") for s in new if BLANK in s)
         new = [s for s in new if BLANK not in s]
         # stretches that end in a blank stand before nothing but the end of a text
         for some in ([s for s in new if not s[-1].isspace()], *([s] for s in new if s[-1].isspace())):
@@ -117,15 +124,13 @@ class Aligner:
     def _tokens(self, stretches: list[str], blank: str, words_of: re.Pattern, flat: Callable) -> tuple[np.ndarray, np.ndarray]:
         """(stretch, id) in order; distinct words are encoded once."""
         words = words_of.findall("".join(stretches).replace(" ", blank))
-        numbers: dict[str, int] = {}
-        which = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+        numbers: dict[str, int] = defaultdict(count().__next__)
+        which = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
         owner = np.searchsorted(np.cumsum(np.fromiter(map(len, stretches), np.int64, len(stretches))), np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
         number, token = flat([*numbers])
         cuts = cuts_of(number, len(numbers))
         size = np.diff(cuts)[which]
-        first = np.cumsum(size) - size
-        take = np.arange(size.sum()) - np.repeat(first - cuts[which], size)
-        return np.repeat(owner, size), token[take]
+        return np.repeat(owner, size), token[ragged(cuts[which], size)]
 
     def _align(self, stretches: list[str]) -> None:
         if not stretches:
@@ -137,7 +142,7 @@ class Aligner:
         raw = np.fromiter((len(s.encode("utf-8", "replace")) for s in stretches), np.int64, n)
         same = (np.bincount(in_a, self.a_size[a], n) == raw) & (np.bincount(in_b, self.b_size[b], n) == raw)
         for i in np.flatnonzero(~same).tolist():
-            self.cache[stretches[i]] = None
+            self.cache[stretches[i]] = b""
         keep_a, keep_b = same[in_a], same[in_b]
         in_a, a, in_b, b = in_a[keep_a], a[keep_a], in_b[keep_b], b[keep_b]
         if not len(a):
@@ -147,7 +152,7 @@ class Aligner:
         groups = np.intersect1d(end_a, end_b, assume_unique=True)
         cells = np.union1d(end_a, end_b)  # each piece between ends is one link
         link = a[np.searchsorted(end_a, cells)] << 32 | b[np.searchsorted(end_b, cells)]
-        link_cuts = (np.r_[0, np.searchsorted(cells, over, side="right")] * 8).tolist()
+        link_cuts = np.r_[0, np.searchsorted(cells, over, side="right")]
         links = link.tobytes()
         side = np.r_[np.zeros(len(a), np.int64), np.ones(len(b), np.int64)]
         group = np.r_[np.searchsorted(groups, end_a), np.searchsorted(groups, end_b)]
@@ -156,17 +161,20 @@ class Aligner:
         last = np.r_[(side[1:] != side[:-1]) | (group[1:] != group[:-1]), True]
         text, ends = decimals(token, np.where(last, np.where(side == 0, ord("|"), ord(";")), ord(",")))
         text, ends = text.tobytes(), np.r_[0, ends]
-        text_cuts = ends[np.r_[0, np.searchsorted(group, np.searchsorted(groups, over, side="right"))]].tolist()
-        n_a = np.bincount(in_a, minlength=n).tolist()
+        text_cuts = ends[np.r_[0, np.searchsorted(group, np.searchsorted(groups, over, side="right"))]]
+        head = np.stack([np.diff(link_cuts), np.bincount(in_a, minlength=n), np.diff(text_cuts)], axis=1).tobytes()
+        pad = [bytes(k) for k in (0, 7, 6, 5, 4, 3, 2, 1)]
+        link_at, text_at = (link_cuts * 8).tolist(), text_cuts.tolist()
         for i in np.flatnonzero(same).tolist():
-            self.cache[stretches[i]] = (text[text_cuts[i] : text_cuts[i + 1] - 1], links[link_cuts[i] : link_cuts[i + 1]], n_a[i])
+            own = text[text_at[i] : text_at[i + 1]]
+            self.cache[stretches[i]] = b"".join((head[24 * i : 24 * i + 24], links[link_at[i] : link_at[i + 1]], own, pad[len(own) & 7]))
 
     def documents(self, texts: list[str]) -> Iterator[tuple[str, int, int, int, np.ndarray]]:
         """(SHA-256 of the groups, tokens of A, of B, groups, links) of each text."""
         held: list[list[str]] = []
         size = 0
         for t in texts:
-            if len(t) > 4 * CHUNK_CHARS:
+            if len(t) > 8 * CHUNK_CHARS:
                 yield from self._listed(held)
                 held, size = [], 0
                 yield self._long(t)
@@ -179,34 +187,51 @@ class Aligner:
         yield from self._listed(held)
 
     def _listed(self, listed: list[list[str]]) -> Iterator[tuple[str, int, int, int, np.ndarray]]:
-        kinds = set(chain.from_iterable(listed))
-        self.learn(kinds)
-        get = self.cache.__getitem__
-        for stretches in listed:
-            found = [get(s) for s in stretches]
-            if not found or None in found:
-                yield "", 0, 0, 0, np.zeros(0, np.int64)
-                continue
-            text = b";".join([x[0] for x in found])
-            links = np.frombuffer(b"".join([x[1] for x in found]), np.int64)
-            n_a, groups = sum([x[2] for x in found]), text.count(b";") + 1
-            yield hashlib.sha256(text).hexdigest(), n_a, len(links) + groups - n_a, groups, links
+        sizes = np.fromiter(map(len, listed), np.int64, len(listed))
+        numbers: dict[str, int] = defaultdict(count().__next__)
+        which = np.fromiter(map(numbers.__getitem__, chain.from_iterable(listed)), np.int64, int(sizes.sum()))
+        self.learn(numbers.keys())
+        raw = [*map(self.cache.__getitem__, numbers)]
+        words = np.frombuffer(b"".join(raw), np.int64)
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) >> 3
+        first = np.cumsum(size) - size
+        spelled = size > 0
+        n_links, n_a, n_text = (np.where(spelled, words[np.minimum(first + i, max(0, len(words) - 1))], 0) if len(words) else np.zeros(len(raw), np.int64) for i in range(3))
+        # links and texts of all stretches, in the order of the documents
+        link = words[ragged(first[which] + 3, n_links[which])]
+        text = words.view(np.uint8)[ragged((first[which] + 3 + n_links[which]) * 8, n_text[which])]
+        cuts = np.r_[0, np.cumsum(sizes)]
+        bad, a_sum, link_cut, text_cut = (np.r_[0, np.cumsum(x[which])][cuts] for x in (~spelled, n_a, n_links, n_text))
+        marks = np.r_[0, np.cumsum(text == ord(";"))][text_cut]
+        text, empty = text.tobytes(), ("", 0, 0, 0, np.zeros(0, np.int64))
+        for s, e, wrong, s_link, e_link, s_text, e_text, in_a, groups in zip(*(x[:-1].tolist() if d < 0 else x[1:].tolist() if d > 0 else np.diff(x).tolist() for x, d in ((cuts, -1), (cuts, 1), (bad, 0), (link_cut, -1), (link_cut, 1), (text_cut, -1), (text_cut, 1), (a_sum, 0), (marks, 0))), strict=True):
+            if s == e or wrong:
+                yield empty
+            else:
+                yield hashlib.sha256(memoryview(text)[s_text : e_text - 1]).hexdigest(), in_a, e_link - s_link + groups - in_a, groups, link[s_link:e_link]
 
     def _long(self, text: str) -> tuple[str, int, int, int, np.ndarray]:
         sha, n_a, groups, links, more = hashlib.sha256(), 0, 0, [], STRETCH.finditer(" " + text)
         while stretches := [m.group() for m in islice(more, LISTED)]:
             self.learn(set(stretches))
             found = [self.cache[s] for s in stretches]
-            if None in found:
+            if b"" in found:
                 return "", 0, 0, 0, np.zeros(0, np.int64)
-            part = b";".join([x[0] for x in found])
-            sha.update(b";" + part if groups else part)
-            n_a, groups = n_a + sum([x[2] for x in found]), groups + part.count(b";") + 1
-            links.append(np.frombuffer(b"".join([x[1] for x in found]), np.int64))
+            heads = np.frombuffer(b"".join([x[:24] for x in found]), np.int64).reshape(-1, 3)
+            part = b"".join([x[24 + 8 * n : 24 + 8 * n + t] for x, (n, _, t) in zip(found, heads.tolist(), strict=True)])
+            sha.update(b";" + part[:-1] if groups else part[:-1])
+            n_a, groups = n_a + int(heads[:, 1].sum()), groups + part.count(b";")
+            links.append(np.frombuffer(b"".join([x[24 : 24 + 8 * n] for x, n in zip(found, heads[:, 0].tolist(), strict=True)]), np.int64))
         link = np.concatenate(links)
         return sha.hexdigest(), n_a, len(link) + groups - n_a, groups, link
 
 
+def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at first and have size items each."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
 def bitmaps(pair: np.ndarray, document: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of postings (pair, document in the block, times), each pair and document once: the
     pairs, the bitmap words of all of them, where each pair's words end, and its counts of
@@ -277,9 +302,9 @@ def postings(docs: DataFrame, bytes_path: str, pieces_path: str, doc_id: str, te
             at = 0
             for n, (sha, n_a, n_b, groups, links) in enumerate(own.documents(texts_of(b.column(1)))):
                 if len(links):
-                    pair, count = np.unique(links, return_counts=True)
+                    pair, often = np.unique(links, return_counts=True)
                     pairs.append(pair)
-                    times.append(count)
+                    times.append(often)
                     places.append(len(told))
                     size += len(pair)
                 told.append((sha, n_a, n_b, groups, len(links)))

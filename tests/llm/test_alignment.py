@@ -78,17 +78,17 @@ def test_long_texts_and_a_full_cache(monkeypatch):
     monkeypatch.setattr(alignment, "CACHE", 20)
     monkeypatch.setattr(alignment, "CHUNK_CHARS", 10)
     monkeypatch.setattr(alignment, "LISTED", 3)
-    own.cache.clear()
+    own.cache.clear(), own.older.clear()
     assert first == [(*x[:4], x[4].tolist()) for x in own.documents([t for _, t in rows])]
 
 
 def test_a_stretch_that_cannot_be_spelled_changes_no_other():
     own = alignment.Aligner(vocabulary(), piece_model())
-    want = {s: (own.cache.clear(), own.learn({s}), own.cache[s])[2] for s in (" one", " two,three", " four\x1c", "  five")}
+    want = {s: (own.cache.clear(), own.older.clear(), own.learn({s}), own.cache[s])[3] for s in (" one", " two,three", " four\x1c", "  five")}
     for first in (" x▁y", " ▁", " a▁", " b\n"):
-        own.cache.clear()
+        own.cache.clear(), own.older.clear()
         own.learn({first, *want})
-        assert {s: own.cache[s] for s in want} == want and (own.cache[first] is None) == ("▁" in first)
+        assert {s: own.cache[s] for s in want} == want and (own.cache[first] == b"") == ("▁" in first)
 
 
 def test_bitmaps_count_documents_and_links():
