@@ -129,7 +129,7 @@ class Slices:
             else:
                 q, r = self.candidates(part, np.packbits(own, axis=1, bitorder="little").view(np.uint64), k)
                 score = np.einsum("ij,ij->i", part[q], self.codes[r])
-            order = np.lexsort((ids[r], -score.astype(np.float64) if wide else -score, q))
+            order = np.lexsort((ids[r], ~score, q))  # the complement sorts downward and never overflows
             q, r, score = q[order], r[order], score[order]
             rank = np.arange(len(q)) - np.searchsorted(q, q)
             out.append((q[rank < k] + s, r[rank < k], score[rank < k]))

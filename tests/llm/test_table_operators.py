@@ -115,6 +115,13 @@ def test_top_products_of_large_numbers(spark):
     assert [r.vec_id for r in bit_sliced.top_products(huge).orderBy("rank").collect()] == [1, 2]
 
 
+def test_near_scores_of_large_numbers_are_told_apart():
+    codes = np.array([(2**31, i) for i in range(6)], np.int64)
+    made = bit_sliced.Slices(codes)
+    q, r, score = made.best(np.array([(2**31, 1)], np.int64), np.array([100]), np.arange(6), 2)
+    assert r.tolist() == [5, 4] and score.tolist() == [2**62 + 5, 2**62 + 4] and q.tolist() == [0, 0]
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
 def test_pipeline_stages(spark):
     import corpus_pipeline
