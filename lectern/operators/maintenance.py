@@ -86,16 +86,17 @@ def asset_reference_check(references: DataFrame, manifest: DataFrame) -> DataFra
 
 
 class Snapshots:
-    """Versions of a table in a folder. A version is published by writing its numbered pointer
-    after its data and checks; a failed batch leaves the last version as it was. Two that
-    publish at once take one number, and the later pointer fails: pointers are made, never
-    overwritten."""
+    """Versions of a table in a folder. A version is published by its numbered pointer, after its
+    data and checks; a failed batch leaves the last version as it was. A pointer is written
+    under another name and then renamed, which the file system refuses if the number is
+    taken: of two that publish at once one fails."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def publish(self, rows: DataFrame, checks: dict[str, Column] | None = None) -> str:
-        """Write rows; every check must hold on all of them. Returns the version."""
+    def publish(self, rows: DataFrame, checks: dict[str, Column] | None = None, note: str | None = None) -> str:
+        """Write rows; every check must hold on all of them. Returns the version. The note
+        becomes known together with the rows."""
         version = uuid.uuid4().hex
         staged = f"{self.path}/data/{version}"
         rows.write.parquet(staged)
@@ -104,11 +105,23 @@ class Snapshots:
             failed = made.agg(*(F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items())).first().asDict()
             if any(failed.values()):
                 raise ValueError(f"rows that fail: { {k: v for k, v in failed.items() if v} }")
-        number = self.number() + 1
-        pointer = self.spark.createDataFrame([(json.dumps({"version": version, "number": number}),)], "value string")
-        pointer.coalesce(1).write.mode("errorifexists").text(f"{self.path}/pointers/{number}")
+        self._point(json.dumps({"version": version, "number": self.number() + 1, "note": note}))
         return version
 
+    def _point(self, text: str) -> None:
+        files = self.spark._jvm.org.apache.hadoop.fs
+        place = files.Path(f"{self.path}/pointers/{json.loads(text)['number']}")
+        draft = files.Path(f"{self.path}/drafts/{uuid.uuid4().hex}")
+        own = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        own.mkdirs(place.getParent())
+        out = own.create(draft, False)
+        out.write(text.encode())
+        out.close()
+        context = files.FileContext.getFileContext(own.getUri(), self.spark._jsc.hadoopConfiguration())
+        renames = self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+        renames[0] = getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename").NONE
+        context.rename(draft, place, renames)
+
     def number(self) -> int:
         """The number of the last version; 0 before the first."""
         try:
@@ -120,7 +133,12 @@ class Snapshots:
 
     def versions(self) -> DataFrame:
         listed = self.spark.read.text(f"{self.path}/pointers/*")
-        return listed.select(F.get_json_object("value", "$.version").alias("version"), F.get_json_object("value", "$.number").cast("long").alias("number"))
+        parts = (F.get_json_object("value", f"$.{c}").alias(c) for c in ("version", "number", "note"))
+        return listed.select(*parts).withColumn("number", F.col("number").cast("long"))
+
+    def note(self) -> str | None:
+        """The note of the last version."""
+        return self.versions().agg(F.max_by("note", "number")).first()[0] if self.number() else None
 
     def read(self) -> DataFrame:
         latest = self.versions().agg(F.max_by("version", "number")).first()[0]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import literal_contains, summary
+from lectern.operators.maintenance import Snapshots
 
 
 #: Headings of a note's form, which say nothing, and what marks questions and actions.
@@ -74,3 +75,39 @@ def key_points(notes: DataFrame, k: int = 2) -> DataFrame:
 def incremental(notes: DataFrame, mark: str) -> DataFrame:
     """Notes changed after the mark of the last run."""
     return notes.where(F.col("updated_at") > F.expr(f"timestamp_ntz'{mark}'"))
+
+
+class Digests:
+    """Digests of the notes that changed since the last run, and the mark up to which notes have
+    been taken in. Digest and mark become known with one pointer: a run that fails moves
+    neither, and the next takes its notes."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.runs = spark, Snapshots(spark, path)
+
+    def mark(self) -> str | None:
+        return self.runs.note()
+
+    def run(self, notes: DataFrame, until: str) -> DataFrame | None:
+        """notes(target_id, turn, note_text, updated_at) changed after the mark and not after
+        `until`, blank ones left out -> digest: per item notes, lines, questions, first line,
+        period. None if there are none; the mark moves all the same. Nothing to be done if
+        the mark is there already."""
+        since = self.mark()
+        end = F.lit(until).cast("timestamp_ntz")
+        fresh = notes.where((F.trim("note_text") != "") & (F.col("updated_at") <= end))
+        if since is not None:
+            if since >= until:
+                return None
+            fresh = fresh.where(F.col("updated_at") > F.lit(since).cast("timestamp_ntz"))
+        changed = fresh.groupBy("target_id").agg(F.count("*").alias("notes"))
+        lines = note_digest(fresh).drop("notes")
+        digest = changed.join(lines, "target_id", "left").select("target_id", "notes", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("questions", F.lit(0)).alias("questions"), "first_line", F.lit(since).cast("string").alias("period_start"), F.lit(until).alias("period_end"))
+        version = self.runs.publish(digest, note=until)
+        made = self.spark.read.schema(digest.schema).parquet(f"{self.runs.path}/data/{version}")
+        return made if made.head(1) else None
+
+    def digests(self) -> DataFrame:
+        """All digests of all runs."""
+        names = [r.version for r in self.runs.versions().select("version").collect()]
+        return self.spark.read.parquet(*(f"{self.runs.path}/data/{n}" for n in names))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.maintenance import Snapshots
+from lectern.sources.shared import settle
+
 #: Structures counted in html: name and pattern.
 STRUCTURES = {
     "images": "<img[^a-zA-Z]",
@@ -76,3 +79,36 @@ def embedded_images(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", found.alias("u"))
     data = F.unbase64(F.substring_index("u", "base64,", -1))
     return rows.select("page_id", F.regexp_extract("u", "data:image/([a-z]+)", 1).alias("kind"), F.sha2(data, 256).alias("sha256"), F.octet_length(data).alias("bytes"))
+
+
+#: The version of the metrics of structure_counts() and translation_fidelity().
+METRICS = 3
+
+
+def revalidate_structures(store: Snapshots, papers: DataFrame, ids: DataFrame, version: int = METRICS) -> DataFrame:
+    """papers(id, source_html, translation_html, status, validation) -> (id, previous, fidelity)
+    of what was checked; the store gets its new metrics beside those that stay.
+
+    Checked are the papers of ids, each once, that are ready, validated by the machine, with
+    both texts, and whose metrics in the store are missing or of an older version. Texts
+    of other papers are not read, and none at all if nothing is due, when the store stays
+    as it is."""
+    spark = papers.sparkSession
+    kind = "id string, metric_version int, missing string, fidelity string"
+    before = store.read() if store.number() else spark.createDataFrame([], kind)
+    current = before.where(F.col("metric_version") >= version).select("id")
+    ready = papers.where("status = 'ready' AND validation = 'auto'").select("id")
+    due = settle(ids.select(F.trim("id").alias("id")).where("id <> ''").distinct().join(ready, "id", "left_semi").join(current, "id", "left_anti"), "due")
+    previous = due.join(before.select("id", F.col("fidelity").alias("previous")), "id", "left").select("id", F.coalesce("previous", F.lit("unknown")).alias("previous"))
+    if not due.head(1):
+        return previous.withColumn("fidelity", F.lit("")).where("false")
+    texts = papers.join(due, "id", "left_semi").where("trim(source_html) <> '' AND trim(translation_html) <> ''")
+    checked = translation_fidelity(texts, "source_html", "translation_html").select("id", F.lit(version).alias("metric_version"), "missing", F.col("status").alias("fidelity"))
+    checked = settle(checked, "checked")
+    store.publish(before.join(checked.select("id"), "id", "left_anti").unionByName(checked))
+    return previous.join(checked.select("id", "fidelity"), "id")
+
+
+def revalidation_summary(checked: DataFrame) -> DataFrame:
+    """One row: checked, complete, degraded."""
+    return checked.agg(F.count("*").alias("checked"), F.count_if(F.col("fidelity") == "complete").alias("complete"), F.count_if(F.col("fidelity") == "degraded").alias("degraded"))

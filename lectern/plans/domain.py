@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import notes
 from lectern.plans.registry import query
 from lectern.sources.library import Library
+from lectern.sources.shared import shared_path
 
 LINES = r"""
     raw AS (SELECT target_id, turn, unnest(string_split(note_text, chr(10))) AS line, generate_subscripts(string_split(note_text, chr(10)), 1) - 1 AS pos FROM notes),
@@ -45,9 +46,24 @@ def note_library_summary(lib: Library) -> DataFrame:
     return notes.note_library_summary(lib.notes)
 
 
-@query("incremental_digest", "SELECT target_id, count(*) AS notes FROM notes WHERE updated_at > TIMESTAMP '2024-01-01 10:00:00' GROUP BY target_id", ("notes",))
+ENDS = ("2024-01-01 06:00:00", "2024-01-02 00:00:00", "2024-01-15 00:00:00")
+
+
+@query(
+    "incremental_digest",
+    f""", {LINES}, runs AS (SELECT *, lag(period_end) OVER (ORDER BY period_end) AS period_start FROM (VALUES {", ".join(f"('{e}')" for e in ENDS)}) t(period_end)),
+    n AS (SELECT n.target_id, n.turn, r.period_start, r.period_end FROM notes n JOIN runs r ON trim(note_text) <> '' AND n.updated_at <= CAST(r.period_end AS TIMESTAMP) AND (r.period_start IS NULL OR n.updated_at > CAST(r.period_start AS TIMESTAMP))),
+    l AS (SELECT period_end, target_id, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '{QUESTION}')) AS questions, arg_min(line, (turn, pos)) AS first_line FROM lines JOIN n USING (target_id, turn) GROUP BY ALL)
+    SELECT target_id, notes, coalesce(lines, 0) AS lines, coalesce(questions, 0) AS questions, first_line, period_start, period_end
+    FROM (SELECT target_id, period_start, period_end, count(*) AS notes FROM n GROUP BY ALL) LEFT JOIN l USING (period_end, target_id)""",
+    ("notes",),
+)
 def incremental_digest(lib: Library) -> DataFrame:
-    return notes.incremental(lib.notes, "2024-01-01 10:00:00").groupBy("target_id").agg(F.count("*").alias("notes"))
+    """Three runs and one again."""
+    runs = notes.Digests(lib.spark, shared_path(lib.spark, "digests"))
+    for end in (*ENDS, ENDS[-1]):
+        runs.run(lib.notes, end)
+    return runs.digests()
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import hierarchy, identity, layout, library, links, retrieval, sanitize, search, structure
+from lectern.operators import hierarchy, identity, layout, library, links, pages, retrieval, sanitize, search, structure
 from lectern.plans.registry import query
 from lectern.plans.search import CITED, FOLD, HITS, WORD, WORDS, sources
 from lectern.plans.texts import SPACED
@@ -20,21 +20,16 @@ def variants(df: DataFrame, *forms: str) -> DataFrame:
     return df.withColumn("form", F.explode(F.array(*map(F.lit, forms))))
 
 
-FORMS = ("/a/b?x=1", "c", "../up", "https://Other.Example/i.png", "//cdn.example/i.png#f", "mailto:x@y.example", "javascript:alert(1)", "")
-
-
 @query(
     "resolve_links",
-    f""", u AS (SELECT number AS page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*/)', 1) AS dir FROM library_articles),
-    f AS (SELECT *, unnest([{", ".join(f"'{x}'" for x in FORMS)}]) AS form FROM u), r AS (
-      SELECT page_id, form, CASE form WHEN '/a/b?x=1' THEN concat(scheme, '://', host, form) WHEN 'c' THEN concat(scheme, '://', host, dir, 'c') WHEN '../up' THEN concat(scheme, '://', host, regexp_replace(dir, '[^/]+/$', ''), 'up')
-        WHEN 'https://Other.Example/i.png' THEN 'https://other.example/i.png' WHEN '//cdn.example/i.png#f' THEN concat(scheme, ':', form) END AS link FROM f)
-    SELECT page_id, form, link, regexp_replace(link, '^http://', 'https://') AS image FROM r""",
-    ("library_articles",),
+    r"""WITH h AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS href FROM pages),
+    r AS (SELECT page_id, href, CASE WHEN href LIKE '/%' AND href NOT LIKE '//%' THEN concat(regexp_extract(url, '^(https?)://', 1), '://', lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), href) END AS link FROM h)
+    SELECT page_id, href, link, regexp_replace(link, '^http://', 'https://') AS image FROM r""",
 )
 def resolve_links(lib: Library) -> DataFrame:
-    rows = variants(lib.library_articles.select(F.col("number").alias("page_id"), "url"), *FORMS)
-    return rows.select("page_id", "form", links.resolve_links(F.col("url"), F.col("form")).alias("link"), links.resolve_links(F.col("url"), F.col("form"), True).alias("image"))
+    """The links that the pages hold."""
+    rows = pages.links(lib.pages).join(lib.pages.select("page_id", "url"), "page_id")
+    return rows.select("page_id", "href", links.resolve_links(F.col("url"), F.col("href")).alias("link"), links.resolve_links(F.col("url"), F.col("href"), True).alias("image"))
 
 
 @query(
@@ -51,12 +46,12 @@ def normalize_images(lib: Library) -> DataFrame:
 
 @query(
     "embedded_json",
-    """, p AS (SELECT number AS page_id, title, url FROM library_articles) SELECT page_id, url, CAST(page_id AS BIGINT) AS k, title AS inner FROM p WHERE title NOT LIKE '%"%' AND title NOT LIKE '%\\%'""",
+    """, p AS (SELECT number AS page_id, title, url FROM library_articles) SELECT page_id, url, CAST(page_id AS BIGINT) AS k, concat('"}', title, chr(92), '"{') AS inner FROM p""",
     ("library_articles",),
 )
 def embedded_json(lib: Library) -> DataFrame:
     """Each page's own data inside a script, with braces in its strings."""
-    page = lib.library_articles.where("NOT contains(title, '\"') AND NOT contains(title, '\\\\')")
+    page = lib.library_articles.withColumn("title", F.concat(F.lit('"}'), "title", F.lit('\\"{')))
     made = F.concat(F.lit('<script>var other = {"x": 1}; var player = '), F.to_json(F.struct(F.concat(F.lit("}{ "), "url").alias("u"), F.struct(F.col("number").alias("k"), F.col("title").alias("t")).alias("o"))), F.lit('; call({"y": 2});</script>'), "body")
     found = page.select(F.col("number").alias("page_id"), links.embedded_json(made, "var player = ").alias("json"))
     return found.select("page_id", F.expr("substr(get_json_object(json, '$.u'), 4)").alias("url"), F.get_json_object("json", "$.o.k").cast("long").alias("k"), F.get_json_object("json", "$.o.t").alias("inner"))
@@ -83,14 +78,14 @@ def docs_source_identity(lib: Library) -> DataFrame:
 
 @query(
     "match_chapter_heading",
-    """, v AS (SELECT id, title, unnest([concat(title, ' （2/9）'), concat(upper(title), '.'), concat(' ', title, ' (1 / 3) '), replace(title, ' ', '　'), '']) AS line FROM library_documents)
+    """, v AS (SELECT id, title, unnest([concat(title, ' （2/9）'), concat(translate(title, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '.'), concat(' ', title, ' (1 / 3) '), replace(title, ' ', '　'), '']) AS line FROM library_documents)
     SELECT id, line, regexp_replace(regexp_replace(translate(line, '（）／　', '()/ '), '\\s*\\([0-9]+\\s*/\\s*[0-9]+\\)\\s*$', ''), '\\s+', '', 'g') = regexp_replace(title, '\\s+', '', 'g') AND title <> '' AS matches
-    FROM v WHERE NOT regexp_matches(title, '\\([0-9]+ */ *[0-9]+\\)\\s*$') AND regexp_matches(title, '^[ -~]+$')""",
+    FROM v WHERE NOT regexp_matches(title, '\\([0-9]+ */ *[0-9]+\\)\\s*$')""",
     ("library_documents",),
 )
 def match_chapter_heading(lib: Library) -> DataFrame:
-    titles = lib.library_documents.where(r"NOT regexp_like(title, '\\([0-9]+ */ *[0-9]+\\)\\s*$') AND regexp_like(title, '^[ -~]+$')").select("id", "title")
-    line = F.explode(F.array(F.concat("title", F.lit(" （2/9）")), F.concat(F.upper("title"), F.lit(".")), F.concat(F.lit(" "), "title", F.lit(" (1 / 3) ")), F.replace("title", F.lit(" "), F.lit("　")), F.lit("")))
+    titles = lib.library_documents.where(r"NOT regexp_like(title, '\\([0-9]+ */ *[0-9]+\\)\\s*$')").select("id", "title")
+    line = F.explode(F.array(F.concat("title", F.lit(" （2/9）")), F.concat(F.translate("title", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(".")), F.concat(F.lit(" "), "title", F.lit(" (1 / 3) ")), F.replace("title", F.lit(" "), F.lit("　")), F.lit("")))
     return titles.select("id", "title", line.alias("line")).select("id", "line", links.match_chapter_heading(F.col("line"), F.col("title")).alias("matches"))
 
 
@@ -322,14 +317,20 @@ def article_videos(lib: Library) -> DataFrame:
 
 @query(
     "drop_empty_lists",
-    """SELECT number AS page_id, unnest(CASE WHEN trim(title) = '' THEN [1, 4] ELSE [1, 3, 4, 5] END) AS pos FROM library_articles""",
-    ("library_articles",),
+    r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1)) AS list, generate_subscripts(regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1), 1) AS n FROM pages),
+    i AS (SELECT page_id, n, unnest(regexp_extract_all(list, '(?s)<li>(.*?)</li>', 1)) AS item, generate_subscripts(regexp_extract_all(list, '(?s)<li>(.*?)</li>', 1), 1) AS k FROM l),
+    t AS (SELECT page_id, n, k FROM i WHERE k % 3 <> 0 AND trim(regexp_replace(item, '<[^>]*>', '', 'g')) <> '')
+    SELECT page_id, CAST(1000 * n + k AS INTEGER) AS pos FROM t UNION ALL SELECT DISTINCT page_id, CAST(1000 * n AS INTEGER) FROM t""",
 )
 def drop_empty_lists(lib: Library) -> DataFrame:
-    block = lambda pos, kind, holder, text: F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("kind"), F.lit(holder).cast("int").alias("holder"), text.cast("string").alias("text"))
-    made = F.array(block(1, "p", None, F.lit("x")), block(2, "li", 3, F.lit(" ")), block(3, "ul", None, F.lit(None)), block(4, "p", None, F.lit(None)), block(5, "li", 3, F.col("title")), block(6, "ol", None, F.lit(None)), block(7, "li", 6, F.lit("")))
-    blocks = lib.library_articles.select(F.col("number").alias("page_id"), F.explode(made).alias("b")).select("page_id", "b.*")
-    return links.drop_empty_lists(blocks).select("page_id", "pos")
+    """The lists of the pages, of which every third item has lost its text."""
+    lists = lib.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<ul>(.*?)</ul>"), F.lit(1))).alias("n", "list"))
+    items = lists.select("page_id", "n", F.posexplode(F.regexp_extract_all("list", F.lit("(?s)<li>(.*?)</li>"), F.lit(1))).alias("k", "item"))
+    holder = (1000 * (F.col("n") + 1)).cast("int")
+    text = F.when((F.col("k") + 1) % 3 != 0, F.regexp_replace("item", "<[^>]*>", "")).otherwise(" ")
+    own = items.select("page_id", (holder + F.col("k") + 1).cast("int").alias("pos"), F.lit("li").alias("kind"), holder.alias("holder"), text.alias("text"))
+    heads = lists.select("page_id", holder.alias("pos"), F.lit("ul").alias("kind"), F.lit(None).cast("int").alias("holder"), F.lit(None).cast("string").alias("text"))
+    return links.drop_empty_lists(own.unionByName(heads)).select("page_id", "pos")
 
 
 @query("drop_decorative_images", """SELECT number AS page_id, unnest([1, 2, 5, 6]) AS pos FROM library_articles""", ("library_articles",))

@@ -31,20 +31,46 @@ HITS = f"""
     )"""
 
 
+ANNOTATED = f"""
+    annotations AS (SELECT 'article' AS target_type, conversation_id AS target_id, turn, substr(text, 1, 60) AS quote_text, text AS note_text,
+                           TIMESTAMP '2024-01-01' + to_minutes(CAST(turn AS INTEGER)) AS updated_at FROM messages WHERE role <> 'user'),
+    found AS (
+      SELECT target_type, target_id, 0 AS source, field FROM hits
+      UNION ALL
+      SELECT 'document', target_id, 1, 'note_text' FROM notes WHERE contains({FOLD.format("note_text")}, '{WORDS}')
+      UNION ALL
+      SELECT target_type, target_id, 2, CASE WHEN contains({FOLD.format("quote_text")}, '{WORDS}') THEN 'quote_text' ELSE 'note_text' END
+      FROM annotations WHERE contains({FOLD.format("note_text")}, '{WORDS}')
+    ),
+    one AS (SELECT target_type, target_id, min(source) AS source FROM found GROUP BY ALL),
+    newest AS (SELECT target_type, target_id, 2 AS source, arg_max(CASE WHEN contains({FOLD.format("quote_text")}, '{WORDS}') THEN 'quote_text' ELSE 'note_text' END, (updated_at, CASE WHEN contains({FOLD.format("quote_text")}, '{WORDS}') THEN quote_text ELSE note_text END)) AS field
+               FROM annotations WHERE contains({FOLD.format("note_text")}, '{WORDS}') GROUP BY target_type, target_id),
+    told AS (SELECT o.target_type, o.target_id, CASE o.source WHEN 0 THEN h.field WHEN 1 THEN 'note_text' ELSE n.field END AS field
+             FROM one o LEFT JOIN hits h USING (target_type, target_id) LEFT JOIN newest n USING (target_type, target_id))"""
+
+
+def annotations(lib: Library) -> DataFrame:
+    """What was answered, as remarks on articles."""
+    said = lib.messages.where("role <> 'user'")
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(turn AS INT), 0)")
+    return said.select(F.lit("article").alias("target_type"), F.col("conversation_id").alias("target_id"), F.substring("text", 1, 60).alias("quote_text"), F.col("text").alias("note_text"), at.alias("updated_at"))
+
+
 @query(
     "search_library",
-    f""", {HITS}, placed AS (
+    f""", {HITS}, {ANNOTATED}, placed AS (
       SELECT row_number() OVER (ORDER BY updated_at DESC, target_type, target_id) AS place, target_type, target_id, title, category, field, count(*) OVER () AS total
-      FROM hits JOIN content USING (target_type, target_id)
+      FROM told JOIN content USING (target_type, target_id)
     )
     SELECT place, target_type, target_id, title, category, field, total, total > 70 AS has_more,
            coalesce((SELECT string_agg(DISTINCT tag_name, ',' ORDER BY tag_name) FROM content_tags t WHERE t.target_type = p.target_type AND t.target_id = p.target_id), '') AS tags,
            EXISTS (SELECT 1 FROM favorites f WHERE f.target_type = p.target_type AND f.target_id = p.target_id) AS favorite
     FROM placed p WHERE place > 20 AND place <= 70""",
-    ("content", "content_tags", "favorites"),
+    ("content", "content_tags", "favorites", "notes", "messages"),
 )
 def search_library(lib: Library) -> DataFrame:
-    return search.search_library(sources(lib), lib.content, lib.favorites, lib.content_tags, WORDS, limit=50, offset=20).drop("excerpt")
+    told = [(lib.notes.withColumn("target_type", F.lit("document")), ["note_text"]), (annotations(lib), ["quote_text", "note_text"])]
+    return search.search_library(sources(lib), lib.content, lib.favorites, lib.content_tags, WORDS, limit=50, offset=20, notes=told).drop("excerpt")
 
 
 @query("match_field", f""", {HITS} SELECT target_type, field, count(*) AS items FROM hits GROUP BY ALL""", ("content",))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.sources.shared import settle
+
 PLAIN = ("txt", "md", "csv", "tsv", "json", "log", "xml", "yaml", "yml")
 PAGES = ("html", "htm")
 OFFICE = {"docx": r"word/document\.xml$", "pptx": r"ppt/slides/slide\d+\.xml$", "xlsx": r"xl/(sharedStrings|worksheets/sheet\d+)\.xml$"}
@@ -64,6 +66,32 @@ def extract_file_text(files: DataFrame) -> DataFrame:
     return files.select("name", "extension", "content").mapInPandas(run, "name string, extension string, text string, status string")
 
 
+#: The columns of text items as a page reader gives them.
+TEXT_ITEMS = "doc string, page int, x double, y double, width double, height double, str string"
+
+
+def read_text_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Text items in JSON lines or Parquet -> (items, rejected lines). Items are in the columns
+    of TEXT_ITEMS and have a place; those without are left out, widths and heights that are
+    missing are 0, texts empty. A JSON line that isn't one, or whose values don't fit, is
+    rejected whole, as text; Parquet files must have the columns, whose values are cast."""
+    place, size = (F.col("x").isNotNull() & F.col("y").isNotNull()), ["width", "height"]
+    if path.rstrip("/*").endswith(".parquet"):
+        rows = spark.read.parquet(path)
+        wanted = [c.split(" ") for c in TEXT_ITEMS.split(", ")]
+        missing = [c for c, _ in wanted if c not in rows.columns]
+        if missing:
+            raise ValueError(f"columns that are missing: {missing}")
+        items, bad = rows.select(*(F.col(c).try_cast(kind).alias(c) for c, kind in wanted)), spark.createDataFrame([], "line string")
+    else:
+        rows = spark.read.schema(f"{TEXT_ITEMS}, _line string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").json(path)
+        rows = settle(rows, "text-items")  # parsed once; Spark refuses a scan for the rejected lines alone
+        bad = rows.where(F.col("_line").isNotNull()).select(F.col("_line").alias("line"))
+        items = rows.where(F.col("_line").isNull()).drop("_line")
+    items = items.where(place & ~F.isnan("x") & ~F.isnan("y")).fillna(0.0, size).fillna("", ["str"])
+    return items, bad
+
+
 def read_ocr_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Words of an OCR table: level 5, not blank, confidence 0 to 100."""
     rows = spark.read.option("sep", "\t").option("header", "true").option("quote", "").csv(path)

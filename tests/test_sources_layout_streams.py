@@ -1,6 +1,5 @@
 """Files and markup, positioned text, and streams against their batch twins."""
 
-import datetime as dt
 import io
 import random
 import zipfile
@@ -115,7 +114,9 @@ def test_stream_of_totals_is_the_batch(spark, tmp_path):
         spark.createDataFrame([r for r in rows if r[1] // 10 == part], kind).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
     spark.createDataFrame([r for r in rows if r[1] // 10 == 1], kind).coalesce(1).write.parquet(f"{tmp_path}/in/3")
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    got = {(r.session_id, r.local_day): r.n for r in reading.settled(reading.reading_days(stream), "days", "append").groupBy("session_id", "local_day").agg(F.sum("seconds").alias("n")).collect()}
+    days = reading.reading_days(spark, f"{tmp_path}/out")
+    days.run(stream, f"{tmp_path}/marks")
+    got = {(r.session_id, r.local_day): r.n for r in days.results().groupBy("session_id", "local_day").agg(F.sum("seconds").alias("n")).collect()}
     want = {}
     for s in range(5):
         most = 0
@@ -125,21 +126,3 @@ def test_stream_of_totals_is_the_batch(spark, tmp_path):
                 most = total
     assert sum(got.values()) == sum(want.values())
     assert got == want
-
-
-def test_job_states_and_captures(spark, tmp_path):
-    events = [("j", 1, "queued"), ("j", 2, "completed"), ("j", 3, "running"), ("j", 4, "completed"), ("j", 5, "running"), ("k", 1, "running")]
-    spark.createDataFrame(events, "job_id string, seq long, status string").coalesce(1).write.parquet(f"{tmp_path}/jobs/1")
-    stream = spark.readStream.schema("job_id string, seq long, status string").parquet(f"{tmp_path}/jobs/*")
-    got = {(r.job_id, r.seq): r.legal for r in reading.settled(reading.job_states(stream), "jobs", "append").collect()}
-    assert got == {("j", 1): True, ("j", 2): False, ("j", 3): True, ("j", 4): True, ("j", 5): False, ("k", 1): True}
-    at = dt.datetime(2024, 1, 1, 12)
-    shots = [("u", "a", at), ("u", "a", at + dt.timedelta(minutes=1)), ("u", "b", at + dt.timedelta(minutes=2)), ("v", "c", at)]
-    kind = "url string, html string, captured_at timestamp"
-    spark.createDataFrame(shots, kind).coalesce(1).write.parquet(f"{tmp_path}/pages/1")
-    reading.captures(spark.readStream.schema(kind).parquet(f"{tmp_path}/pages/*"), f"{tmp_path}/out", f"{tmp_path}/marks")
-    assert {(r.url, r.html) for r in reading.current_captures(spark, f"{tmp_path}/out").collect()} == {("u", "b"), ("v", "c")}
-    spark.createDataFrame([("u", "d", at + dt.timedelta(minutes=9)), ("u", "b", at + dt.timedelta(minutes=3))], kind).coalesce(1).write.parquet(f"{tmp_path}/pages/2")
-    for _ in range(2):  # a run without news changes nothing
-        reading.captures(spark.readStream.schema(kind).parquet(f"{tmp_path}/pages/*"), f"{tmp_path}/out", f"{tmp_path}/marks")
-        assert {(r.url, r.html, r.first_seen) for r in reading.current_captures(spark, f"{tmp_path}/out").collect()} == {("u", "d", at + dt.timedelta(minutes=2)), ("v", "c", at)}
