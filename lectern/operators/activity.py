@@ -27,13 +27,16 @@ def split_midnight(spans: DataFrame) -> DataFrame:
     return rows.select("key", "local_day", seconds_between(begin, end).cast("long").alias("seconds")).where("seconds > 0")
 
 
-def reading_sessions(ticks: DataFrame, gap_hours: int = 12) -> DataFrame:
-    """Sessions of each owner: ticks with no longer pause than gap_hours."""
+def reading_sessions(ticks: DataFrame, gap_hours: int = 12, progress: str | None = None) -> DataFrame:
+    """Sessions of each owner: ticks with no longer pause than gap_hours. With a column of
+    progress, what it was at the first and the last tick, 0 to 100."""
     order = Window.partitionBy("owner_id").orderBy("ts", "seq")
     new = (seconds_between(F.lag("ts").over(order), F.col("ts")) > gap_hours * 3600).cast("int")
     numbered = ticks.withColumn("session", F.sum(F.coalesce(new, F.lit(0))).over(order).cast("long"))
     seconds = F.least(seconds_between(F.min("ts"), F.max("ts")), F.lit(86_400)).cast("long")
-    return numbered.groupBy("owner_id", "session").agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_active_at"), F.count("*").alias("ticks"), seconds.alias("active_seconds"), F.count_distinct("target_id").alias("items"))
+    shown = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(100))
+    ends = [] if progress is None else [shown(f(progress, F.struct("ts", "seq"))).alias(name) for f, name in ((F.min_by, "progress_start"), (F.max_by, "progress_end"))]
+    return numbered.groupBy("owner_id", "session").agg(*ends, F.min("ts").alias("started_at"), F.max("ts").alias("last_active_at"), F.count("*").alias("ticks"), seconds.alias("active_seconds"), F.count_distinct("target_id").alias("items"))
 
 
 def cumulative_day_deltas(updates: DataFrame) -> DataFrame:

@@ -24,6 +24,27 @@ def duplicates(incoming: DataFrame, library: DataFrame) -> DataFrame:
     return by_text.unionByName(by_title.join(by_text, "id", "left_anti"))
 
 
+#: An arXiv id, alone or in an address of the site, and what ends one.
+ARXIV_ID = r"((?:[0-9]{4}\.[0-9]{4,5}|[a-z-]+(?:\.[a-z-]+)?/[0-9]{7}))(v[1-9][0-9]*)?"
+ARXIV_FORM = rf"^(?:arxiv\s*:\s*)?(?:https?://(?:www\.|export\.)?arxiv\.org/(?:(?:abs|pdf|html)/)?)?{ARXIV_ID}(?:\.pdf)?/?(?:[?#].*)?$"
+DOI_FORM = r"^(?:doi\s*:\s*)?(?:https?://(?:dx\.)?doi\.org/)?(10\.[0-9]{4,9}/[^\s<>?#]+)(?:[?#].*)?$"
+
+
+def paper_record(text: Column) -> Column:
+    """struct(identity, version, canonical_url, source_url, pdf_url) of an identifier or address
+    of a paper; null for others. Versions of an arXiv paper are one paper, whose source
+    keeps the version that was asked for; a DOI keeps what looks like one."""
+    t = F.lower(F.trim(text))
+    arxiv, version, doi = F.regexp_extract(t, ARXIV_FORM, 1), F.regexp_extract(t, ARXIV_FORM, 2), F.regexp_extract(t, DOI_FORM, 1)
+    none = F.lit(None).cast("string")
+    page = lambda kind, v: F.concat(F.lit(f"https://arxiv.org/{kind}/"), arxiv, v)
+    fields = ("identity", "version", "canonical_url", "source_url", "pdf_url")
+    of_arxiv = (F.concat(F.lit("arxiv:"), arxiv), version, page("abs", F.lit("")), page("abs", version), page("pdf", version))
+    of_doi = (F.concat(F.lit("doi:"), doi), none, F.concat(F.lit("https://doi.org/"), doi), none, none)
+    named = lambda values: F.struct(*(v.alias(n) for v, n in zip(values, fields, strict=True)))
+    return F.when(arxiv != "", named(of_arxiv)).when(doi != "", named(of_doi))
+
+
 def paper_identity(text: Column) -> Column:
     """arxiv:<id> or doi:<doi> of any form of either; null for others."""
     t = F.trim(F.lower(text))

@@ -64,6 +64,33 @@ def transient(status: Column, message: Column) -> Column:
     return F.coalesce(status.isin(408, 425, 429) | status.between(500, 599), F.lit(False)) | F.coalesce(message.rlike(TRANSIENT), F.lit(False))
 
 
+#: Messages of failures that pass, with their kind and how long to wait in
+#: milliseconds, in the order in which they count.
+PASSING = (
+    ("quota", r"(?i)you(?:'|’)ve hit your usage limit|usage limit|purchase more credits|quota exceeded|insufficient_quota", 1_800_000),
+    ("login", r"(?i)not logged in|authentication required|login required|token (?:has )?expired|unauthorized", 60_000),
+    ("network", r"(?i)ECONNRESET|ETIMEDOUT|EAI_AGAIN|ENOTFOUND|connection (?:reset|timed out)|network (?:error|unreachable)|error sending request|stream disconnected|HTTP\s+(?:429|502|503|504)\b", 60_000),
+)
+
+
+def passing(code: Column, message: Column) -> Column:
+    """struct(kind, delay_ms) of a failure of a service that will come back: quota, login or
+    network; null for others. The code of a used-up limit counts without a message."""
+    found = F.when(F.coalesce(code == "CODEX_USAGE_LIMIT", F.lit(False)), F.struct(F.lit("quota").alias("kind"), F.lit(PASSING[0][2]).alias("delay_ms")))
+    for kind, pattern, delay in PASSING:
+        found = found.when(F.coalesce(message, F.lit("")).rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.lit(delay).alias("delay_ms")))
+    return found
+
+
+def waiting_until(failures: DataFrame, now: Column) -> DataFrame:
+    """failures(code, message, failed_at) -> one row: the latest end of a wait that is still
+    ahead and its kind; none if nothing waits. A shorter wait never cuts a longer one."""
+    rows = failures.select(passing(F.col("code"), F.col("message")).alias("p"), "failed_at").where("p IS NOT NULL")
+    until = F.timestamp_millis(F.unix_millis(F.col("failed_at").cast("timestamp")) + F.col("p.delay_ms"))
+    last = rows.select(until.alias("until"), F.col("p.kind").alias("kind")).agg(F.max(F.struct("until", "kind")).alias("x"))
+    return last.select("x.*").where(F.col("until") > now)
+
+
 def retry_after(told: Column, now: Column) -> Column:
     """Milliseconds that a Retry-After header asks for, 1 s to 1 h: it holds seconds or a date.
     Null if it says neither."""

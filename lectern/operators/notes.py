@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import literal_contains, summary
 from lectern.operators.maintenance import Snapshots
+from lectern.operators.ranks import ranked
+from lectern.operators.search import paged
+from lectern.sources.shared import settle
 
 
 #: Headings of a note's form, which say nothing, and what marks questions and actions.
@@ -50,6 +53,55 @@ def digest_themes(notes: DataFrame, none: str = "unsorted") -> DataFrame:
     return themes.unionByName(whole)
 
 
+def digest_overview(notes: DataFrame, none: str = "未分类") -> DataFrame:
+    """notes(target_type, target_id, category, note_text) -> one row: notes, sources, themes and
+    what is said of them."""
+    kept = notes.where(F.trim("note_text") != "")
+    theme = F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit(none))
+    rows = kept.agg(F.count("*").alias("notes"), F.count_distinct("target_type", "target_id").alias("sources"), F.count_distinct(theme).alias("themes"))
+    said = F.format_string("本期整理了 %d 条笔记，来自 %d 份资料，归入 %d 个主题。", "notes", "sources", "themes")
+    return rows.withColumn("overview", F.when(F.col("notes") > 0, said).otherwise("本期没有需要整理的新笔记。"))
+
+
+def digest_sources(notes: DataFrame, none: str = "未分类") -> DataFrame:
+    """(theme, place, theme_notes, target_type, target_id, title): themes from the fullest, each
+    with its sources once."""
+    theme = F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit(none))
+    kept = notes.where(F.trim("note_text") != "").withColumn("theme", theme)
+    counts = kept.groupBy("theme").agg(F.count("*").alias("theme_notes"))
+    places = ranked(counts, [], [F.col("theme_notes").desc(), F.col("theme")], "place")
+    sources = kept.groupBy("theme", "target_type", "target_id").agg(F.min("title").alias("title"))
+    return sources.join(places, "theme").select("theme", "place", "theme_notes", "target_type", "target_id", "title")
+
+
+def list_all_notes(reading: DataFrame, own: DataFrame, content: DataFrame, annotations: DataFrame, query: str = "", kind: str = "", after: str = "", limit: int = 100, offset: int = 0) -> DataFrame:
+    """Notes on items and notes of their own in one list, newest first, one page with the number
+    of all and whether more follow.
+
+    reading: target_type, target_id, note_text, updated_at; own: note_type, id, title,
+    content_text, updated_at; content: target_type, target_id, title, category; annotations:
+    target_type, target_id, quote_text, note_text. A note on an item is found by its text,
+    the item's title or category, if the item is there and the note isn't blank; a note of
+    its own by title or text. kind is a target or note type, else no filter. Annotations
+    that say something are counted for the page's items."""
+    keys, query = ["target_type", "target_id"], query.strip()
+    met = reading.where(F.trim("note_text") != "").join(content.select(*keys, F.col("title").alias("_title"), F.col("category").alias("_category")), keys)
+    found = met.where(literal_contains(F.concat_ws(" ", "note_text", F.coalesce("_title", F.lit("")), F.coalesce("_category", F.lit(""))), query)) if query else met
+    mine = own.where(F.col("note_type").isin("markdown", "text", "word"))
+    mine = mine.where(literal_contains(F.concat_ws(" ", "title", "content_text"), query)) if query else mine
+    named = lambda c, default: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default))
+    rows = found.select(*keys, named("_title", "未命名资料").alias("title"), named("_category", "未分类").alias("category"), "updated_at", F.lit(False).alias("own"))
+    rows = rows.unionByName(mine.select(F.col("note_type").alias("target_type"), F.col("id").alias("target_id"), "title", F.lit(None).cast("string").alias("category"), "updated_at", F.lit(True).alias("own")))
+    if kind:
+        rows = rows.where(F.col("target_type") == kind)
+    if after:
+        rows = rows.where(F.col("updated_at") > F.lit(after).cast("timestamp_ntz"))
+    page = settle(paged(rows, [F.col("updated_at").desc(), "target_id", "target_type"], limit, offset, 5000), "notes-page")
+    said = (F.trim(F.coalesce("quote_text", F.lit(""))) != "") | (F.trim(F.coalesce("note_text", F.lit(""))) != "")
+    counts = annotations.where(said).join(F.broadcast(page.where("NOT own").select(*keys).distinct()), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_n"))  # a page
+    return page.join(counts, keys, "left").select("place", *keys, "title", "category", "updated_at", F.when(F.col("own"), 0).otherwise(F.coalesce("_n", F.lit(0))).cast("long").alias("annotations"), "total", "has_more")
+
+
 def note_digest(notes: DataFrame) -> DataFrame:
     """Per item: notes, lines, questions and the first line."""
     lines = note_lines(notes)

@@ -34,11 +34,11 @@ def fallback_hits(hits: DataFrame, annotations: DataFrame, query: str, field: st
 NEAR = 10_000
 
 
-def paged(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+def paged(rows: DataFrame, order: list, limit: int, offset: int = 0, most: int = 200) -> DataFrame:
     """Rows of one page in order, with their place, the number of all rows and whether more
-    follow; a page has 1 to 200 rows. A page near the front is numbered in one task, with the
+    follow; a page has 1 to `most` rows. A page near the front is numbered in one task, with the
     rows before it; for one further on all rows are ranked, range by range."""
-    limit, offset = min(200, max(1, limit)), min(2**31 - 1, max(0, offset))
+    limit, offset = min(most, max(1, limit)), min(2**31 - 1, max(0, offset))
     total = rows.agg(F.count("*").alias("total"))
     if offset + limit <= NEAR:
         head = rows.orderBy(*order).limit(offset + limit)

@@ -27,13 +27,14 @@ SESSIONS = """
     n AS (SELECT *, CAST(sum(CAST(coalesce(new, false) AS INTEGER)) OVER (PARTITION BY owner_id ORDER BY ts, seq) AS BIGINT) AS session FROM g),
     sessions AS (
       SELECT owner_id, session, min(ts) AS started_at, max(ts) AS last_active_at, count(*) AS ticks, count(DISTINCT target_id) AS items,
-             CAST(least(epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))), 86400) AS BIGINT) AS active_seconds FROM n GROUP BY owner_id, session
+             CAST(least(epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))), 86400) AS BIGINT) AS active_seconds,
+             least(100, greatest(0, arg_min(value, (ts, seq)))) AS progress_start, least(100, greatest(0, arg_max(value, (ts, seq)))) AS progress_end FROM n GROUP BY owner_id, session
     )"""
 
 
-@query("reading_sessions", f", {SESSIONS} SELECT owner_id, session, ticks, items, active_seconds, CAST(started_at AS DATE)::VARCHAR AS first_day FROM sessions", ("ticks",))
+@query("reading_sessions", f", {SESSIONS} SELECT owner_id, session, ticks, items, active_seconds, progress_start, progress_end, CAST(started_at AS DATE)::VARCHAR AS first_day FROM sessions", ("ticks",))
 def reading_sessions(lib: Library) -> DataFrame:
-    return activity.reading_sessions(lib.ticks).select("owner_id", "session", "ticks", "items", "active_seconds", F.to_date("started_at").alias("first_day"))
+    return activity.reading_sessions(lib.ticks, progress="value").select("owner_id", "session", "ticks", "items", "active_seconds", "progress_start", "progress_end", F.to_date("started_at").alias("first_day"))
 
 
 @query(
@@ -199,14 +200,16 @@ def anti_missing_job(lib: Library) -> DataFrame:
 
 @query(
     "retry_classify",
-    """, e AS (SELECT seq, CAST(400 + floor(value) % 230 AS INTEGER) AS status, (['Connection timed out', 'bad input', 'got HTTP 503 from source', 'HTTP 5030', 'getaddrinfo ENOTFOUND x', 'quota used up', 'request timeout'])[CAST(1 + seq % 7 AS INTEGER)] AS message FROM ticks)
-    SELECT seq, status, status IN (408, 425, 429) OR (status >= 500 AND status <= 599) OR message IN ('Connection timed out', 'got HTTP 503 from source', 'getaddrinfo ENOTFOUND x') AS transient FROM e""",
+    """, e AS (SELECT seq, CAST(400 + floor(value) % 230 AS INTEGER) AS status, (['Connection timed out', 'bad input', 'got HTTP 503 from source', 'HTTP 5030', 'getaddrinfo ENOTFOUND x', 'quota exceeded', 'token has expired'])[CAST(1 + seq % 7 AS INTEGER)] AS message FROM ticks)
+    SELECT seq, status, status IN (408, 425, 429) OR (status >= 500 AND status <= 599) OR message IN ('Connection timed out', 'got HTTP 503 from source', 'getaddrinfo ENOTFOUND x') AS transient,
+           CASE WHEN status = 402 OR message = 'quota exceeded' THEN 'quota' WHEN message = 'token has expired' THEN 'login' WHEN message IN ('Connection timed out', 'got HTTP 503 from source', 'getaddrinfo ENOTFOUND x') THEN 'network' END AS kind,
+           CAST(CASE WHEN status = 402 OR message = 'quota exceeded' THEN 1800000 WHEN message IN ('token has expired', 'Connection timed out', 'got HTTP 503 from source', 'getaddrinfo ENOTFOUND x') THEN 60000 END AS INTEGER) AS delay_ms FROM e""",
     ("ticks",),
 )
 def retry_classify(lib: Library) -> DataFrame:
-    said = F.array(*map(F.lit, ("Connection timed out", "bad input", "got HTTP 503 from source", "HTTP 5030", "getaddrinfo ENOTFOUND x", "quota used up", "request timeout")))
+    said = F.array(*map(F.lit, ("Connection timed out", "bad input", "got HTTP 503 from source", "HTTP 5030", "getaddrinfo ENOTFOUND x", "quota exceeded", "token has expired")))
     rows = lib.ticks.select("seq", (F.lit(400) + F.pmod(F.floor("value"), F.lit(230))).cast("int").alias("status"), F.element_at(said, (F.col("seq") % 7 + 1).cast("int")).alias("message"))
-    return rows.select("seq", "status", jobs.transient(F.col("status"), F.col("message")).alias("transient"))
+    return rows.select("seq", "status", jobs.transient(F.col("status"), F.col("message")).alias("transient"), jobs.passing(F.when(F.col("status") == 402, "CODEX_USAGE_LIMIT"), F.col("message")).alias("p")).select("seq", "status", "transient", "p.kind", "p.delay_ms")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import notes
 from lectern.plans.registry import query
+from lectern.plans.search import FOLD
 from lectern.sources.library import Library
 from lectern.sources.shared import shared_path
 
@@ -36,9 +37,52 @@ def key_points(lib: Library) -> DataFrame:
     return notes.key_points(lib.notes)
 
 
-@query("list_notes", "SELECT target_id, turn FROM notes WHERE contains(translate(note_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'ention') ORDER BY updated_at DESC, target_id LIMIT 50", ("notes",))
+@query(
+    "list_notes",
+    f""", r AS (SELECT 'document' AS target_type, n.target_id, CASE WHEN c.title = '' THEN '未命名资料' ELSE coalesce(c.title, '未命名资料') END AS title, CASE WHEN c.category = '' THEN '未分类' ELSE coalesce(c.category, '未分类') END AS category, n.updated_at, false AS own
+           FROM notes n JOIN content c ON c.target_type = 'document' AND c.target_id = n.target_id
+           WHERE trim(n.note_text) <> '' AND contains({FOLD.format("concat(n.note_text, ' ', coalesce(c.title, ''), ' ', coalesce(c.category, ''))")}, 'ention')),
+    o AS (SELECT 'text', id, title, NULL, updated_at, true FROM library_papers WHERE contains({FOLD.format("concat(title, ' ', body)")}, 'ention')),
+    a AS (SELECT * FROM r UNION ALL SELECT * FROM o),
+    p AS (SELECT *, row_number() OVER (ORDER BY updated_at DESC, target_id, target_type) AS place, count(*) OVER () AS total FROM a)
+    SELECT place, target_type, target_id, title, category, CAST(updated_at AS VARCHAR) AS updated_at, CASE WHEN own THEN 0 ELSE (SELECT count(*) FROM messages m WHERE m.role <> 'user' AND m.conversation_id = p.target_id AND trim(m.text) <> '') END AS annotations, total, total > 45 AS has_more
+    FROM p WHERE place > 5 AND place <= 45""",
+    ("content", "notes", "messages", "library_papers"),
+)
 def list_notes(lib: Library) -> DataFrame:
-    return notes.list_notes(lib.notes, "Ention", 50).select("target_id", "turn")
+    """Notes on documents, papers as notes of their own, answers as annotations."""
+    own = lib.library_papers.select(F.lit("text").alias("note_type"), "id", "title", F.col("body").alias("content_text"), "updated_at")
+    reading = lib.notes.select(F.lit("document").alias("target_type"), "target_id", "note_text", "updated_at")
+    answers = lib.messages.where("role <> 'user'").select(F.lit("document").alias("target_type"), F.col("conversation_id").alias("target_id"), F.lit("").alias("quote_text"), F.col("text").alias("note_text"))
+    return notes.list_all_notes(reading, own, lib.content, answers, "Ention", limit=40, offset=5)
+
+
+TOLD = """, t AS (SELECT n.*, CASE WHEN turn % 3 = 0 THEN '未分类' ELSE concat('turn ', CAST(turn % 3 AS VARCHAR(9))) END AS theme FROM notes n WHERE trim(note_text) <> '')"""
+
+
+def themed(lib: Library) -> DataFrame:
+    category = F.when(F.col("turn") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("turn "), (F.col("turn") % 3).cast("string")))
+    return lib.notes.withColumns({"category": category, "target_type": F.lit("document"), "title": F.concat(F.lit("item "), "target_id")})
+
+
+@query(
+    "digest_overview",
+    f"""{TOLD}, o AS (SELECT count(*) AS notes, count(DISTINCT target_id) AS sources, count(DISTINCT theme) AS themes FROM t)
+    SELECT *, concat('本期整理了 ', notes, ' 条笔记，来自 ', sources, ' 份资料，归入 ', themes, ' 个主题。') AS overview FROM o""",
+    ("notes",),
+)
+def digest_overview(lib: Library) -> DataFrame:
+    return notes.digest_overview(themed(lib))
+
+
+@query(
+    "digest_sources",
+    f"""{TOLD}, c AS (SELECT theme, count(*) AS theme_notes, row_number() OVER (ORDER BY count(*) DESC, theme) AS place FROM t GROUP BY theme)
+    SELECT DISTINCT theme, place, theme_notes, 'document' AS target_type, target_id, concat('item ', target_id) AS title FROM t JOIN c USING (theme)""",
+    ("notes",),
+)
+def digest_sources(lib: Library) -> DataFrame:
+    return notes.digest_sources(themed(lib))
 
 
 @query("note_library_summary", "SELECT count(*) AS notes, count(DISTINCT target_id) AS items, CAST(max(updated_at) AS VARCHAR) AS latest FROM notes", ("notes",))

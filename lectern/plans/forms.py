@@ -178,6 +178,23 @@ def paper_identity(lib: Library) -> DataFrame:
     return lib.library_papers.select("id", forms.alias("pos", "text")).select("id", identity.paper_identity(F.col("text")).alias("identity"), (F.col("pos") + 1).alias("form"))
 
 
+@query(
+    "paper_record",
+    """, v AS (SELECT id, lpad(CAST(number AS VARCHAR(9)), 5, '0') AS n, number % 3 + 1 AS k FROM library_papers), f AS (
+      SELECT id, 1 AS form, concat('arxiv:2401.', n) AS identity, concat('v', k) AS version, concat('https://arxiv.org/abs/2401.', n) AS canonical_url, concat('https://arxiv.org/abs/2401.', n, 'v', k) AS source_url, concat('https://arxiv.org/pdf/2401.', n, 'v', k) AS pdf_url FROM v
+      UNION ALL SELECT id, 2, concat('arxiv:2401.', n), '', concat('https://arxiv.org/abs/2401.', n), concat('https://arxiv.org/abs/2401.', n), concat('https://arxiv.org/pdf/2401.', n) FROM v
+      UNION ALL SELECT id, 3, concat('doi:10.1000/x', n, 'v', k), NULL, concat('https://doi.org/10.1000/x', n, 'v', k), NULL, NULL FROM v
+      UNION ALL SELECT id, 4, NULL, NULL, NULL, NULL, NULL FROM v)
+    SELECT * FROM f""",
+    ("library_papers",),
+)
+def paper_record(lib: Library) -> DataFrame:
+    n, k = F.lpad(F.col("number").cast("string"), 5, "0"), (F.col("number") % 3 + 1).cast("string")
+    forms = F.posexplode(F.array(F.concat(F.lit("https://arxiv.org/pdf/2401."), n, F.lit("v"), k, F.lit(".pdf")), F.concat(F.lit("arXiv: 2401."), n), F.concat(F.lit("https://dx.doi.org/10.1000/X"), n, F.lit("v"), k, F.lit("?a=1")), F.concat(F.lit("https://evil.example/abs/2401."), n)))
+    rows = lib.library_papers.select("id", forms.alias("pos", "text")).withColumn("r", identity.paper_record(F.col("text")))
+    return rows.select("id", (F.col("pos") + 1).alias("form"), "r.identity", "r.version", "r.canonical_url", "r.source_url", "r.pdf_url")
+
+
 @query(
     "video_identity",
     """, v AS (SELECT id, lpad(CAST(number AS VARCHAR(9)), 11, 'a') AS n FROM library_papers) SELECT id, unnest([concat('youtube:', n), concat('youtube:', n), concat('youtube:', n), concat('bilibili:BV', substr(n, 2)), NULL]) AS identity, unnest([1, 2, 3, 4, 5]) AS form FROM v""",
