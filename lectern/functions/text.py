@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +94,20 @@ def title_key(title: Column) -> Column:
     return F.regexp_replace(F.lower(title), r"[\s\p{P}\p{S}]+", "")
 
 
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def compatible(text: Column) -> Column:
+    """Unicode's compatibility form; plain ASCII never leaves the JVM's side of the choice."""
+    return F.when(text.rlike(r"^[\x00-\x7f]*$"), text).otherwise(F.pandas_udf(_compatible, "string")(text))
+
+
+def normalize_title(title: Column) -> Column:
+    """title_key() of the compatibility form: wide, ringed and plain letters are one."""
+    return title_key(compatible(title))
+
+
 def text_corruption(text: Column) -> Column:
     """Does a text layer look broken? Counted among its visible characters, of which there must
     be 80: replacement characters, control characters, private-use characters, and a

@@ -34,4 +34,4 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()) -> Cal
     return put
 
 
-from lectern.plans import activity, chapters, domain, forms, items, library, positions, records, rules, search, streams, texts  # noqa: E402, F401
+from lectern.plans import activity, chapters, domain, forms, items, library, positions, records, rules, search, sources, streams, texts  # noqa: E402, F401
