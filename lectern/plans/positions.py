@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import layout, library
+from lectern.operators import layout, library, regions
 from lectern.plans.registry import query
 from lectern.sources.library import Library
+from lectern.sources.shared import settle
 
 PLACED = """
     l AS (SELECT id, number, unnest(string_split(body, chr(10))) AS t, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS line FROM library_documents),
@@ -103,6 +104,75 @@ def tiny_line_stats(lib: Library) -> DataFrame:
     return layout.tiny_lines(layout.text_rows(placed(lib).withColumnRenamed("text", "str")))
 
 
+#: Rows of text, some of which are captions of tables and figures.
+ROWS = f"""{PLACED}, p AS (SELECT *, CAST(floor(y + 0.5) AS BIGINT) AS row_y FROM placed),
+    g AS (SELECT *, x - lag(x + width) OVER r AS gap, lag(text) OVER r AS last FROM p WINDOW r AS (PARTITION BY doc_id, page, row_y ORDER BY x)),
+    plain AS (SELECT doc_id, page, row_y, string_agg(concat(CASE WHEN coalesce(gap >= greatest(0.7, 0.1 * font_size), false) OR coalesce(regexp_matches(last, '[,;:.!?]$'), false) THEN ' ' ELSE '' END, text), '' ORDER BY x) AS text,
+              min(x) AS "left", max(x + width) AS "right" FROM g GROUP BY ALL),
+    rows AS (SELECT doc_id, page, row_y, "left", "right", CASE WHEN row_y // 12 % 13 = 1 THEN concat('Table ', row_y // 12, '. ', text) WHEN row_y // 12 % 17 = 3 THEN concat('fig. ', row_y // 12, ': ', text) ELSE text END AS text FROM plain)"""
+TABLES = f"""{ROWS}, c AS (SELECT *, regexp_matches(text, '^(?i)(table)\\s+[0-9]+[.:]?') AS is_caption FROM rows),
+    m AS (SELECT *, last_value(CASE WHEN is_caption THEN row_y END IGNORE NULLS) OVER o AS caption_y, last_value(CASE WHEN is_caption THEN text END IGNORE NULLS) OVER o AS caption, CASE WHEN row_y - lag(row_y) OVER o >= 22 AND NOT is_caption THEN 1 ELSE 0 END AS wide
+          FROM c WINDOW o AS (PARTITION BY doc_id, page ORDER BY row_y)),
+    b AS (SELECT *, sum(wide) OVER w AS gaps, row_number() OVER w - 1 AS n FROM m WHERE caption_y IS NOT NULL WINDOW w AS (PARTITION BY doc_id, page, caption_y ORDER BY row_y)),
+    tables AS (SELECT doc_id, page, caption_y AS top, caption, count(*) AS rows, max(row_y) AS bottom, min("left") AS "left", max("right") AS "right" FROM b WHERE gaps = 0 AND n BETWEEN 1 AND 28 GROUP BY doc_id, page, caption_y, caption HAVING count(*) >= 5)"""
+FIGURES = f"""{ROWS}, f AS (SELECT *, coalesce(lag(row_y) OVER (PARTITION BY doc_id, page ORDER BY row_y), 0) AS top FROM rows), figures AS (SELECT doc_id, page, text AS caption, top, row_y AS bottom FROM f WHERE regexp_matches(text, '^(?i)(fig\\.?|figure)\\s+[0-9]+[.:]?'))"""
+
+
+def captioned(lib: Library) -> DataFrame:
+    rows = layout.text_rows(placed(lib).withColumnRenamed("text", "str"))
+    n = F.floor(F.col("row_y") / 12)
+    named = F.when(n % 13 == 1, F.concat(F.lit("Table "), n.cast("string"), F.lit(". "), "text")).when(n % 17 == 3, F.concat(F.lit("fig. "), n.cast("string"), F.lit(": "), "text"))
+    return rows.select("doc_id", "page", "row_y", "left", "right", F.coalesce(named, "text").alias("text"))
+
+
+@query("join_row_text", f", {ROWS} SELECT doc_id, page, row_y, text FROM rows", ("library_documents",))
+def join_row_text(lib: Library) -> DataFrame:
+    return captioned(lib).select("doc_id", "page", "row_y", "text")
+
+
+@query(
+    "structured_columns",
+    f""", {ROWS}, c AS (SELECT *, CASE WHEN row_y < 0.055 * 480 THEN 'header' WHEN row_y > (1 - 0.055) * 480 THEN 'footer' WHEN "right" <= 200 THEN 'left' WHEN "left" >= 200 THEN 'right' ELSE 'body' END AS part FROM rows)
+    SELECT doc_id, page, row_y, part, text FROM c WHERE NOT (part IN ('header', 'footer') AND regexp_matches(trim(text), '^[0-9]+$'))""",
+    ("library_documents",),
+)
+def structured_columns(lib: Library) -> DataFrame:
+    return regions.columns_of(captioned(lib), 400.0, 480.0).select("doc_id", "page", "row_y", "part", "text")
+
+
+@query("table_regions", f", {TABLES} SELECT * FROM tables", ("library_documents",))
+def table_regions(lib: Library) -> DataFrame:
+    return regions.table_regions(captioned(lib))
+
+
+@query(
+    "text_outside_tables",
+    f""", {TABLES} SELECT doc_id, page, row_y, text FROM rows r WHERE NOT EXISTS (SELECT 1 FROM tables t WHERE t.doc_id = r.doc_id AND t.page = r.page AND r.row_y BETWEEN t.top AND t.bottom)
+    UNION ALL SELECT doc_id, page, top, concat('[table] ', caption) FROM tables""",
+    ("library_documents",),
+)
+def text_outside_tables(lib: Library) -> DataFrame:
+    rows = settle(captioned(lib), "rows")
+    return regions.text_outside_tables(rows, regions.table_regions(rows))
+
+
+@query("figure_regions", f", {FIGURES} SELECT * FROM figures", ("library_documents",))
+def figure_regions(lib: Library) -> DataFrame:
+    return regions.figure_regions(captioned(lib))
+
+
+@query(
+    "reading_flow",
+    f""", {FIGURES}, k AS (SELECT doc_id, page, row_y, text, CASE WHEN (doc_id, page, row_y) IN (SELECT (doc_id, page, bottom) FROM figures) THEN 'figure' ELSE 'text' END AS kind FROM rows),
+    n AS (SELECT *, sum(CASE WHEN kind = 'figure' OR coalesce(lag_kind <> kind, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY row_y) AS piece FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id, page ORDER BY row_y) AS lag_kind FROM k))
+    SELECT doc_id, page, CAST(piece AS BIGINT) AS piece, any_value(kind) AS kind, string_agg(text, chr(10) ORDER BY row_y) AS text FROM n GROUP BY doc_id, page, piece""",
+    ("library_documents",),
+)
+def reading_flow(lib: Library) -> DataFrame:
+    rows = settle(captioned(lib), "rows")
+    return regions.reading_flow(rows, regions.figure_regions(rows))
+
+
 LINES = "lines AS (SELECT id, unnest(string_split(body, chr(10))) AS text, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS pos FROM library_documents)"
 
 
