@@ -81,7 +81,7 @@ def markdown_to_article(chapters: DataFrame, least: int = 180) -> DataFrame:
     """chapters(id, title, text) in Markdown -> articles with text, summary and language;
     those shorter than `least` are left out."""
     t = F.regexp_replace("text", r"(?s)```.*?```", " ")
-    for pattern, to in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"[*_`~]+", "")):
+    for pattern, to in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^[ \t]*[-*+]\s+", ""), (r"[*_`~]+", "")):
         t = F.regexp_replace(t, pattern, to)
     rows = chapters.select("id", "title", F.trim(F.regexp_replace(t, "\n{3,}", "\n\n")).alias("body")).where(F.length("body") >= least)
     return rows.select("id", "title", "body", summary(F.col("body")).alias("summary"), detect_language(F.col("body")).alias("language"))

@@ -300,3 +300,72 @@ def backfill_identity(lib: Library) -> DataFrame:
     url = F.when(F.col("number") % 4 == 0, F.lit("https://nothing.example/x")).otherwise(F.concat(F.lit("https://arxiv.org/pdf/2401."), n, F.lit("v3.pdf")))
     rows = lib.library_papers.select("id", url.alias("url"), stored.alias("identity"))
     return library.backfill(rows, "identity", identity.paper_record(F.col("url"))["identity"]).select("id", "identity")
+
+
+@query(
+    "split_oversize",
+    """, l AS (SELECT id, n, CASE WHEN n % 9 = 4 THEN concat('[page ', n, ']') ELSE line END AS text FROM (SELECT id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS n FROM library_documents)),
+    u AS (SELECT *, last_value(CASE WHEN regexp_matches(text, '^\\[page [0-9]+\\]$') THEN text END IGNORE NULLS) OVER o AS mark, CAST(sum(length(text) + 1) OVER o - 1 AS BIGINT) // 900 AS part FROM l WINDOW o AS (PARTITION BY id ORDER BY n)),
+    p AS (SELECT id, part, arg_min(mark, n) FILTER (WHERE mark IS NOT NULL AND n = first) AS mark, string_agg(text, chr(10) ORDER BY n) AS text FROM (SELECT *, min(n) OVER (PARTITION BY id, part) AS first FROM u) GROUP BY id, part)
+    SELECT id, part, CASE WHEN mark IS NOT NULL AND NOT starts_with(text, mark) THEN concat(mark, chr(10), text) ELSE text END AS text FROM p""",
+    ("library_documents",),
+)
+def split_oversize(lib: Library) -> DataFrame:
+    """Lines of documents, some of which are marks of pages."""
+    lines = lib.library_documents.select("id", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
+    marked = F.when(F.col("pos") % 9 == 4, F.concat(F.lit("[page "), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.col("line"))
+    return structure.split_oversize(lines.select("id", "pos", marked.alias("text")), 900)
+
+
+@query(
+    "markdown_to_article",
+    r""", t AS (SELECT id, title, trim(regexp_replace(concat('Heading ', id, chr(10), 'a bold text and link', chr(10), ' ', chr(10), chr(10), 'item', chr(10), translate(body, '*_`~#[]()!+-', '')), '
+{3,}', chr(10) || chr(10), 'g')) AS body FROM library_documents)
+    SELECT id, title, body, length(body) AS chars FROM t WHERE length(body) >= 180""",
+    ("library_documents",),
+)
+def markdown_to_article(lib: Library) -> DataFrame:
+    """Documents without marks of their own, after a heading, a list and code."""
+    clean = F.translate("body", "*_`~#[]()!+-", "")
+    text = F.concat(F.lit("## Heading "), "id", F.lit("\na **bold** _text_ and [link](https://x.example)\n```py\nx = 1\n```\n\n- item\n"), clean)
+    made = structure.markdown_to_article(lib.library_documents.select("id", "title", text.alias("text")))
+    return made.select("id", "title", "body", F.length("body").cast("long").alias("chars"))
+
+
+@query(
+    "repair_table_spans",
+    """WITH c AS (SELECT l_orderkey AS table_id, CAST(l_linenumber AS INTEGER) AS "row", CAST(l_partkey * 100 + l_suppkey AS BIGINT) AS col, CAST(min(l_quantity) - 10 AS INTEGER) AS span FROM lineitem GROUP BY ALL),
+    n AS (SELECT *, count(*) OVER (PARTITION BY table_id, "row") AS cells FROM c), f AS (SELECT table_id, "row", lead(cells) OVER (PARTITION BY table_id ORDER BY "row") AS following FROM (SELECT DISTINCT table_id, "row", cells FROM n))
+    SELECT table_id, "row", col, CAST(CASE WHEN cells = 1 AND following > 1 THEN least(following, 20) ELSE greatest(1, least(20, span)) END AS INTEGER) AS span FROM n JOIN f USING (table_id, "row")""",
+)
+def repair_table_spans(lib: Library) -> DataFrame:
+    """Orders as tables, their lines' numbers as rows."""
+    col = (F.col("l_partkey").cast("long") * 100 + F.col("l_suppkey")).alias("col")
+    cells = lib.lineitem.groupBy(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").cast("int").alias("row"), col).agg((F.min("l_quantity") - 10).cast("int").alias("span"))
+    return structure.repair_table_spans(cells)
+
+
+@query(
+    "embedded_images",
+    """, t AS (SELECT number AS page_id, concat('picture of ', url) AS data FROM library_articles) SELECT page_id, 'png' AS kind, sha256(data) AS sha256, CAST(strlen(data) AS INTEGER) AS bytes FROM t""",
+    ("library_articles",),
+)
+def embedded_images(lib: Library) -> DataFrame:
+    """A picture in each page's html, beside one that is linked."""
+    data = F.base64(F.encode(F.concat(F.lit("picture of "), "url"), "utf-8"))
+    html = F.concat(F.lit('<img src="data:image/png;base64,'), F.regexp_replace(data, r"\s", ""), F.lit('"><img src="https://x.example/i.png">'), "html")
+    return pages.embedded_images(lib.pages.select("page_id", html.alias("html")))
+
+
+@query(
+    "merge_images_by_position",
+    """, l AS (SELECT id, unnest(string_split(body, chr(10))) AS text, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM library_documents), c AS (SELECT id, max(n) AS most FROM l GROUP BY id),
+    r AS (SELECT id AS page_id, n, 1 AS after, text, CAST(NULL AS VARCHAR) AS src FROM l UNION ALL SELECT id, i, 0, CAST(NULL AS VARCHAR), concat('img-', i) FROM c, (VALUES (1), (3), (1000000)) t(i))
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n, after, src) AS INTEGER) AS pos, text, src FROM r""",
+    ("library_documents",),
+)
+def merge_images_by_position(lib: Library) -> DataFrame:
+    """Three images of each document: before its first and third lines, and after the last."""
+    blocks = lib.library_documents.select(F.col("id").alias("page_id"), F.posexplode(F.split("body", "\n")).alias("pos", "text"))
+    images = lib.library_documents.select(F.col("id").alias("page_id"), F.explode(F.array(F.lit(1), F.lit(3), F.lit(1_000_000))).alias("n"))
+    return structure.merge_images_by_position(images.withColumn("src", F.concat(F.lit("img-"), F.col("n").cast("string"))), blocks)
