@@ -361,7 +361,7 @@ def drop_decorative_images(lib: Library) -> DataFrame:
 @query(
     "sanitize_note_html",
     """, n AS (SELECT target_id, turn, replace(replace(replace(note_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM notes)
-    SELECT target_id, turn, concat('<p style="color: red">', t, '<b>', t, '</b></p>[image removed]', t, '<a href="https://x.example/?a=1&amp;b" target="_blank" rel="noopener noreferrer">l</a><a>j</a><td width="4000">c</td>') AS html FROM n""",
+    SELECT target_id, turn, concat('<p style="color: red">', t, '<b>', t, '</b></p>[图片已移除]', t, '<a href="https://x.example/?a=1&amp;b" target="_blank" rel="noopener noreferrer">l</a><a>j</a><td width="4000">c</td>') AS html FROM n""",
     ("notes",),
 )
 def sanitize_note_html(lib: Library) -> DataFrame:
@@ -369,3 +369,18 @@ def sanitize_note_html(lib: Library) -> DataFrame:
     parts = ('<p onclick="x()" style="color: red; background: url(x); position:fixed">', text, "<script>if (a < b) bad()</script><b>", text, '</b></p><img src="http://x.example/i.png" onerror="x()"><custom-tag>', text, '</custom-tag><iframe src="x"><p>no</p></iframe><a href="https://x.example/?a=1&amp;b">l</a><a href=" javascript:x">j</a><td width="9999" colspan="-1">c</td></i>')
     made = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     return lib.notes.select("target_id", "turn", sanitize.sanitize_note_html(made).alias("html"))
+
+
+@query(
+    "sanitize_word_html",
+    """, n AS (SELECT target_id, turn, replace(replace(replace(note_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM notes)
+    SELECT target_id, turn, concat('<p data-align="', CASE WHEN turn % 2 = 0 THEN 'center' ELSE 'right' END, '" data-indent="', 1 + turn % 3, '">', t, '</p><h2 data-indent="4">', t, t, '</h2><a href="https://x.example/">l</a>') AS html FROM n""",
+    ("notes",),
+)
+def sanitize_word_html(lib: Library) -> DataFrame:
+    """Notes as a paragraph, aligned by turns, and a heading around a table."""
+    text = F.replace(F.replace(F.replace("note_text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    align = F.when(F.col("turn") % 2 == 0, "CENTER").otherwise("right")
+    parts = ('<p class="x" style="text-align: ', align, "; margin-left: ", (40 * (1 + F.col("turn") % 3)).cast("string"), 'px">', text, '</p><script>x</script><h2 data-indent="9"><table><tr><td><b>', text, "</b></td></tr></table><custom>", text, '</custom></h2><a href="https://x.example/" onclick="y()">l</a>')
+    made = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    return lib.notes.select("target_id", "turn", sanitize.sanitize_word_html(made).alias("html"))

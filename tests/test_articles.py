@@ -73,3 +73,27 @@ def test_notes_are_made_safe():
     assert clean(None) is None and clean("") == ""
     for html in cases:
         assert clean(clean(html)) == clean(html)
+
+
+def test_local_images_and_word_notes():
+    from lectern.operators import sanitize
+
+    images = {
+        '<img src="/api/files/1?x=2">': '<img src="/api/files/1?x=2" loading="lazy">',
+        '<img src="http://LOCALHOST:8080/api/a.png?b=1#c" alt="t">': '<img src="/api/a.png?b=1" loading="lazy" alt="t">',
+        '<img src="http://127.0.0.1/other.png">': "[图片已移除]",
+        '<img src="http://x.example/api/a.png" alt="kept">': "kept",
+        '<img src="http://[bad">': "[图片已移除]",
+    }
+    assert {k: sanitize.clean(k) for k in images} == images
+    word = {
+        '<p align="Right" style="margin-left:81px">a</p>': '<p data-align="right" data-indent="2">a</p>',
+        '<h1 data-align="middle" data-indent="-3">a</h1>': "<h1>a</h1>",
+        '<li data-indent="x" style="x:1; margin-left: 5em">a</li>': '<li data-indent="3">a</li>',
+        '<div style="text-align:center" class="c"><img src="/api/x"><section><b>bold</b><script>no</script> text</section></div>': '<div data-align="center">bold text</div>',
+        '<a href="javascript:x">j</a><a href=" HTTPS://x.example/?a&b">l</a>': '<a>j</a><a href="HTTPS://x.example/?a&amp;b">l</a>',
+        "<table><tr><td>a</td><td><i>b</i></td></tr></table><i>c": "ab<i>c</i>",
+    }
+    assert {k: sanitize.clean_word(k) for k in word} == word
+    assert sanitize.clean_word(None) is None and len(sanitize.clean_word("x" * 2_100_000)) == 2_000_000
+    assert sanitize.clean("y" * 8_000_001) is None
