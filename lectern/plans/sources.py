@@ -3,11 +3,11 @@ files, feeds, captions and pages that the readers take."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import identity, maintenance, pages, search, structure
+from lectern.operators import identity, layout, maintenance, pages, records, search, structure
 from lectern.plans.registry import query
 from lectern.plans.texts import _A, _B, _LOST
 from lectern.sources import files
@@ -369,3 +369,37 @@ def merge_images_by_position(lib: Library) -> DataFrame:
     blocks = lib.library_documents.select(F.col("id").alias("page_id"), F.posexplode(F.split("body", "\n")).alias("pos", "text"))
     images = lib.library_documents.select(F.col("id").alias("page_id"), F.explode(F.array(F.lit(1), F.lit(3), F.lit(1_000_000))).alias("n"))
     return structure.merge_images_by_position(images.withColumn("src", F.concat(F.lit("img-"), F.col("n").cast("string"))), blocks)
+
+
+@query(
+    "select_candidate",
+    """, c AS (SELECT number // 4 AS week, id, number FROM library_documents WHERE number % 2 = 0), f AS (SELECT week, min(id) AS id FROM c WHERE week % 3 <> 0 GROUP BY week)
+    SELECT week, id FROM f WHERE id NOT IN (SELECT id FROM library_documents WHERE number % 5 = 0)""",
+    ("library_documents",),
+)
+def select_candidate(lib: Library) -> DataFrame:
+    """Four documents a week, of which the even ones are chosen; every third week is done."""
+    docs = lib.library_documents
+    week = F.floor(F.col("number") / 4).alias("week")
+    candidates = docs.select(week, "id", (F.col("number") % 2 == 0).alias("chosen"))
+    status = docs.select(week, F.when(F.floor(F.col("number") / 4) % 3 == 0, "done").otherwise("open").alias("status")).distinct()
+    return records.select_candidate(candidates, status, docs.where("number % 5 = 0")).select("week", "id")
+
+
+@query(
+    "key_frames",
+    """, f AS (SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY ts, seq) AS n, value / 40 AS d FROM ticks),
+    s AS (
+      SELECT owner_id, n, 1 AS last, CAST(0 AS DOUBLE) AS gone, true AS kept, d FROM f WHERE n = 1
+      UNION ALL
+      SELECT owner_id, n, CASE WHEN keeps THEN n ELSE last END, CASE WHEN keeps THEN 0 ELSE more END, keeps, d
+      FROM (SELECT f.owner_id, f.n, s.last, s.gone + f.d AS more, f.d, s.gone + f.d >= 9 OR f.n - s.last >= 8 AS keeps FROM s JOIN f ON f.owner_id = s.owner_id AND f.n = s.n + 1)
+    )
+    SELECT CAST(owner_id AS VARCHAR) AS video_id, CAST(n AS DOUBLE) AS t FROM s WHERE kept""",
+    ("ticks",),
+)
+def key_frames(lib: Library) -> DataFrame:
+    """An owner's ticks as frames a second apart, which differ by their values."""
+    n = F.row_number().over(Window.partitionBy("owner_id").orderBy("ts", "seq"))
+    frames = lib.ticks.select(F.col("owner_id").cast("string").alias("video_id"), n.cast("double").alias("t"), (F.col("value") / 40).alias("difference"))
+    return layout.key_frames(frames, 9.0, 8.0).select("video_id", "t")
