@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -100,10 +101,13 @@ class Library:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
+        self._schemas: dict[str, StructType] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLES:
-            return table(self.spark, self.sf_dir, name)
+        if name in TABLES:  # read anew each time, but for the schema, which costs a job
+            if name not in self._schemas:
+                self._schemas[name] = table(self.spark, self.sf_dir, name).schema
+            return self.spark.read.schema(self._schemas[name]).parquet(f"{self.sf_dir}/{name}.parquet")
         if name not in LOGICAL:
             raise AttributeError(name)
         if name not in self._made:
