@@ -65,7 +65,8 @@ def transient(status: Column, message: Column) -> Column:
 
 
 #: Messages of failures that pass, with their kind and how long to wait in
-#: milliseconds, in the order in which they count.
+#: milliseconds, in the order in which they count; the code of a used-up limit.
+USED_UP = "CODEX_USAGE_LIMIT"
 PASSING = (
     ("quota", r"(?i)you(?:'|’)ve hit your usage limit|usage limit|purchase more credits|quota exceeded|insufficient_quota", 1_800_000),
     ("login", r"(?i)not logged in|authentication required|login required|token (?:has )?expired|unauthorized", 60_000),
@@ -76,7 +77,7 @@ PASSING = (
 def passing(code: Column, message: Column) -> Column:
     """struct(kind, delay_ms) of a failure of a service that will come back: quota, login or
     network; null for others. The code of a used-up limit counts without a message."""
-    found = F.when(F.coalesce(code == "CODEX_USAGE_LIMIT", F.lit(False)), F.struct(F.lit("quota").alias("kind"), F.lit(PASSING[0][2]).alias("delay_ms")))
+    found = F.when(F.coalesce(code == USED_UP, F.lit(False)), F.struct(F.lit("quota").alias("kind"), F.lit(PASSING[0][2]).alias("delay_ms")))
     for kind, pattern, delay in PASSING:
         found = found.when(F.coalesce(message, F.lit("")).rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.lit(delay).alias("delay_ms")))
     return found

@@ -209,7 +209,7 @@ def anti_missing_job(lib: Library) -> DataFrame:
 def retry_classify(lib: Library) -> DataFrame:
     said = F.array(*map(F.lit, ("Connection timed out", "bad input", "got HTTP 503 from source", "HTTP 5030", "getaddrinfo ENOTFOUND x", "quota exceeded", "token has expired")))
     rows = lib.ticks.select("seq", (F.lit(400) + F.pmod(F.floor("value"), F.lit(230))).cast("int").alias("status"), F.element_at(said, (F.col("seq") % 7 + 1).cast("int")).alias("message"))
-    return rows.select("seq", "status", jobs.transient(F.col("status"), F.col("message")).alias("transient"), jobs.passing(F.when(F.col("status") == 402, "CODEX_USAGE_LIMIT"), F.col("message")).alias("p")).select("seq", "status", "transient", "p.kind", "p.delay_ms")
+    return rows.select("seq", "status", jobs.transient(F.col("status"), F.col("message")).alias("transient"), jobs.passing(F.when(F.col("status") == 402, jobs.USED_UP), F.col("message")).alias("p")).select("seq", "status", "transient", "p.kind", "p.delay_ms")
 
 
 @query(
