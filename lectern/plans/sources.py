@@ -183,7 +183,7 @@ def read_ocr_tsv(lib: Library) -> DataFrame:
     word = F.regexp_extract("text", "[A-Za-z]+", 0)
     rows = lib.documents.select(level.alias("level"), (n % 100).alias("page_num"), zero.alias("block_num"), zero.alias("par_num"), zero.alias("line_num"), n.alias("word_num"), (n % 600).alias("left"), zero.alias("top"), zero.alias("width"), zero.alias("height"), (n % 130 - 10).alias("conf"), word.alias("text"))
     path = shared_path(lib.spark, "ocr")
-    rows.write.option("sep", "\t").option("header", "true").csv(path)
+    rows.write.option("sep", "\t").option("header", "true").option("emptyValue", "").csv(path)  # else "" in quotes, which are text here
     return files.read_ocr_tsv(lib.spark, path).select("page_num", "word_num", "left", "conf", "text")
 
 
