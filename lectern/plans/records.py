@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,14 @@ from lectern.sources.files import json_column
 from lectern.sources.library import Library
 
 KEYS = ["target_type", "target_id"]
+#: upper() of Unicode, as Spark has it: 102 characters become several, which the reference's upper() leaves or maps otherwise.
+UPPER = reduce(lambda s, c: f"replace({s}, '{c}', '{c.upper()}')", (chr(n) for n in range(0x80, 0xFB18) if len(chr(n).upper()) > 1), "title")
 
 
 @query(
     "upsert_papers",
-    """, o AS (SELECT id, title, body AS text, length(body) AS words FROM library_papers WHERE number % 3 <> 0), n AS (SELECT id, CASE WHEN number % 2 = 0 THEN ' ' ELSE upper(title) END AS title, CASE WHEN number % 5 = 0 THEN '' ELSE 'new' END AS text, 300 AS words FROM library_papers WHERE number % 4 <> 0)
-    SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN n.title WHEN n.id IS NULL OR trim(n.title) = '' THEN o.title ELSE n.title END AS title,
+    f""", o AS (SELECT id, title, body AS text, length(body) AS words FROM library_papers WHERE number % 3 <> 0), n AS (SELECT id, CASE WHEN number % 2 = 0 THEN ' ' ELSE upper({UPPER}) END AS title, CASE WHEN number % 5 = 0 THEN '' ELSE 'new' END AS text, 300 AS words FROM library_papers WHERE number % 4 <> 0)
+    SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN n.title WHEN n.id IS NULL OR coalesce(trim(n.title, ' '), '') = '' THEN o.title ELSE n.title END AS title,
            CASE WHEN o.id IS NULL THEN n.text WHEN n.id IS NULL OR trim(n.text) = '' THEN o.text ELSE n.text END AS text, CAST(CASE WHEN o.id IS NULL THEN n.words WHEN n.id IS NULL THEN o.words ELSE greatest(o.words, n.words) END AS BIGINT) AS words FROM o FULL JOIN n ON o.id = n.id""",
     ("library_papers",),
 )
