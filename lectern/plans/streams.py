@@ -30,14 +30,16 @@ def stream_daily_activity(lib: Library) -> DataFrame:
     "stream_sessions",
     """, g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY owner_id ORDER BY ts, seq) > INTERVAL 12 HOUR AS new FROM ticks),
     n AS (SELECT *, sum(CAST(coalesce(new, false) AS INTEGER)) OVER (PARTITION BY owner_id ORDER BY ts, seq) AS session FROM g),
-    s AS (SELECT owner_id, session, count(*) AS ticks, max(ts) AS last FROM n GROUP BY ALL)
-    SELECT owner_id, count(*) AS sessions, CAST(sum(ticks) AS BIGINT) AS ticks FROM s WHERE last + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM ticks) - INTERVAL 2 DAY GROUP BY owner_id""",
+    s AS (SELECT owner_id, session, count(*) AS ticks FROM n GROUP BY ALL)
+    SELECT owner_id, count(*) AS sessions, CAST(sum(ticks) AS BIGINT) AS ticks FROM s GROUP BY owner_id""",
     ("ticks",),
 )
 def stream_sessions(lib: Library) -> DataFrame:
-    """Closed sessions. Events of this table are hours apart, so the gap is longer than the two
-    minutes of readers."""
-    found = reading.settled(reading.sessions(reading.stream_of(lib.spark, f"{lib.sf_dir}/events.parquet"), "12 hours"), "sessions", "append")
+    """Sessions of all events, open ones and those of late events too. Events of this table are
+    hours apart, so the gap is longer than the two minutes of readers."""
+    out, marks = shared_path(lib.spark, "sessions"), shared_path(lib.spark, "sessions-marks")
+    reading.session_parts(reading.stream_of(lib.spark, f"{lib.sf_dir}/events.parquet"), out, marks, "12 hours")
+    found = reading.sessions_of(lib.spark, out, "12 hours")
     return found.groupBy("owner_id").agg(F.count("*").alias("sessions"), F.sum("ticks").alias("ticks"))
 
 

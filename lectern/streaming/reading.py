@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -80,6 +80,31 @@ def sessions(events: DataFrame, gap: str = "2 minutes", late: str = "2 days") ->
     return made.select(F.col("user_id").alias("owner_id"), F.col("w.start").alias("started_at"), "last_active_at", "ticks")
 
 
+def session_parts(events: DataFrame, out: str, marks: str, gap: str = "2 minutes") -> None:
+    """events(user_id, ts) as they come: the sessions that the rows of a batch make by
+    themselves. No mark sets rows apart, so late ones are in; a batch that is tried again
+    writes the same folder."""
+    spark = events.sparkSession
+
+    def put(rows: DataFrame, number: int) -> None:
+        sessions(rows, gap).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    if not path_exists(spark, out):
+        sessions(spark.createDataFrame([], events.schema), gap).write.parquet(f"{out}/batch=-1")
+    events.writeStream.foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+
+
+def sessions_of(spark: SparkSession, out: str, gap: str = "2 minutes") -> DataFrame:
+    """What session_parts() has found, put together: parts of an owner that are no more than
+    `gap` apart are one session, whatever their batches. Those that are open are given, too."""
+    order = Window.partitionBy("owner_id").orderBy("started_at", "last_active_at")
+    before = F.max("last_active_at").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(F.col("started_at") > before + F.expr(f"interval {gap}"), F.lit(False))
+    rows = spark.read.parquet(out).withColumn("new", new).withColumn("session", F.sum(F.col("new").cast("int")).over(order))
+    made = rows.groupBy("owner_id", "session").agg(F.min("started_at").alias("started_at"), F.max("last_active_at").alias("last_active_at"), F.sum("ticks").alias("ticks"))
+    return made.drop("session")
+
+
 def reading_days(spark: SparkSession, out: str, most_seconds: int = 86_400) -> Fold:
     """Cumulative totals (session_id, seq, local_day, total) -> increments (local_day, seconds).
     A session's state is its largest total so far, so repeated and late lower totals add
