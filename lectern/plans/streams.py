@@ -43,6 +43,8 @@ def stream_sessions(lib: Library) -> DataFrame:
     return found.groupBy("owner_id").agg(F.count("*").alias("sessions"), F.sum("ticks").alias("ticks"))
 
 
+#: Bytes of files in a batch of job events: each batch meets the states of its keys, so few are cheaper than a file each.
+BATCH = 512 << 20
 JOB_EVENTS = """
     SELECT CAST(l_orderkey AS VARCHAR(20)) AS job_id, CAST(2 * (l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey) AS BIGINT) AS seq, 'running' AS status, CAST(l_quantity AS INTEGER) AS progress FROM lineitem
     UNION ALL
@@ -73,11 +75,11 @@ def stream_job_state(lib: Library) -> DataFrame:
     """The attempts of jobs as events, a start and an outcome each, in the order of their
     lines and, where numbers repeat, of part and supplier."""
     out, marks = shared_path(lib.spark, "jobs"), shared_path(lib.spark, "jobs-marks")
-    lines = reading.stream_of(lib.spark, f"{lib.sf_dir}/lineitem.parquet")
+    lines = reading.stream_of(lib.spark, f"{lib.sf_dir}/lineitem.parquet", size=BATCH)
     outcome = F.when(F.col("l_returnflag") == "A", "completed").when(F.col("l_returnflag") == "R", "failed").otherwise("queued")
     seq = 2 * (F.col("l_linenumber").cast("long") * 1_000_000_000_000 + F.col("l_partkey").cast("long") * 1_000_000 + F.col("l_suppkey").cast("long"))
     both = F.explode(F.array(F.struct(seq.alias("seq"), F.lit("running").alias("status"), F.col("l_quantity").cast("int").alias("progress")), F.struct((seq + 1).alias("seq"), outcome.alias("status"), F.lit(0).alias("progress"))))
-    jobs = reading.job_states(lib.spark, out)
+    jobs = reading.job_states(lib.spark, out, every=False)
     jobs.run(lines.select(F.col("l_orderkey").cast("string").alias("job_id"), both.alias("e")).select("job_id", "e.*"), marks)
     illegal = reading.illegal_events(jobs).groupBy("job_id").agg(F.count("*").alias("illegal"))
     return jobs.current().join(illegal, "job_id", "left").fillna(0, ["illegal"])

@@ -10,9 +10,11 @@ from lectern.sources.shared import shared_path
 from lectern.streaming.fold import Fold, path_exists
 
 
-def stream_of(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A table's files as a stream, some files a batch; the table may be one file."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path}*")
+def stream_of(spark: SparkSession, path: str, files: int = 1, size: int | None = None) -> DataFrame:
+    """A table's files as a stream, some files a batch, or files of `size` bytes (one at least);
+    the table may be one file."""
+    limit = ("maxBytesPerTrigger", size) if size else ("maxFilesPerTrigger", files)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option(*limit).parquet(f"{path}*")
 
 
 def settled(stream: DataFrame, name: str, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -121,11 +123,12 @@ def reading_days(spark: SparkSession, out: str, most_seconds: int = 86_400) -> F
 FOLLOWS = {"": ("queued", "running"), "queued": ("running", "failed"), "running": ("completed", "failed", "queued"), "failed": ("queued",), "completed": ()}
 
 
-def job_states(spark: SparkSession, out: str) -> Fold:
+def job_states(spark: SparkSession, out: str, every: bool = True) -> Fold:
     """Events of jobs (job_id, seq, status, progress) -> every event with the job's progress,
     attempts and retries after it and whether it was legal: its status may follow the job's,
     or reports the progress of a running job, and it comes after what is known. Illegal
-    events change nothing. current() has the jobs, illegal_events() the side table."""
+    events change nothing. current() has the jobs, illegal_events() the side table; without
+    `every` these two are all that is written."""
 
     def step(state: tuple | None, row: tuple) -> tuple:
         status, last, progress, attempts, retries = state or ("", -1, 0, 0, 0)
@@ -138,7 +141,7 @@ def job_states(spark: SparkSession, out: str) -> Fold:
             status, last = new, seq
         elif seq > last and new == status == "running":  # a report, no change
             progress, last, legal = min(max(told or 0, 0), 99), seq, True
-        return (status, last, progress, attempts, retries), (seq, new, progress, attempts, retries, legal)
+        return (status, last, progress, attempts, retries), (seq, new, progress, attempts, retries, legal) if every or not legal else None
 
     made = "seq long, status string, progress int, attempts int, retries int, legal boolean"
     return Fold(spark, out, "job_id", ["seq", "status", "progress"], ["seq", "status"], made, "status string, seq long, progress int, attempts int, retries int", step)
