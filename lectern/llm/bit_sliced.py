@@ -24,6 +24,8 @@ from lectern.llm.common import settle
 SCALE, EVERY, TOP = 1024, 100, 10
 #: Rows of a block, queries of a block, queries added at once, leading bits kept.
 ROWS, QUERIES, AT_ONCE, BITS = 4096, 512, 16, 6
+#: Parts that the rows are dealt to (fewer if they are fewer blocks), blocks of rows and of queries in a task.
+PARTS, TOGETHER = 64, 32
 LONG = np.iinfo(np.int64)
 
 
@@ -136,6 +138,16 @@ class Slices:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def packed_codes(codes: np.ndarray) -> bytes:
+    """As the shortest integers that hold them."""
+    low, high = codes.min(initial=0), codes.max(initial=0)
+    return codes.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)).tobytes()
+
+
+def unpacked_codes(codes: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(codes, f"i{len(codes) // (n * dim)}").astype(np.int64).reshape(n, dim)
+
+
 def blocks(vectors: DataFrame, rows: int, scale: int) -> DataFrame:
     """(part, dim, ids, codes): up to `rows` vectors of one length each, as bytes."""
 
@@ -147,7 +159,7 @@ def blocks(vectors: DataFrame, rows: int, scale: int) -> DataFrame:
             own = held.pop(dim)
             ids, codes = np.array([i for i, _ in own], np.int64), np.floor(scale * np.array([x for _, x in own], np.float64))
             codes = np.clip(codes, -(2.0**62), 2.0**62).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], names=["part", "dim", "ids", "codes"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([packed_codes(codes)], pa.binary())], names=["part", "dim", "ids", "codes"])
 
         for b in batches:
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
@@ -176,29 +188,38 @@ def top_products(vectors: DataFrame, every: int = EVERY, k: int = TOP, scale: in
     use = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), values.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     use = use.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     count = use.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    parts, query_parts = max(1, -(-count[0] // rows)), max(1, -(-count[1] // queries))
+    row_blocks = -(-count[0] // rows)
+    parts = max(1, min(row_blocks, max(PARTS, -(-row_blocks // TOGETHER))))
+    stripes = max(1, -(-count[1] // (queries * TOGETHER)))
     index = settle(blocks(use.repartition(parts), rows, scale), "index")
-    asked = settle(blocks(use.where(F.col("vec_id") % every == 0).distinct().coalesce(query_parts), queries, scale), "queries")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "dim", F.col("ids").alias("query_ids"), F.col("codes").alias("query_codes"))
-    met = index.repartition(parts, "part").join(asked, ["part", "dim"]).select("dim", "ids", "codes", "query_ids", "query_codes")
+    asked = settle(blocks(use.where(F.col("vec_id") % every == 0).distinct().repartition(stripes), queries, scale), "queries")
+    # A task meets one part of the rows with one stripe of the queries: these come first and
+    # are held, the rows pass by. Nothing is joined, so nothing can be broadcast.
+    index = index.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))).withColumn("is_row", F.lit(True))
+    asked = asked.withColumnRenamed("part", "stripe").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("is_row", F.lit(False))
+    sent = index.unionByName(asked).repartitionById(parts * stripes, F.col("stripe") * parts + F.col("part"))
+    met = sent.sortWithinPartitions("is_row").select("is_row", "dim", "ids", "codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, made = None, None
+        held: dict[int, list[tuple[np.ndarray, bytes]]] = {}
         for b in batches:
-            for row in zip(*b.columns, strict=True):
-                dim = row[0].as_py()
-                ids, codes, query_ids, query_codes = (np.frombuffer(x.as_buffer(), np.int64) for x in row[1:])
-                if not dim:  # nothing to add up
-                    least = np.unique(ids)
-                    best = [least[least != i][:k] for i in query_ids.tolist()]
-                    r, q = np.concatenate(best), np.repeat(np.arange(len(best)), [len(x) for x in best])
-                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(r), pa.array(np.zeros(len(r), np.int64)), pa.array(q.astype(np.int32))], names=["query_id", "vec_id", "score", "place"])
-                    continue
-                if last is None or len(last) != len(codes) or not np.array_equal(last, codes):
-                    last, made = codes.copy(), Slices(codes.reshape(-1, dim))
-                q, r, score = made.best(query_codes.reshape(-1, dim), query_ids, ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids[r]), pa.array(score), pa.array(q.astype(np.int32))], names=["query_id", "vec_id", "score", "place"])
-
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long, place int").drop("place")
+            for is_row, dim, ids, codes in zip(*b.columns, strict=True):
+                dim, ids, codes = dim.as_py(), np.frombuffer(ids.as_py(), np.int64), codes.as_py()
+                if not is_row.as_py():
+                    held.setdefault(dim, []).append((ids, codes))
+                elif dim in held:
+                    made = Slices(unpacked_codes(codes, len(ids), dim)) if dim else None
+                    for query_ids, query_codes in held[dim]:
+                        if made:
+                            q, r, score = made.best(unpacked_codes(query_codes, len(query_ids), dim), query_ids, ids, k)
+                            found = ids[r]
+                        else:  # nothing to add up
+                            least = np.unique(ids)
+                            best = [least[least != i][:k] for i in query_ids.tolist()]
+                            found, q = np.concatenate(best), np.repeat(np.arange(len(best)), [len(x) for x in best])
+                            score = np.zeros(len(found), np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
